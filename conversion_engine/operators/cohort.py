@@ -80,7 +80,6 @@ def push_flag(opt_in: ColumnLike = "push_opt_in") -> Column:
 def current_push_status(push: DataFrame) -> DataFrame:
     """One row per profile: the flag on the latest day (1 wins a tie) and how many
     different flags that day has. One grouped aggregation."""
-    latest = F.max(F.struct("date_push", push_flag().alias("push_yn")))
     rows = push.groupBy("id_profile", "date_push").agg(
         F.max(push_flag()).alias("__hi"), F.min(push_flag()).alias("__lo"))
     latest = F.max(F.struct("date_push", "__hi", "__lo"))

@@ -9,16 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from conversion_engine.functions.semantics import ColumnLike, as_col, within_days
 
 _KEY = "__join_key"
 
 
-def spread_key(df: DataFrame, key: ColumnLike, spread_by: Iterable[ColumnLike], usable: Column | None = None) -> Column:
+def spread_key(key: ColumnLike, spread_by: Iterable[ColumnLike], usable: Column | None = None) -> Column:
     """``key`` as text where it can match, otherwise a value that matches nothing.
 
     Rows without a usable key would all hash to one shuffle partition. The
@@ -37,10 +36,13 @@ def left_join_sparse(left: DataFrame, right: DataFrame, left_key: ColumnLike, ri
     """Left join on a key that is often missing on the left.
 
     The right key column is dropped; ``extra`` is a further join condition.
+    A missing right key matches nothing.
     """
-    keyed_left = left.withColumn(_KEY, spread_key(left, left_key, spread_by, usable))
-    keyed_right = right.where(F.col(right_key).isNotNull()).withColumn(
-        f"{_KEY}_r", F.col(right_key).cast("string")).drop(right_key)
+    keyed_left = left.withColumn(_KEY, spread_key(left_key, spread_by, usable))
+    # A stand-in instead of a filter: a filter on a computed key would be pushed
+    # below the computation and repeat it.
+    text = F.coalesce(F.col(right_key).cast("string"), F.lit("\u0001"))
+    keyed_right = right.withColumn(f"{_KEY}_r", text).drop(right_key)
     condition = F.col(_KEY) == F.col(f"{_KEY}_r")
     if extra is not None:
         condition = condition & extra
@@ -79,5 +81,8 @@ def lookup_ignoring_case(df: DataFrame, value: ColumnLike, dim: DataFrame, dim_v
     return df.join(keys, F.lower(as_col(value)) == F.col("__lookup"), "left").drop("__lookup")
 
 
-def is_text(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, T.StringType)
+def month_bounds(calendar: DataFrame, date: str = "iddate", year: str = "idyear", month: str = "idmonth") -> DataFrame:
+    """First and last calendar day of every day's month. A month has at most 31 rows."""
+    whole_month = Window.partitionBy(year, month)
+    return calendar.select("*", F.min(date).over(whole_month).alias("month_start_date"),
+                           F.max(date).over(whole_month).alias("month_end_date"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,11 +92,13 @@ class ConversionJob:
         rows = log.withColumn("device_id", device_key(*DEVICE_ID_COLUMNS)).where(F.col("device_id") != ZERO_DEVICE)
         return identity_map(rows, "device_id", F.col("custom_data")["customer_id"])
 
+    @cached_property
     def events(self) -> DataFrame:
         return normalize_events(self.t.event_log, self.p.install_start, self.p.data_end)
 
+    @cached_property
     def user_map(self) -> DataFrame:
-        return user_identity_map(self.events())
+        return user_identity_map(self.events)
 
     # installs and bookings
 
@@ -194,7 +197,7 @@ class ConversionJob:
         chosen = [specs[n] for n in names if n != "search"]
         search = funnel.search_spec() if "search" in names else None
         enrich = self.add_trip(self.homes(installs), "inner" if only_cohort else "left") if search else None
-        return funnel.daily_rollup(self.events(), chosen, self.user_map(), search, enrich)
+        return funnel.daily_rollup(self.events, chosen, self.user_map, search, enrich)
 
     # the wide table
 
