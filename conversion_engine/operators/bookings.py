@@ -110,26 +110,32 @@ def first_booking_day_flags() -> list[Column]:
 def bookings_after_first_install(installs: DataFrame, star: DataFrame) -> DataFrame:
     """Bookings no earlier than the first install of their profile, each once.
 
-    Adds the customer's first such booking: ``first_booked``, ``first_booked_date``,
-    and ``first_cust_install_timestamp``, the first install of any profile of
-    the customer. Both sides are joined on one row per key, so nothing multiplies,
-    however many devices a profile has.
+    Adds ``profile_install_timestamp``, that first install. Both sides are joined
+    on one row per profile, so nothing multiplies, however many devices it has.
     """
     first_install = (
         installs.where(F.col("profile_id").isNotNull())
         .groupBy(F.col("profile_id").alias("id_profile"))
-        .agg(F.min("install_date").alias("__first_install"),
-             F.min("install_timestamp").alias("__first_install_ts"))
+        .agg(F.min("install_timestamp").alias("profile_install_timestamp"))
     )
-    reached = star.join(first_install, "id_profile").where(
-        F.to_date("booked") >= F.col("__first_install"))
+    return star.join(first_install, "id_profile").where(
+        F.to_date("booked") >= F.to_date("profile_install_timestamp"))
+
+
+def add_first_bookings(bookings: DataFrame) -> DataFrame:
+    """Add the customer's first booking of all: ``first_booked``, ``first_booked_date``,
+    and ``first_cust_install_timestamp``, the first install of any of its profiles.
+
+    One grouped aggregation and a join back, instead of a window that would
+    gather all bookings of a customer in one task.
+    """
     dated = F.col("booked_date").isNotNull()
-    per_customer = reached.groupBy("id_customer").agg(
+    per_customer = bookings.groupBy("id_customer").agg(
         F.min("booked").alias("first_booked"),
         F.min(F.when(dated, F.struct("booked", "booked_date"))).getField("booked_date").alias("first_booked_date"),
-        F.min("__first_install_ts").alias("first_cust_install_timestamp"),
+        F.min("profile_install_timestamp").alias("first_cust_install_timestamp"),
     )
-    return reached.join(per_customer, "id_customer").drop("__first_install", "__first_install_ts")
+    return bookings.join(per_customer, "id_customer").drop("profile_install_timestamp")
 
 
 def attach_bookings(installs: DataFrame, bookings: DataFrame) -> DataFrame:
@@ -141,7 +147,7 @@ def attach_bookings(installs: DataFrame, bookings: DataFrame) -> DataFrame:
     ``bookings_after_first_install``.
     """
     joined = left_join_sparse(
-        installs, bookings, "profile_id", "id_profile", ["device_id"],
+        installs, add_first_bookings(bookings), "profile_id", "id_profile", ["device_id"],
         extra=F.to_date(F.col("booked")) >= F.col("install_date"))
     return joined.select(
         "*",
@@ -192,7 +198,7 @@ def booking_summary(installs: DataFrame, bookings: DataFrame) -> DataFrame:
     (``bookings`` comes from ``bookings_after_first_install``) are read by
     several branches: pass written tables.
     """
-    per_day = bookings.groupBy(
+    per_day = add_first_bookings(bookings).groupBy(
         F.col("id_profile").alias("__profile"), F.to_date("booked").alias("__day"), "booked_date"
     ).agg(
         F.count("*").alias("__n"),

@@ -112,11 +112,12 @@ class ConversionJob:
                             self.t.calendar, filters)
 
     def bookings(self, installs: DataFrame) -> DataFrame:
-        return bookings_after_first_install(installs, materialize(self.star(), "star"))
+        """Bookings that can belong to an install, written once."""
+        return materialize(bookings_after_first_install(installs, self.star()), "bookings")
 
     def devices(self) -> DataFrame:
         installs = materialize(self.installs(), "installs")
-        return booking_summary(installs, materialize(self.bookings(installs), "bookings"))
+        return booking_summary(installs, self.bookings(installs))
 
     def install_cohort(self) -> DataFrame:
         return install_cohort(self.devices(), self.t.calendar, self.t.push_status,

@@ -10,13 +10,14 @@ event's user, type and ``k`` property decide its role.
 from __future__ import annotations
 
 import datetime as dt
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conversion_engine.operators.attribution import OwnedChannels
 from conversion_engine.operators.identity import ZERO_DEVICE
-from conversion_engine.plans.conversion import ConversionPeriod, ConversionTables
+from conversion_engine.plans.conversion import ConversionPeriod
 from conversion_engine.sources.logs import latest_complete_day
 
 OWNED = OwnedChannels(prefixes={"Own Web": "Own Web", "Social Test": "Social Test"},
@@ -42,8 +43,23 @@ def text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+# Columns of the source tables that are read here. A declared
+# schema spares the job that would look into the files for it.
+SOURCE_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+                 o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": "l_orderkey bigint, l_linenumber int, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
 
 
 def base_events(spark: SparkSession, root: str) -> DataFrame:
@@ -190,50 +206,98 @@ def booking(events: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def tables(spark: SparkSession, root: str) -> ConversionTables:
-    """All domain tables, derived lazily."""
-    events = base_events(spark, root)
-    orders, customer, supplier = (read(spark, root, n) for n in ("orders", "customer", "supplier"))
-    k, profile = F.col("k"), (F.col("u") + PROFILE_BASE)
+class CommerceTables:
+    """The twelve domain tables, each derived when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._spark, self._root = spark, root
+
+    def _read(self, name: str) -> DataFrame:
+        return read(self._spark, self._root, name)
+
+    @cached_property
+    def _events(self) -> DataFrame:
+        return base_events(self._spark, self._root)
 
-    def of_type(kind: str) -> DataFrame:
-        return events.where(F.col("event_type") == kind)
+    def _events_of(self, kind: str) -> DataFrame:
+        return self._events.where(F.col("event_type") == kind)
 
-    def bit(condition: Column) -> Column:
-        return F.when(condition, 1).otherwise(0)
+    @cached_property
+    def install_log(self) -> DataFrame:
+        return install_log(self._events)
 
-    iddate = F.to_date(F.add_months(F.to_date("o_orderdate"), 27 * 12))
-    return ConversionTables(
-        install_log=install_log(events),
-        event_log=event_log(events),
-        booking=booking(events, orders),
-        booking_attribution=of_type("purchase").select(
-            F.col("event_id").alias("id_booking"), F.when(k % 3 == 0, "WEB").otherwise("APP").alias("booking_platform")),
-        customer=customer.select(
+    @cached_property
+    def event_log(self) -> DataFrame:
+        return event_log(self._events)
+
+    @cached_property
+    def booking(self) -> DataFrame:
+        return booking(self._events, self._read("orders"))
+
+    @cached_property
+    def booking_attribution(self) -> DataFrame:
+        platform = F.when(F.col("k") % 3 == 0, "WEB").otherwise("APP")
+        return self._events_of("purchase").select(
+            F.col("event_id").alias("id_booking"), platform.alias("booking_platform"))
+
+    @cached_property
+    def customer(self) -> DataFrame:
+        first = F.date_add(F.lit(dt.date(2023, 12, 22)), (F.col("c_custkey") % 45).cast("int"))
+        return self._read("customer").select(
             F.col("c_custkey").alias("id_customer"),
-            F.when(F.col("c_mktsegment") != "MACHINERY",
-                   F.date_add(F.lit(dt.date(2023, 12, 22)), (F.col("c_custkey") % 45).cast("int")))
-            .alias("id_date_first_booking"),
-            (F.col("c_custkey") * 10).alias("id_first_booking")),
-        site=supplier.select(F.col("s_suppkey").cast("int").alias("id_site_name"),
-                             F.when(F.col("s_nationkey") % 5 == 0, "OTHER").otherwise("MAIN").alias("site_brand")),
-        calendar=orders.select(iddate.alias("iddate")).distinct().select(
+            F.when(F.col("c_mktsegment") != "MACHINERY", first).alias("id_date_first_booking"),
+            (F.col("c_custkey") * 10).alias("id_first_booking"))
+
+    @cached_property
+    def site(self) -> DataFrame:
+        return self._read("supplier").select(
+            F.col("s_suppkey").cast("int").alias("id_site_name"),
+            F.when(F.col("s_nationkey") % 5 == 0, "OTHER").otherwise("MAIN").alias("site_brand"))
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        iddate = F.to_date(F.add_months(F.to_date("o_orderdate"), 27 * 12))
+        return self._read("orders").select(iddate.alias("iddate")).distinct().select(
             "iddate", F.year("iddate").alias("idyear"), F.month("iddate").alias("idmonth"),
-            F.date_format("iddate", "MMM").alias("monthnameshort")),
-        country=read(spark, root, "nation").select(
+            F.date_format("iddate", "MMM").alias("monthnameshort"))
+
+    @cached_property
+    def country(self) -> DataFrame:
+        return self._read("nation").select(
             text("N", F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("countryiso2"),
-            F.col("n_name").alias("country"), F.col("n_regionkey").alias("id_subcontinent")),
-        subcontinent=read(spark, root, "region").select(
-            F.col("r_regionkey").alias("id_subcontinent"), F.col("r_name").alias("subcontinent")),
-        push_status=of_type("error").select(
-            profile.alias("id_profile"), F.col("day").alias("date_push"),
-            F.when(k % 2 == 0, "TRUE").otherwise("FALSE").alias("push_opt_in")),
-        social_auth=of_type("signup").select(
-            profile.alias("id_profile"), F.col("day").alias("created_at"),
+            F.col("n_name").alias("country"), F.col("n_regionkey").alias("id_subcontinent"))
+
+    @cached_property
+    def subcontinent(self) -> DataFrame:
+        return self._read("region").select(
+            F.col("r_regionkey").alias("id_subcontinent"), F.col("r_name").alias("subcontinent"))
+
+    @cached_property
+    def push_status(self) -> DataFrame:
+        return self._events_of("error").select(
+            (F.col("u") + PROFILE_BASE).alias("id_profile"), F.col("day").alias("date_push"),
+            F.when(F.col("k") % 2 == 0, "TRUE").otherwise("FALSE").alias("push_opt_in"))
+
+    @cached_property
+    def social_auth(self) -> DataFrame:
+        k = F.col("k")
+        return self._events_of("signup").select(
+            (F.col("u") + PROFILE_BASE).alias("id_profile"), F.col("day").alias("created_at"),
             F.when(k % 5 == 0, "Profiles with Photos").otherwise("Profiles with Initials").alias("photo_flag"),
-            F.when(k % 5 == 1, "Social Toggle On").otherwise("Social Toggle Off").alias("social_flag")),
-        profile_attributes=of_type("view").select(
-            profile.alias("profile_id"), F.col("day").alias("event_date"),
+            F.when(k % 5 == 1, "Social Toggle On").otherwise("Social Toggle Off").alias("social_flag"))
+
+    @cached_property
+    def profile_attributes(self) -> DataFrame:
+        k = F.col("k")
+
+        def bit(condition: Column) -> Column:
+            return F.when(condition, 1).otherwise(0)
+
+        return self._events_of("view").select(
+            (F.col("u") + PROFILE_BASE).alias("profile_id"), F.col("day").alias("event_date"),
             F.when(k != 50, bit(k % 6 == 0)).alias("language_flag"), bit(k % 8 == 0).alias("bio_flag"),
-            bit(k % 10 == 0).alias("city_flag"), bit(k % 12 == 0).alias("interests_flag")),
-    )
+            bit(k % 10 == 0).alias("city_flag"), bit(k % 12 == 0).alias("interests_flag"))
+
+
+def tables(spark: SparkSession, root: str) -> CommerceTables:
+    return CommerceTables(spark, root)
