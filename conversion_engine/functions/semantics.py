@@ -85,6 +85,25 @@ def json_value(parsed: ColumnLike, key: str, kind: str = "string") -> Column:
     return F.try_variant_get(as_col(parsed), f"$.{key}", kind)
 
 
+def json_fields(value: ColumnLike, keys: Iterable[str]) -> Column:
+    """The named top-level keys of a JSON text, as a struct of texts; NULL when absent.
+
+    Text in the JSON and numbers both come out as text, as a cast to text does.
+    Unreadable JSON gives NULLs.
+    """
+    schema = ", ".join(f"`{key}` string" for key in dict.fromkeys(keys))
+    return F.from_json(as_col(value), schema)
+
+
+def typed_text(value: Column, kind: str) -> Column:
+    """Text as a typed value; NULL where it does not read as one."""
+    if kind == "string":
+        return value
+    if kind == "int":
+        return value.try_cast("decimal(12,0)").try_cast("int")
+    return value.try_cast(kind)
+
+
 # --- day buckets -----------------------------------------------------------
 
 

@@ -53,19 +53,24 @@ class FunnelSpec:
     """Events of one funnel step and what to count on them.
 
     With ``distinct_on`` events of one user and day that agree in these columns
-    count once; the measures then read those columns through the ``search`` struct.
+    count once; the measures then read those columns through the ``search``
+    struct. ``by`` names those of them that ``late`` measures need: the distinct
+    events are first counted per day, profile and ``by``, and the late measures
+    read these counts.
     """
 
     name: str
     where: Column
     measures: tuple[Measure, ...]
     distinct_on: tuple[str, ...] = ()
+    by: tuple[str, ...] = ()
+    late: tuple[Measure, ...] = ()
 
 
-def _partials(spec: FunnelSpec) -> list[Column]:
+def _partials(spec: FunnelSpec, where: Column | None = None) -> list[Column]:
     out = []
     for m in spec.measures:
-        value = F.when(spec.where, m.expr)
+        value = F.when(spec.where if where is None else where, m.expr)
         if m.kind == "avg":
             out += [F.sum(value.cast("double")).alias(f"{m.name}__sum"), F.count(value).alias(f"{m.name}__n")]
         else:
@@ -73,24 +78,20 @@ def _partials(spec: FunnelSpec) -> list[Column]:
     return out
 
 
-def _merged(spec: FunnelSpec, final: bool) -> list[Column]:
+def _merged(spec: FunnelSpec, final: bool, copies: Column | None = None) -> list[Column]:
+    def total(column: Column | str) -> Column:
+        column = as_col(column)
+        return F.sum(column if copies is None else column * copies)
+
     out = []
     for m in spec.measures:
         if m.kind == "avg":
-            total, n = F.sum(f"{m.name}__sum"), F.sum(f"{m.name}__n")
-            out += [F.try_divide(total, n).alias(m.name)] if final else [
-                total.alias(f"{m.name}__sum"), n.alias(f"{m.name}__n")]
+            value, n = total(f"{m.name}__sum"), total(f"{m.name}__n")
+            out += [F.try_divide(value, n).alias(m.name)] if final else [
+                value.alias(f"{m.name}__sum"), n.alias(f"{m.name}__n")]
         else:
-            out.append((F.sum if m.kind == "sum" else F.max)(m.name).alias(m.name))
-    return out
-
-
-def _over_distinct(spec: FunnelSpec) -> list[Column]:
-    out = []
-    for m in spec.measures:
-        value = F.when(F.col(SEARCH).isNotNull(), m.expr)
-        out.append((F.avg(value.cast("double")) if m.kind == "avg" else F.sum(value)).alias(m.name))
-    return out
+            out.append((total(m.name) if m.kind == "sum" else F.max(m.name)).alias(m.name))
+    return out + [total(m.expr).alias(m.name) for m in spec.late if final]
 
 
 def daily_rollup(events: DataFrame, specs: Iterable[FunnelSpec], user_map: DataFrame | None = None,
@@ -98,9 +99,9 @@ def daily_rollup(events: DataFrame, specs: Iterable[FunnelSpec], user_map: DataF
                  enrich: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Measures of all specs per (day, profile); NULL where a spec has no event that day.
 
-    ``distinct`` is one spec with ``distinct_on``. ``enrich`` may add columns for
-    its measures to the rows (day, profile, user key, ``search``) and may drop
-    profiles that are not needed; it must not multiply rows, or its copies count.
+    ``distinct`` is one spec with ``distinct_on``. ``enrich`` adds the columns its
+    late measures need, among them ``copies``, to rows per day, profile and
+    ``by`` columns; how often a distinct event counts is up to ``copies``.
     """
     specs = list(specs)
     keys = [DAY, PROFILE, USER]
@@ -119,15 +120,19 @@ def daily_rollup(events: DataFrame, specs: Iterable[FunnelSpec], user_map: DataF
     if user_map is not None:
         spread = [DAY, USER] + ([SEARCH] if distinct is not None else [])
         partial = resolve_identity(partial, user_map, spread)
-    if distinct is not None:
-        merged = [c for s in specs for c in _merged(s, final=False)]
-        partial = partial.groupBy(*keys).agg(*merged) if merged else partial.select(*keys).distinct()
-        if enrich is not None:
-            partial = enrich(partial)
     finals = [c for s in specs for c in _merged(s, final=True)]
-    if distinct is not None:
-        finals = _over_distinct(distinct) + finals
-    return partial.groupBy(DAY, PROFILE).agg(*finals)
+    if distinct is None:
+        return partial.groupBy(DAY, PROFILE).agg(*finals)
+    # Once more distinct, now that logged-out events have their profile.
+    merged = [c for s in specs for c in _merged(s, final=False)]
+    partial = partial.groupBy(*keys).agg(*merged) if merged else partial.select(*keys).distinct()
+    by = [F.col(SEARCH).getField(c).alias(c) for c in distinct.by]
+    per_place = partial.groupBy(DAY, PROFILE, *by).agg(
+        *_partials(distinct, F.col(SEARCH).isNotNull()), *merged)
+    copies = None
+    if enrich is not None:
+        per_place, copies = enrich(per_place), F.col("copies")
+    return per_place.groupBy(DAY, PROFILE).agg(*_merged(distinct, final=True, copies=copies), *finals)
 
 
 # --- trip type -------------------------------------------------------------
@@ -175,21 +180,23 @@ def search_spec() -> FunnelSpec:
     The trip counts need a ``trip`` column from ``enrich``.
     """
     los = F.datediff(F.col(f"{SEARCH}.departure_date"), F.col(f"{SEARCH}.arrival_date"))
-    trip = F.col("trip")
-    copies = F.col("copies")
+    trip, searches = F.col("trip"), F.col("searches_submitted")
     return FunnelSpec(
         "search",
         (F.col("action") == "Search Submitted") & F.col("destination_country").isNotNull(),
         (
-            Measure("searches_submitted", copies),
+            Measure("searches_submitted", F.lit(1)),
             Measure("search_avg_lead_time", F.col(f"{SEARCH}.lead_time").try_cast("double"), "avg"),
             Measure("search_avg_los", los, "avg"),
             Measure("search_avg_pax", F.col(f"{SEARCH}.number_guests"), "avg"),
-            Measure("search_domestic_trip", copies * flag(trip == "domestic")),
-            Measure("search_short_haul_trip", copies * flag(trip == "short-haul")),
-            Measure("search_long_haul_trip", copies * flag(trip == "long-haul")),
         ),
-        SEARCH_COLUMNS,
+        distinct_on=SEARCH_COLUMNS,
+        by=("destination_country",),
+        late=(
+            Measure("search_domestic_trip", searches * flag(trip == "domestic")),
+            Measure("search_short_haul_trip", searches * flag(trip == "short-haul")),
+            Measure("search_long_haul_trip", searches * flag(trip == "long-haul")),
+        ),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from conversion_engine.functions.semantics import WINDOW_DAYS, day_offset
 from conversion_engine.operators import funnel
-from conversion_engine.operators.attribution import OwnedChannels
+from conversion_engine.operators.attribution import OwnedChannels, geography
 from conversion_engine.operators.bookings import (
     BookingFilters,
     booking_star,
@@ -98,7 +98,8 @@ class ConversionJob:
 
     @cached_property
     def user_map(self) -> DataFrame:
-        return user_identity_map(self.events)
+        keys_only = normalize_events(self.t.event_log, self.p.install_start, self.p.data_end, params={})
+        return user_identity_map(keys_only)
 
     # installs and bookings
 
@@ -169,8 +170,12 @@ class ConversionJob:
                 .select("profile_id", "home.ip_country", "home.ip_region", F.lit(1).cast("bigint").alias("copies")))
 
     def add_trip(self, homes: DataFrame, how: str = "left"):
-        """A step for ``daily_rollup`` that tells the trip type of each search."""
-        places = self.t.country.join(self.t.subcontinent, "id_subcontinent", "left").select("country", "subcontinent")
+        """A step for ``daily_rollup`` that tells the trip type of the searches.
+
+        It works on rows per day, profile and destination, of which a profile
+        has few, however much it searched.
+        """
+        places = geography(self.t.country, self.t.subcontinent)
 
         def enrich(rows: DataFrame) -> DataFrame:
             known = homes.withColumnRenamed("profile_id", "__home_profile")
@@ -179,12 +184,11 @@ class ConversionJob:
                 at_home = rows.join(known, profile == F.col("__home_profile")).drop("__home_profile")
             else:
                 at_home = left_join_sparse(rows, known, profile, "__home_profile",
-                                           [funnel.USER, funnel.SEARCH])
-            placed = lookup_ignoring_case(at_home, f"{funnel.SEARCH}.destination_country", places, "country",
+                                           [funnel.DAY, "destination_country"])
+            placed = lookup_ignoring_case(at_home, "destination_country", places, "country",
                                           {"subcontinent": "destination_region"})
             return placed.withColumn("copies", F.coalesce("copies", F.lit(1).cast("bigint"))).withColumn(
-                "trip", funnel.trip_type(f"{funnel.SEARCH}.destination_country", "destination_region",
-                                         "ip_country", "ip_region"))
+                "trip", funnel.trip_type("destination_country", "destination_region", "ip_country", "ip_region"))
 
         return enrich
 

@@ -60,3 +60,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/conversion_engine/{uuid.uuid4().hex}/{name}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Use every core for an input of few files.
+
+    An input with at least as many partitions as the cluster has slots, which
+    is every large one, is returned unchanged.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)

@@ -15,9 +15,11 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from conversion_engine.functions.semantics import json_fields, typed_text
 from conversion_engine.operators.attribution import OwnedChannels
 from conversion_engine.operators.identity import ZERO_DEVICE
 from conversion_engine.plans.conversion import ConversionPeriod
+from conversion_engine.session import materialize, spread_small_input
 from conversion_engine.sources.logs import latest_complete_day
 
 OWNED = OwnedChannels(prefixes={"Own Web": "Own Web", "Social Test": "Social Test"},
@@ -64,10 +66,10 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def base_events(spark: SparkSession, root: str) -> DataFrame:
     """Events with ``u`` (user), ``k`` (property) and ``day``."""
-    return read(spark, root, "events").select(
-        "event_id", "ts", "event_type", "value", "props",
+    return spread_small_input(read(spark, root, "events")).select(
+        "event_id", "ts", "event_type",
         F.col("user_id").alias("u"),
-        F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"),
+        typed_text(json_fields("props", ["k"]).getField("k"), "int").alias("k"),
         F.to_date("ts").alias("day"),
     )
 
@@ -228,7 +230,8 @@ class CommerceTables:
 
     @cached_property
     def event_log(self) -> DataFrame:
-        return event_log(self._events)
+        """Written once, as the real log would be, because several branches scan it."""
+        return materialize(event_log(self._events), "event_log")
 
     @cached_property
     def booking(self) -> DataFrame:

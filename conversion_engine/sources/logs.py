@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conversion_engine.functions.semantics import iso_timestamp, json_value, like_any
+from conversion_engine.functions.semantics import iso_timestamp, json_fields, like_any, typed_text
 from conversion_engine.operators.identity import event_user_key, session_key
 from conversion_engine.sources.schemas import SCHEMAS
 
@@ -104,24 +104,25 @@ def normalize_events(events: DataFrame, start: str | dt.date, end: str | dt.date
     """The app-event log as typed columns, one row per event.
 
     One shared scan for every funnel: date, platform and build filters, the
-    event parameters in ``params``, and the user and session keys.
+    event parameters in ``params``, and the user and session keys. Each JSON
+    column is parsed once per row; only the named keys are read from it.
     """
     rows = events.where(F.col("event_date").between(F.lit(as_date(start)), F.lit(as_date(end))))
     if platforms is not None:
         rows = rows.where(like_any("platform", platforms, ignore_case=True))
     parsed = rows.select(
         "event_date", "event_name", "platform", "profile_id", "user_pseudo_id",
-        F.try_parse_json("event_parameters").alias("ep"),
-        F.try_parse_json("user_properties").alias("up"),
-        json_value(F.try_parse_json("app_info"), "version").alias("version"),
+        json_fields("event_parameters", ["segment_anonymous_id", "ga_session_id", *params]).alias("ep"),
+        json_fields("user_properties", ["ga_session_id", "first_open_time", "userId"]).alias("up"),
+        json_fields("app_info", ["version"]).getField("version").alias("version"),
     ).where(release_version(F.col("version"), exclude_version))
     typed = parsed.select(
         "event_date", "event_name", "platform", "profile_id", "user_pseudo_id", "version",
-        json_value("ep", "segment_anonymous_id").alias("anonymous_id"),
-        F.coalesce(json_value("ep", "ga_session_id"), json_value("up", "ga_session_id")).alias("ga_session"),
-        json_value("up", "first_open_time").alias("first_open_time"),
-        json_value("up", "userId").alias("account_id"),
-        *[json_value("ep", key, kind).alias(key) for key, kind in params.items()],
+        F.col("ep.segment_anonymous_id").alias("anonymous_id"),
+        F.coalesce("ep.ga_session_id", "up.ga_session_id").alias("ga_session"),
+        F.col("up.first_open_time").alias("first_open_time"),
+        F.col("up.userId").alias("account_id"),
+        *[typed_text(F.col("ep").getField(key), kind).alias(key) for key, kind in params.items()],
     )
     return typed.select(
         "event_date", "event_name", "platform", "version", "profile_id",
