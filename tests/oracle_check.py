@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import pathlib
 import sys
 import time
 
@@ -58,7 +59,7 @@ def compare(spark, root, db, fn, sql):
 
 
 if __name__ == "__main__":
-    sys.path.insert(0, "/root/repo")
+    sys.path.insert(0, str(pathlib.Path(__file__).parents[1]))
     import __spark_entry__ as entry
     from conversion_engine.session import local_session
 
