@@ -20,7 +20,7 @@ from conversion_engine.session import checkpoint_root, materialize
 
 @dataclass(frozen=True)
 class TrainingParams:
-    """The settings of the reference training run."""
+    """The settings of the original training run."""
 
     iterations: int = 1200
     learning_rate: float = 0.2

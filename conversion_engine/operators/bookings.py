@@ -64,15 +64,15 @@ def booking_star(booking: DataFrame, attribution: DataFrame, customer: DataFrame
 # --- expressions -----------------------------------------------------------
 
 
-def first_known_booking(first_hw: ColumnLike = "id_date_first_booking",
+def first_known_booking(first_ever: ColumnLike = "id_date_first_booking",
                         first_booked: ColumnLike = "first_booked_date") -> Column:
-    return least_strict(first_hw, first_booked)
+    return least_strict(first_ever, first_booked)
 
 
-def customer_status(first_hw: ColumnLike = "id_date_first_booking", first_booked_date: ColumnLike = "first_booked_date",
+def customer_status(first_ever: ColumnLike = "id_date_first_booking", first_booked_date: ColumnLike = "first_booked_date",
                     first_booked: ColumnLike = "first_booked", install_ts: ColumnLike = "install_timestamp") -> Column:
     """Existing, new or no customer, seen from the moment of the install."""
-    first, installed = first_known_booking(first_hw, first_booked_date), F.to_date(as_col(install_ts))
+    first, installed = first_known_booking(first_ever, first_booked_date), F.to_date(as_col(install_ts))
     return (
         F.when((first < installed) | (as_col(first_booked) < as_col(install_ts)), "Existing Customer")
         .when(first >= installed, "New Customer")

@@ -8,17 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conversion_engine.functions import semantics as sem
 from conversion_engine.ml import evaluate, explain, training
-from conversion_engine.operators import attribution, bookings, cohort, features, funnel, identity, joins, milestones
+from conversion_engine.operators import attribution, bookings, cohort, features, funnel, identity, joins
 from conversion_engine.plans import oracle_relations as rel
 from conversion_engine.plans.conversion import ConversionJob, numeric_profiles
 from conversion_engine.session import checkpoint_root, materialize
 from conversion_engine.sources import commerce, logs
+from conversion_engine.sources.schemas import DEVICE_ID_COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPARK: dict[str, Query] = {}
@@ -167,12 +168,7 @@ def like_any_rules(spark: SparkSession, root: str) -> DataFrame:
 @query("SELECT name, timestamp_iso, device_id FROM o_devices")
 def device_key_coalesce(spark: SparkSession, root: str) -> DataFrame:
     log = commerce.tables(spark, root).install_log
-    return log.select("name", "timestamp_iso", identity.device_key(*logs_ids()).alias("device_id"))
-
-
-def logs_ids() -> tuple[str, ...]:
-    from conversion_engine.sources.schemas import DEVICE_ID_COLUMNS
-    return DEVICE_ID_COLUMNS
+    return log.select("name", "timestamp_iso", identity.device_key(*DEVICE_ID_COLUMNS).alias("device_id"))
 
 
 _TOUCH = ["device_id", *rel.TOUCHED, "install_timestamp", "install_date"]
@@ -586,14 +582,19 @@ def predicted(spark: SparkSession, root: str) -> DataFrame:
     return evaluate.threshold_predictions(scored(spark, root))
 
 
-@query("""
-SELECT column_name, CASE WHEN data_type = 'VARCHAR' THEN 'text' ELSE 'numeric' END AS kind
-FROM (VALUES ('c_custkey', 'BIGINT'), ('c_name', 'VARCHAR'), ('c_nationkey', 'INTEGER'), ('c_acctbal', 'DOUBLE'),
-  ('c_mktsegment', 'VARCHAR')) t(column_name, data_type)""")
+_CUSTOMER_KINDS = {"c_custkey": "numeric", "c_name": "text", "c_nationkey": "numeric", "c_acctbal": "numeric",
+                   "c_mktsegment": "text"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, '{kind}' AS kind, count({c}) AS known_rows FROM customer"
+                          for c, kind in _CUSTOMER_KINDS.items()))
 def feature_types(spark: SparkSession, root: str) -> DataFrame:
-    text, numeric = features.feature_types(commerce.read(spark, root, "customer"))
-    rows = [(c, "text") for c in text] + [(c, "numeric") for c in numeric]
-    return spark.createDataFrame(rows, "column_name string, kind string")
+    customer = commerce.read(spark, root, "customer")
+    text, numeric = features.feature_types(customer)
+    known = customer.agg(*[F.count(c).alias(c) for c in (*text, *numeric)])
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit("text" if c in text else "numeric").alias("kind"),
+                     F.col(c).alias("known_rows")) for c in (*text, *numeric)]
+    return known.select(F.inline(F.array(*rows)))
 
 
 @query(f"""
