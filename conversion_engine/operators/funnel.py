@@ -173,6 +173,10 @@ CHECKOUT_STEPS = {
     "started_confirm_details_step_count": "confirm_details",
 }
 
+# The funnels of ``count_specs``.
+COUNT_FUNNELS = ("search_steps", "destination_pages", "sort_filter", "recent_search", "property_views",
+                 "property_actions", "linkups", "checkout_starts", "checkout_steps")
+
 
 def search_spec() -> FunnelSpec:
     """Submitted searches; identical searches of a user on a day count once.

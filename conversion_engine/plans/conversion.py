@@ -231,7 +231,7 @@ def _wide(job: ConversionJob) -> DataFrame:
     cohort = materialize(opened, "analysis_cohort")
     keys = cohort.select("profile_id", "install_date").distinct()
     candidates = installs.join(keys, "profile_id", "left_semi")
-    daily = numeric_profiles(job.funnel_days(["search", *funnel.count_specs()], candidates, only_cohort=True))
+    daily = numeric_profiles(job.funnel_days(["search", *funnel.COUNT_FUNNELS], candidates, only_cohort=True))
     block = funnel.window_rollup(keys, daily, funnel.WINDOW_SPECS.values(), actions=True, hi=job.p.window_days)
     return assemble_features(_named(cohort), [block], ["profile_id", "install_date"]).select(*WIDE_COLUMNS)
 
@@ -253,7 +253,7 @@ def _parity_wide(job: ConversionJob) -> DataFrame:
     cohort = materialize(job.analysis_cohort(installs), "analysis_cohort")
     keys = cohort.groupBy("profile_id", "install_date").agg(F.count("*").alias("devices"))
     profiles = keys.select("profile_id").distinct()
-    counted = numeric_profiles(job.funnel_days(list(funnel.count_specs())))
+    counted = numeric_profiles(job.funnel_days(list(funnel.COUNT_FUNNELS)))
     counted = materialize(counted.join(profiles, "profile_id", "left_semi"), "funnel_days")
     searches = numeric_profiles(job.funnel_days(["search"], installs.join(profiles, "profile_id", "left_semi"), True))
 

@@ -26,6 +26,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
         .appName("conversion-engine")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # Without this every column expression looks up its line in the caller.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in {**ENGINE_CONF, **conf}.items():
         builder = builder.config(key, value)
