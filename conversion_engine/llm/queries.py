@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conversion_engine.llm import common, packing
+from conversion_engine.llm import common, packing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPARK: dict[str, Query] = {}
@@ -35,3 +35,13 @@ def op8_pack_sequences(spark: SparkSession, root: str) -> DataFrame:
     pieces = packing.pack(common.documents(spark, root), **tokenizer())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
                          "offset")
+
+
+@query
+def op7_find_personal_data(spark: SparkSession, root: str) -> DataFrame:
+    found = pii.detect(common.documents(spark, root))
+    plain = F.filter("spans", lambda s: s["plain"])
+    counts = [F.size(F.filter("spans", lambda s, k=kind: s["plain"] & (s["kind"] == k))).cast("long").alias(f"n_{kind}")
+              for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written(plain), 256).alias("base_sha256"),
+                        pii.written("spans").alias("spans"))
