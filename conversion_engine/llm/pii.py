@@ -9,6 +9,7 @@ from bisect import bisect_right
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conversion_engine.llm import common
 
@@ -213,7 +214,8 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     return out
 
 
-SPANS = "array<struct<kind:string,start:bigint,end:bigint,plain:boolean,value:string>>"
+SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long")
+                    .add("plain", "boolean").add("value", "string"))
 _SPAN_TYPE = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("plain", pa.bool_()),
                         ("value", pa.string())])
 

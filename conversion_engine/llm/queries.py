@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conversion_engine.llm import common, packing, pii
+from conversion_engine.llm import common, host_rules, packing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPARK: dict[str, Query] = {}
@@ -45,3 +45,36 @@ def op7_find_personal_data(spark: SparkSession, root: str) -> DataFrame:
               for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.written(plain), 256).alias("base_sha256"),
                         pii.written("spans").alias("spans"))
+
+
+@query
+def op10_host_rules(spark: SparkSession, root: str) -> DataFrame:
+    return host_rules.judge(common.documents(spark, root)).select(
+        "doc_id", *host_rules.METRICS, "base_failed", "kept")
+
+
+ORACLE["op10_host_rules"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY 1),
+m AS (SELECT w.doc_id, source, len(ws)::BIGINT AS n_words,
+             length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+             coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+f AS (SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars AS failed FROM b),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS k FROM f WHERE source IS NOT NULL GROUP BY 1),
+t AS (SELECT count(*) AS hosts, sum(n) AS n, sum(k) / sum(n) AS mean, sum(k * k / n) AS q FROM h),
+e AS (SELECT *, q / n - mean * mean - mean * (1 - mean) * hosts / n AS extra FROM t),
+s AS (SELECT mean, greatest(1.0, least(n, CASE WHEN extra > 0 THEN mean * (1 - mean) / extra - 1 ELSE n END)) AS strength
+      FROM e),
+v AS (SELECT source, (h.k + mean * strength) / (h.n + strength) > 0.5 AS rejected FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(rejected, false) AS kept
+FROM f LEFT JOIN v USING (source)
+"""
