@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conversion_engine.llm import common, host_rules, packing, pii
+from conversion_engine.llm import common, host_rules, line_dedup, packing, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPARK: dict[str, Query] = {}
@@ -78,3 +78,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT coalesce(rejected, false) AS kept
 FROM f LEFT JOIN v USING (source)
 """
+
+
+@query
+def op5_dedup_lines(spark: SparkSession, root: str) -> DataFrame:
+    return line_dedup.dedup_lines(common.documents(spark, root)).select(
+        "doc_id", "n_lines", "n_exact", "n_near", F.sha2("text", 256).alias("text_sha256"))
+
+
+ORACLE["op5_dedup_lines"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                  generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM l),
+n AS (SELECT *, len(ws) AS n, array_to_string(ws, ' ') AS norm FROM w),
+f AS (SELECT *, n = 0 OR row_number() OVER (PARTITION BY norm ORDER BY doc_id, i) = 1 AS first FROM n),
+c AS (SELECT doc_id, i, n, norm, ws FROM f WHERE first AND n >= 9),
+v AS (SELECT doc_id, i, n, p, array_to_string(list_concat(ws[:p - 1], ws[p + 1:]), ' ') AS v
+      FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM c)),
+near AS (
+  SELECT a.doc_id, a.i FROM v a JOIN v b ON a.v = b.v AND a.n = b.n AND a.p = b.p AND (b.doc_id, b.i) < (a.doc_id, a.i)
+  UNION SELECT a.doc_id, a.i FROM v a JOIN c b ON a.v = b.norm AND a.n = b.n + 1 AND (b.doc_id, b.i) < (a.doc_id, a.i)
+  UNION SELECT a.doc_id, a.i FROM c a JOIN v b ON a.norm = b.v AND b.n = a.n + 1 AND (b.doc_id, b.i) < (a.doc_id, a.i)),
+k AS (SELECT f.*, near.i IS NOT NULL AS near FROM f LEFT JOIN near ON f.doc_id = near.doc_id AND f.i = near.i),
+t AS (SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (NOT first))::BIGINT AS n_exact,
+             (count(*) FILTER (near))::BIGINT AS n_near,
+             sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (first AND NOT near), '')) AS text_sha256
+      FROM k GROUP BY 1)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near,
+       text_sha256 FROM documents LEFT JOIN t USING (doc_id)
+"""
