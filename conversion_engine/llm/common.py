@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,3 +133,54 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
         shelf.drop(last)
     member = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return member.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+#: A cached word costs some 150 bytes of a Python worker.
+CACHED_WORDS = 500_000
+_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, from a bounded cache."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < CACHED_WORDS and len(word) < 40:
+            self[word] = value
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads their bits."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    return x ^ (x >> np.uint64(31))
+
+
+def window_hashes(hashes: np.ndarray, length: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """Hashes of all runs of ``length`` words: polynomials of the odd ``base``, by doubling."""
+    total, size, step = None, 0, hashes
+    left, span = length, 1
+    while left:  # binary digits of the length; step holds the hashes of runs of span words
+        if left & 1:
+            if total is None:
+                total, size = step, span
+            else:
+                n = len(hashes) - size - span + 1
+                total = total[:n] * _power(base, span) + step[size:size + n]
+                size += span
+        left >>= 1
+        if left:
+            n = len(hashes) - 2 * span + 1
+            if n <= 0:
+                return np.zeros(0, np.uint64)
+            step = step[:n] * _power(base, span) + step[span:span + n]
+            span *= 2
+    return mixed(total)
+
+
+def _power(base: int, exponent: int) -> np.uint64:
+    return np.uint64(pow(base, exponent, 1 << 64))

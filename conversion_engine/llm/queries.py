@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conversion_engine.llm import common, host_rules, line_dedup, packing, pii
+from conversion_engine.llm import common, host_rules, line_dedup, packing, pii, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPARK: dict[str, Query] = {}
@@ -107,3 +107,24 @@ t AS (SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (NOT first)):
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near,
        text_sha256 FROM documents LEFT JOIN t USING (doc_id)
 """
+
+
+@query
+def op6_dedup_substrings(spark: SparkSession, root: str) -> DataFrame:
+    return substrings.dedup_substrings(common.documents(spark, root)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op6_dedup_substrings"] = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                                      lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY g) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM r),
+o AS (SELECT doc_id, word, p FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w)
+      ANTI JOIN c USING (doc_id, p)),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM o GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
