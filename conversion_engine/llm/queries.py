@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conversion_engine.llm import common, host_rules, line_dedup, packing, pii, substrings
+from conversion_engine.llm import common, host_rules, line_dedup, mixing, packing, pii, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPARK: dict[str, Query] = {}
@@ -128,3 +128,8 @@ k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FRO
 SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
 """
+
+
+@query
+def op9_mix_sources(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(common.documents(spark, root)).select("doc_id", "source", "rank", "slot", "phase")
