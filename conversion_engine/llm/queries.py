@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conversion_engine.llm import common, host_rules, line_dedup, mixing, packing, pii, substrings
+from conversion_engine.llm import common, host_rules, line_dedup, mixing, ngram_join, packing, pii, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPARK: dict[str, Query] = {}
@@ -133,3 +133,8 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 @query
 def op9_mix_sources(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(common.documents(spark, root)).select("doc_id", "source", "rank", "slot", "phase")
+
+
+@query
+def op2_ngram_jaccard(spark: SparkSession, root: str) -> DataFrame:
+    return ngram_join.jaccard_components(common.documents(spark, root)).select("doc_id", "n_shingles", "component_id")
