@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conversion_engine.llm import common, host_rules, line_dedup, mixing, ngram_join, packing, pii, substrings
+from conversion_engine.llm import (caps, common, host_rules, line_dedup, mixing, ngram_join, packing, pii, quality_crf,
+                                   substrings)
+from conversion_engine.llm.labels import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPARK: dict[str, Query] = {}
@@ -138,3 +140,16 @@ def op9_mix_sources(spark: SparkSession, root: str) -> DataFrame:
 @query
 def op2_ngram_jaccard(spark: SparkSession, root: str) -> DataFrame:
     return ngram_join.jaccard_components(common.documents(spark, root)).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op1_cap_filters(spark: SparkSession, root: str) -> DataFrame:
+    return caps.near_vectors(spark.read.parquet(f"{root}/embeddings.parquet"))
+
+
+@query
+def op3_line_field_quality(spark: SparkSession, root: str) -> DataFrame:
+    docs = common.documents(spark, root)
+    model = quality_crf.train(docs, spark.read.parquet(f"{root}/labels.parquet"))
+    return quality_crf.score(docs, model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
