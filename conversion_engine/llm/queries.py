@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conversion_engine.llm import (caps, common, host_rules, line_dedup, mixing, ngram_join, packing, pii, quality_crf,
-                                   substrings)
+                                   substrings, toxicity)
 from conversion_engine.llm.labels import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,9 +43,11 @@ def op8_pack_sequences(spark: SparkSession, root: str) -> DataFrame:
 def op7_find_personal_data(spark: SparkSession, root: str) -> DataFrame:
     found = pii.detect(common.documents(spark, root))
     plain = F.filter("spans", lambda s: s["plain"])
-    counts = [F.size(F.filter("spans", lambda s, k=kind: s["plain"] & (s["kind"] == k))).cast("long").alias(f"n_{kind}")
-              for kind in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.written(plain), 256).alias("base_sha256"),
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.written(plain), 256).alias("base_sha256"),
                         pii.written("spans").alias("spans"))
 
 
@@ -153,3 +155,11 @@ def op3_line_field_quality(spark: SparkSession, root: str) -> DataFrame:
     model = quality_crf.train(docs, spark.read.parquet(f"{root}/labels.parquet"))
     return quality_crf.score(docs, model).select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    docs = common.documents(spark, root)
+    model = toxicity.train(docs, spark.read.parquet(f"{root}/labels.parquet"))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
