@@ -105,7 +105,7 @@ def ranked(docs: DataFrame, source: Column, bits: int = 12) -> DataFrame:
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source_column: str = "source",
         block: int = 8, slots_per_period: int = 1024, max_sources: int = 4096) -> DataFrame:
-    """``docs`` with rank (in its source), slot and phase: the order of the mixture.
+    """``docs`` with rank (in its source), slot and phase, the last three columns: the order of the mixture.
 
     A source's rows, in the order of a hash, form blocks of ``block`` rows; each
     block has one slot. Within a phase, after any number of slots every source has had its
@@ -149,7 +149,6 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source_
         F.get("_phases", F.col("_at")).alias(own[2]))
 
 
-def in_order(mixed: DataFrame, order: list[str], rows_per_file: int = 20_000) -> DataFrame:
+def in_order(mixed: DataFrame, *order: str) -> DataFrame:
     """Rows sorted across and within partitions, for a reader that goes file by file."""
-    n = max(1, -(-mixed.count() // rows_per_file))
-    return mixed.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -375,8 +375,7 @@ def _verified(percent: int) -> Callable:
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column: str = "doc_id",
-                       text_column: str = "text", group: int = 64, most_common: int = 1 << 20,
-                       block_bytes: int = 8 << 20) -> DataFrame:
+                       text_column: str = "text", **limits: int) -> DataFrame:
     """(``id_column``, n_shingles, component_id, representative): groups of texts with similar shingle sets.
 
     Words are separated by ASCII white space, A-Z lower-cased; a text's set is its distinct
@@ -396,6 +395,27 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
     component_id is the smallest id that is not NULL, and NULL if there is none. Repeated rows are in one group.
     Other columns are ignored. An empty table gives no row.
     """
+    return _joined(docs, n, percent, id_column, text_column, **limits).select(
+        F.col("_id").alias(id_column), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"),
+        "representative")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text",
+                **limits: int) -> DataFrame:
+    """One row of each group of :func:`jaccard_components`, all columns: that of the smallest id.
+
+    Of rows equal in id and text one stays, with or without words.
+    """
+    name = common.fresh(docs, "_k")
+    chosen = _joined(docs, n, percent, id_column, text_column, **limits).where("representative") \
+        .select(F.col("_k").alias(name)).distinct()
+    keyed = docs.withColumn(name, common.row_key(id_column, text_column)[0])
+    return keyed.join(chosen, name, "left_semi").dropDuplicates([name]).drop(name)
+
+
+def _joined(docs: DataFrame, n: int, percent: int, id_column: str, text_column: str, group: int = 64,
+            most_common: int = 1 << 20, block_bytes: int = 8 << 20) -> DataFrame:
+    """(_k, _id, _n, _component, representative): the work of :func:`jaccard_components`, with the rows' keys."""
     spark = docs.sparkSession
     shelf = common.Shelf(spark, "ngram-join")
     key = common.row_key(id_column, text_column)[0].alias("_k")
@@ -448,6 +468,5 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_column
     least = named.where("_n > 0").groupBy("_group").agg(first)
     empty = F.col("_n") == 0
     return named.join(least, "_group", "left").select(
-        F.col("_id").alias(id_column), F.col("_n").alias("n_shingles"),
-        F.when(empty, F.col("_id")).otherwise(F.col("_first._id")).alias("component_id"),
+        "_k", "_id", "_n", F.when(empty, F.col("_id")).otherwise(F.col("_first._id")).alias("_component"),
         (empty | (F.col("_k") == F.col("_first._k"))).alias("representative"))

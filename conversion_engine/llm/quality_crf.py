@@ -218,6 +218,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return fit(x.astype(np.float64), per_text, good)
 
 
+def _scores(texts: list[bytes], model: LineModel | None, cache: common.WordHashes):
+    """(score of every text, P(good) of every line, where each text's lines begin and the last one's end)."""
+    x, per_text, length = line_features(texts, cache)
+    good = model.good(x, per_text) if model else np.ones(len(x))
+    weight = np.maximum(length, 1)
+    edges = np.concatenate([[0], np.cumsum(per_text)])
+    total = np.add.reduceat(good * weight, edges[:-1]) / np.add.reduceat(weight, edges[:-1])
+    return np.clip(total, 0, 1), good, edges
+
+
 def score(docs: DataFrame, model: LineModel | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(``id_column``, score, lines): the probability that a text is good, and that of each of its lines.
 
@@ -230,13 +240,23 @@ def score(docs: DataFrame, model: LineModel | None, id_column: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = common.WordHashes()
         for part in common.slices(batches):
-            x, per_text, length = line_features([t or b"" for t in part.column(1).to_pylist()], cache)
-            good = model.good(x, per_text) if model else np.ones(len(x))
-            weight = np.maximum(length, 1)
-            edges = np.concatenate([[0], np.cumsum(per_text)])
-            total = np.add.reduceat(good * weight, edges[:-1]) / np.add.reduceat(weight, edges[:-1])
+            total, good, edges = _scores([t or b"" for t in part.column(1).to_pylist()], model, cache)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.clip(total, 0, 1)),
-                 pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(good))], names=[id_column, "score", "lines"])
+                [part.column(0), pa.array(total), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(good))],
+                names=[id_column, "score", "lines"])
 
     return docs.select(f"`{id_column}`", F.col(f"`{text_column}`").cast("binary")).mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, model: LineModel | None, least: float = 0.3, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a score of ``least`` or more. No shuffle; cases as in :func:`score`."""
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = common.WordHashes()
+        for part in common.slices(batches):
+            texts = [t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()]
+            good = _scores(texts, model, cache)[0] >= least
+            yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
