@@ -7,7 +7,6 @@ the work after that depends on the number of different scores, not of rows.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +14,10 @@ from conversion_engine.functions.semantics import div0, flag
 from conversion_engine.session import materialize
 
 
+#: Ranges of scores that are summed side by side.
+SLICES = 32
+
+
 def predicted_class(score: str = "score", threshold: float = 0.5) -> Column:
     """1 where the score is above the threshold; a score equal to it is 0."""
     return flag(F.col(score) > threshold)
@@ -38,6 +41,13 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     )
 
 
+def log_loss(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """Mean logistic loss and rows of each class. Scores of 0 and 1 count as just inside."""
+    p = F.greatest(F.least(F.col(score), F.lit(1 - 1e-15)), F.lit(1e-15))
+    return scored.groupBy(F.col(label).alias("label")).agg(
+        (-F.avg(F.log(F.when(F.col(label) == 1, p).otherwise(1 - p)))).alias("logloss"), F.count("*").alias("rows"))
+
+
 def _cells(scored: DataFrame, label: str, prediction: str) -> DataFrame:
     """True/false negatives and positives as one row."""
     def cell(truth: int, predicted: int) -> Column:
@@ -96,7 +106,7 @@ def score_counts(scored: DataFrame, label: str = "label", score: str = "score")
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
-def _cumulated(counts: DataFrame, slices: int | None = None) -> DataFrame:
+def _cumulated(counts: DataFrame, slices: int = SLICES) -> DataFrame:
     """Counts with running totals from the highest score down, and the next row's counts.
 
     The distinct scores are cut into ``slices`` ranges of about equal size. Each
@@ -104,13 +114,9 @@ def _cumulated(counts: DataFrame, slices: int | None = None) -> DataFrame:
     above it; only the totals, one row per range, are put in one order.
     """
     counts = materialize(counts, "score_counts")
-    slices = slices or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = counts.approxQuantile("score", [i / slices for i in range(1, slices)], 0.001) if slices > 1 else []
-    borders = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(borders) > 2:
-        sliced = Bucketizer(splits=borders, inputCol="score", outputCol="slice").transform(counts)
-    else:
-        sliced = counts.withColumn("slice", F.lit(0.0))
+    cuts = counts.approxQuantile("score", [i / slices for i in range(slices)], 0.001)
+    # A score's slice is the number of cuts up to it: equal scores share one.
+    sliced = counts.withColumn("slice", sum(((F.col("score") >= c).cast("int") for c in sorted(set(cuts))), F.lit(0)))
     top = F.max_by(F.struct("pos", "neg"), "score")
     totals = sliced.groupBy("slice").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), top.alias("top"))
     down = Window.partitionBy(F.lit(0)).orderBy(F.desc("slice"))
@@ -134,7 +140,7 @@ def _cumulated(counts: DataFrame, slices: int | None = None) -> DataFrame:
 
 
 def roc_points(scored: DataFrame, label: str = "label", score: str = "score",
-               drop_intermediate: bool = True, slices: int | None = None) -> DataFrame:
+               drop_intermediate: bool = True, slices: int = SLICES) -> DataFrame:
     """Points of the ROC curve: ``threshold``, ``fpr``, ``tpr``; rows at or above the threshold are positive.
 
     With ``drop_intermediate`` points on a straight line between their
@@ -153,7 +159,7 @@ def roc_points(scored: DataFrame, label: str = "label", score: str = "score",
     return points.unionByName(start)
 
 
-def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", slices: int | None = None) -> DataFrame:
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", slices: int = SLICES) -> DataFrame:
     """Area under the ROC curve by ranks; tied scores count half. NULL with a single class."""
     rows = _cumulated(score_counts(scored, label, score), slices)
     below = F.col("negatives") - F.col("fp")

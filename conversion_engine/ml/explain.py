@@ -9,48 +9,52 @@ from pyspark.sql import functions as F
 from conversion_engine.ml.training import ConversionModel
 
 
-def shapley_values(model: ConversionModel, rows: DataFrame, key: str, sample: int = 20, orders: int = 4,
-                   seed: int = 64) -> DataFrame:
-    """Sampled Shapley values: ``key``, ``feature``, ``value``.
-
-    ``sample`` rows are explained against as many background rows; that both
-    are samples is the method. For every row and each of ``orders`` random
-    feature orders, the row's values replace the background's one feature at a
-    time, and the change of the score is credited to that feature. All mixed
-    rows of all explained rows are scored in one distributed transform.
+def shapley_changes(model: ConversionModel, rows: DataFrame, key: str, background: int = 20, orders: int = 4,
+                    seed: int = 64) -> DataFrame:
+    """Changes of the score along sampled orders: ``key``, run, ``feature``, change, base.
+
+    Every row is explained. For each of ``orders`` random feature orders (its runs), a row's values replace
+    those of one of ``background`` reference rows one feature at a time, and the change of the score is
+    credited to that feature; base is the reference's own score. The number of orders and reference rows sets the
+    method's precision. All mixed rows are scored in one distributed transform.
     """
     names = model.feature_names
     count = len(names)
     vectors = model.encode(rows)
     for stage in model.pipeline.stages[:-1]:
         vectors = stage.transform(vectors)
-    ranked = vectors.select(F.col(key).alias("__key"), vector_to_array("features").alias("x"),
-                            F.xxhash64(F.lit(seed), F.col(key)).alias("__order"))
-    explained = ranked.orderBy("__order", "__key").limit(sample).select("__key", "x")
-    background = (ranked.orderBy(F.desc("__order"), "__key").limit(sample)
-                  .select(F.row_number().over(Window.orderBy(F.desc("__order"), "__key")).alias("slot"), F.col("x").alias("z")))
-    runs = explained.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(orders)))).withColumn(
-        "slot", (F.pmod(F.xxhash64("__key", "run", F.lit(seed)), F.lit(sample)) + 1).cast("int"))
-    # A sample smaller than asked for has fewer background rows.
-    slots = background.agg(F.max("slot")).first()[0]
+    explained = vectors.select(F.col(key).alias("__key"), vector_to_array("features").alias("x"))
+    order = F.xxhash64(F.lit(seed), F.col("__key")).desc(), "__key"
+    chosen = explained.orderBy(*order).limit(background)
+    reference = chosen.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("slot"), F.col("x").alias("z"))
+    slots = chosen.count()
     if not slots:
         raise ValueError("no rows to explain")
-    runs = runs.withColumn("slot", (F.pmod(F.col("slot"), F.lit(slots)) + 1).cast("int")).join(background, "slot")
+    slot = F.pmod(F.xxhash64("__key", "run", F.lit(seed)), F.lit(slots)).cast("int")
+    runs = explained.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(orders)))).withColumn("slot", slot) \
+        .join(F.broadcast(reference), "slot")  # ``background`` rows at most
     positions = F.sequence(F.lit(0), F.lit(count - 1))
     keyed = F.transform(positions, lambda i: F.struct(F.xxhash64("__key", "run", i).alias("h"), i.alias("i")))
-    order = F.transform(F.array_sort(keyed), lambda s: s["i"])
-    steps = runs.withColumn("order", order).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(count))))
+    turns = F.transform(F.array_sort(keyed), lambda s: s["i"])
+    steps = runs.withColumn("order", turns).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(count))))
     replaced = F.slice("order", F.lit(1), F.col("step"))
     mixed = F.transform(positions, lambda i: F.when(F.array_contains(replaced, i), F.col("x")[i]).otherwise(F.col("z")[i]))
     rows_to_score = steps.select("__key", "run", "step", "order", array_to_vector(mixed).alias("features"))
     score = vector_to_array("probability")[1]
     scores = model.trees.transform(rows_to_score).select("__key", "run", "step", "order", score.alias("score"))
     # One window holds the count + 1 steps of a single run.
-    before = F.lag("score").over(Window.partitionBy("__key", "run").orderBy("step"))
-    credited = scores.withColumn("change", F.col("score") - before).where(F.col("step") > 0)
+    run = Window.partitionBy("__key", "run").orderBy("step")
+    credited = scores.withColumn("change", F.col("score") - F.lag("score").over(run)) \
+        .withColumn("base", F.first("score").over(run)).where(F.col("step") > 0)
     named = F.element_at(F.array(*[F.lit(n) for n in names]), F.element_at("order", F.col("step")) + 1)
-    return (credited.select("__key", named.alias("feature"), "change")
-            .groupBy(F.col("__key").alias(key), "feature").agg(F.avg("change").alias("value")))
+    return credited.select(F.col("__key").alias(key), "run", named.alias("feature"), "change", "base")
+
+
+def shapley_values(model: ConversionModel, rows: DataFrame, key: str, background: int = 20, orders: int = 4,
+                   seed: int = 64) -> DataFrame:
+    """Sampled Shapley values of every row, the means of its changes: ``key``, ``feature``, ``value``."""
+    changes = shapley_changes(model, rows, key, background, orders, seed)
+    return changes.groupBy(key, "feature").agg(F.avg("change").alias("value"))
 
 
 def shapley_summary(values: DataFrame) -> DataFrame:

@@ -6,16 +6,16 @@ import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from conversion_engine.operators.features import feature_types, split_bucket
 from conversion_engine.operators.joins import left_join_sparse
-from conversion_engine.session import checkpoint_root, materialize
+from conversion_engine.session import materialize, run_folder
 
 
 @dataclass(frozen=True)
@@ -30,11 +30,12 @@ class TrainingParams:
     max_bins: int = 255
     folds: int = 5
     prior_weight: float = 1.0
+    weighting: str = "scale_pos_weight"
 
 
 @dataclass
 class CategoryStatistics:
-    """Label statistics of one text column with too many values for an index."""
+    """Label statistics of one text column: positives and rows per value and fold."""
 
     column: str
     table: DataFrame
@@ -48,22 +49,27 @@ class CategoryStatistics:
     def _smoothed(self, positives: Column, rows: Column) -> Column:
         return (positives + self.prior * self.prior_weight) / (rows + self.prior_weight)
 
-    def encode(self, df: DataFrame) -> DataFrame:
-        """Smoothed share of positives per value; unseen values get the overall share."""
+    def _joined(self, df: DataFrame, rates: DataFrame, key: Column, spread_by: list[str]) -> DataFrame:
+        """NULLs, which no rate describes, and values without a rate get the overall share."""
+        joined = left_join_sparse(df, rates, key, "__value", spread_by or [self.column])
+        return joined.withColumn(self.output, F.coalesce(self.output, F.lit(self.prior)))
+
+    def encode(self, df: DataFrame, spread_by: list[str] = ()) -> DataFrame:
+        """Smoothed share of positives per value. ``spread_by`` tells rows with a NULL apart."""
         totals = self.table.groupBy(self.column).agg(F.sum("positives").alias("p"), F.sum("rows").alias("n"))
         rates = totals.select(F.col(self.column).alias("__value"),
                               self._smoothed(F.col("p"), F.col("n")).alias(self.output))
-        joined = left_join_sparse(df, rates, self.column, "__value", [self.column])
-        return joined.withColumn(self.output, F.coalesce(self.output, F.lit(self.prior)))
+        return self._joined(df, rates, F.col(self.column), list(spread_by))
 
-    def encode_out_of_fold(self, df: DataFrame, fold: str = "fold") -> DataFrame:
+    def encode_out_of_fold(self, df: DataFrame, spread_by: list[str] = (), fold: str = "fold") -> DataFrame:
         """As ``encode``, but each row is described by the other folds only."""
         totals = self.table.groupBy(self.column).agg(F.sum("positives").alias("p"), F.sum("rows").alias("n"))
+        def key(f: str) -> Column:
+            return F.concat(F.col(f).cast("string"), F.lit("\u0002"), F.col(self.column))
         others = self.table.join(totals, self.column).select(
-            F.concat_ws("\u0002", F.col("fold").cast("string"), self.column).alias("__value"),
+            key("fold").alias("__value"),
             self._smoothed(F.col("p") - F.col("positives"), F.col("n") - F.col("rows")).alias(self.output))
-        key = F.concat_ws("\u0002", F.col(fold).cast("string"), self.column)
-        return left_join_sparse(df, others, key, "__value", [self.column])
+        return self._joined(df, others, key(fold), list(spread_by))
 
 
 @dataclass
@@ -71,7 +77,6 @@ class ConversionModel:
     """A fitted classifier with everything that is needed to score new rows."""
 
     pipeline: PipelineModel
-    categories: list[str]
     numbers: list[str]
     statistics: list[CategoryStatistics] = field(default_factory=list)
     best_iteration: int = 0
@@ -83,11 +88,11 @@ class ConversionModel:
 
     @property
     def feature_names(self) -> list[str]:
-        return [*self.categories, *[s.column for s in self.statistics], *self.numbers]
+        return [*[s.column for s in self.statistics], *self.numbers]
 
     def encode(self, df: DataFrame) -> DataFrame:
         for s in self.statistics:
-            df = s.encode(df)
+            df = s.encode(df, self.numbers)
         return df
 
     def score(self, df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -102,7 +107,7 @@ class ConversionModel:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
         for s in self.statistics:
             s.table.write.mode("overwrite").parquet(f"{path}/statistics/{s.column}")
-        meta = {"categories": self.categories, "numbers": self.numbers, "best_iteration": self.best_iteration,
+        meta = {"numbers": self.numbers, "best_iteration": self.best_iteration,
                 "learning_losses": self.learning_losses,
                 "statistics": [[s.column, s.prior, s.prior_weight] for s in self.statistics]}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
@@ -113,39 +118,34 @@ class ConversionModel:
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
         statistics = [CategoryStatistics(c, spark.read.parquet(f"{path}/statistics/{c}"), prior, weight)
                       for c, prior, weight in meta["statistics"]]
-        return cls(PipelineModel.load(f"{path}/pipeline"), meta["categories"], meta["numbers"], statistics,
+        return cls(PipelineModel.load(f"{path}/pipeline"), meta["numbers"], statistics,
                    meta["best_iteration"], meta["learning_losses"])
 
 
-def best_with_patience(losses: Iterable[float], patience: int) -> int:
-    """Number of iterations to keep: up to the lowest loss seen before ``patience`` rounds without a lower one."""
+def best_with_patience(losses: Iterable[float], patience: int) -> tuple[int, bool]:
+    """Number of iterations to keep, up to the lowest loss seen before ``patience`` rounds without a lower one;
+    and whether that patience ran out."""
     best, best_at = float("inf"), 0
     for i, loss in enumerate(losses):
         if loss < best:
             best, best_at = loss, i
         elif i - best_at >= patience:
-            break
-    return best_at + 1
+            return best_at + 1, True
+    return best_at + 1, False
 
 
-def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
-    """The same ensemble with its first ``n`` trees only.
+def best_iterations(curve: DataFrame, patience: int) -> DataFrame:
+    """(split, iteration, logloss): the lowest loss of each split's ``curve`` before patience ran out.
 
-    Boosting adds trees one after the other, so this is the model that training
-    would have given with ``n`` iterations.
+    A curve has a row per iteration, of which there are as many as the training allows.
     """
-    if n >= model.getNumTrees:
-        return model
-    jvm, gateway = SparkSession.active().sparkContext._jvm, SparkSession.active().sparkContext._gateway
-    ml = jvm.org.apache.spark.ml
-    trees = gateway.new_array(ml.regression.DecisionTreeRegressionModel, n)
-    weights = gateway.new_array(jvm.double, n)
-    for i, (tree, weight) in enumerate(zip(model._java_obj.trees()[:n], model.treeWeights[:n])):
-        trees[i], weights[i] = tree, weight
-    cut = ml.classification.GBTClassificationModel(model.uid, trees, weights, model.numFeatures, 2)
-    kept = GBTClassificationModel(cut)
-    kept.setFeaturesCol(model.getFeaturesCol())
-    return kept
+    up = Window.partitionBy("split").orderBy("iteration")
+    lowest = F.min(F.struct("logloss", "iteration")).over(up)
+    stop = F.min(F.when(F.col("iteration") - F.col("low.iteration") >= patience, F.col("iteration"))).over(
+        Window.partitionBy("split"))
+    seen = curve.withColumn("low", lowest).withColumn("stop", stop)
+    return seen.where(F.col("stop").isNull() | (F.col("iteration") <= F.col("stop"))).groupBy("split").agg(
+        F.min(F.struct("logloss", "iteration")).alias("best")).select("split", "best.iteration", "best.logloss")
 
 
 def category_statistics(df: DataFrame, column: str, label: str, params: TrainingParams, prior: float) -> CategoryStatistics:
@@ -155,62 +155,73 @@ def category_statistics(df: DataFrame, column: str, label: str, params: Training
     return CategoryStatistics(column, materialize(table, f"statistics_{column}"), prior, params.prior_weight)
 
 
-def train(df: DataFrame, label: str = "label", key: str | None = None, split: str = "split",
+def row_weight(label: Column, positives: int, negatives: int, weighting: str) -> Column:
+    """Weights that balance the classes: 'scale_pos_weight' (positives count negatives per positive),
+    'class_weights' (each class its inverse frequency) or 'none'."""
+    total = positives + negatives
+    pair = {"scale_pos_weight": (negatives / positives, 1.0), "class_weights": (total / positives, total / negatives),
+            "none": (1.0, 1.0)}[weighting]
+    return F.when(label == 1, pair[0]).otherwise(pair[1])
+
+
+def _boosted(gbt: GBTClassifier, training: DataFrame, validation: DataFrame,
+             params: TrainingParams) -> tuple[GBTClassificationModel, int, dict[str, list[float]]]:
+    """The ensemble with the best number of iterations, that number, and the losses per iteration.
+
+    Rounds of more and more iterations are fitted until the validation loss has not fallen for
+    ``patience`` iterations; the same seed gives the same trees again, so that the best number
+    can be fitted once more by itself.
+    """
+    tried = min(params.iterations, 2 * params.patience)
+    validated = not validation.isEmpty()
+    while True:
+        fitted = gbt.setMaxIter(tried).fit(training)
+        # Spark reports twice the logistic loss.
+        losses = {"train": [v / 2 for v in fitted.evaluateEachIteration(training)]}
+        best, stopped = tried, False
+        if validated:
+            losses["validation"] = [v / 2 for v in fitted.evaluateEachIteration(validation)]
+            best, stopped = best_with_patience(losses["validation"], params.patience)
+        if stopped or tried == params.iterations:
+            return (fitted if best == tried else gbt.setMaxIter(best).fit(training)), best, losses
+        tried = min(params.iterations, 4 * tried)
+
+
+def train(df: DataFrame, label: str = "label", key: str | None = None, split: str = "split", group: str | None = None,
           params: TrainingParams = TrainingParams()) -> ConversionModel:
     """Train on the rows marked 'train', keep the best iteration on 'validation'.
 
-    Text columns are categories: indexed while they have fewer values than the
-    trees have bins, replaced by their out-of-fold share of positives beyond
-    that. Positives are weighted by negatives per positive.
+    Text columns are categories: their out-of-fold share of positives describes them, rows of one
+    ``group`` (by default ``key``) being in one fold.
     """
     spark = df.sparkSession
-    reserved = {label, split, *([key] if key else [])}
+    reserved = {label, split, *[c for c in (key, group) if c]}
     text, numbers = feature_types(df, exclude=reserved)
-    fold = split_bucket(F.col(key) if key else F.concat_ws("|", *text, *numbers), params.folds)
-    rows = materialize(df.withColumn("fold", fold), "training_rows")
+    fold = split_bucket(F.col(group or key) if group or key else F.concat_ws("|", *text, *numbers), params.folds)
+    rows = materialize(df.withColumn("fold", F.coalesce(fold, F.lit(0))), "training_rows")
     training, validation = rows.where(F.col(split) == "train"), rows.where(F.col(split) == "validation")
-
-    facts = training.agg(
-        F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos"),
-        *[F.approx_count_distinct(c).alias(f"d_{i}") for i, c in enumerate(text)]).first()
+    facts = training.agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")).first()
     positives, negatives = facts["pos"] or 0, facts["n"] - (facts["pos"] or 0)
     if not positives or not negatives:
         raise ValueError("training needs rows of both classes")
-    # The estimate may be a few percent off; a tenth of the bins is kept free.
-    limit = 0.9 * params.max_bins
-    indexed = [c for i, c in enumerate(text) if facts[f"d_{i}"] <= limit]
-    prior = positives / facts["n"]
-    statistics = [category_statistics(training, c, label, params, prior) for c in text if c not in indexed]
+    spread = [key] if key else numbers
+    statistics = [category_statistics(training, c, label, params, positives / facts["n"]) for c in text]
     for s in statistics:
-        training, validation = s.encode_out_of_fold(training), s.encode(validation)
-
-    weight = F.when(F.col(label) == 1, negatives / positives).otherwise(1.0)
+        training, validation = s.encode_out_of_fold(training, spread), s.encode(validation, spread)
+    weight = row_weight(F.col(label), positives, negatives, params.weighting)
     training, validation = training.withColumn("weight", weight), validation.withColumn("weight", weight)
-    stages = []
-    if indexed:
-        stages.append(StringIndexer(inputCols=indexed, outputCols=[f"{c}__index" for c in indexed], handleInvalid="keep"))
-    inputs = [f"{c}__index" for c in indexed] + [s.output for s in statistics] + numbers
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
-    prepared = Pipeline(stages=stages).fit(training)
+    assembler = VectorAssembler(inputCols=[s.output for s in statistics] + numbers, outputCol="features", handleInvalid="keep")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    gbt = GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", maxIter=params.iterations,
-                        stepSize=params.learning_rate, maxDepth=params.depth, seed=params.seed,
-                        maxBins=params.max_bins + 1, checkpointInterval=10)
+        spark.sparkContext.setCheckpointDir(run_folder(spark))
+    gbt = GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", stepSize=params.learning_rate,
+                        maxDepth=params.depth, seed=params.seed, maxBins=params.max_bins + 1, checkpointInterval=10)
     columns = [label, "weight", "features"]
-    train_vectors = prepared.transform(training).select(*columns).persist()
-    valid_vectors = prepared.transform(validation).select(*columns).persist()
-    fitted = gbt.fit(train_vectors)
-    # Spark reports twice the logistic loss.
-    losses = {"train": [v / 2 for v in fitted.evaluateEachIteration(train_vectors)]}
-    best = params.iterations
-    if not valid_vectors.isEmpty():
-        losses["validation"] = [v / 2 for v in fitted.evaluateEachIteration(valid_vectors)]
-        best = best_with_patience(losses["validation"], params.patience)
+    train_vectors = assembler.transform(training).select(*columns).persist()
+    valid_vectors = assembler.transform(validation).select(*columns).persist()
+    fitted, best, losses = _boosted(gbt, train_vectors, valid_vectors, params)
     train_vectors.unpersist()
     valid_vectors.unpersist()
-    model = PipelineModel([*prepared.stages, first_trees(fitted, best)])
-    return ConversionModel(model, indexed, numbers, statistics, best, losses)
+    return ConversionModel(PipelineModel([assembler, fitted]), numbers, statistics, best, losses)
 
 
 def learning_curve(model: ConversionModel) -> DataFrame:

@@ -86,8 +86,9 @@ def feature_types(df: DataFrame, exclude: Iterable[str] = ()) -> tuple[list[str]
 
 
 def split_bucket(key: ColumnLike, buckets: int = 100) -> Column:
-    """A stable bucket per key, the same in every run and on every cluster."""
-    return F.pmod(F.xxhash64(as_col(key)), F.lit(buckets)).cast("int")
+    """A stable bucket per key, from the first eight digits of its MD5; the same on every engine."""
+    digits = F.substring(F.md5(as_col(key).cast("string").cast("binary")), 1, 8)
+    return (F.conv(digits, 16, 10).cast("bigint") % buckets).cast("int")
 
 
 def assign_split(df: DataFrame, key: ColumnLike, validation_percent: int = 20, out: str = "split") -> DataFrame:
@@ -101,8 +102,12 @@ def prepare_features(wide: DataFrame, label: Column, drop: Iterable[str] = (*IDE
     """Label and model-ready columns: dates and dropped columns go, NULLs are filled.
 
     ``keep`` names columns that survive unchanged, such as the key of the split.
-    ``fills`` overrides the filling value of single columns.
+    ``fills`` overrides the filling value of single columns. Measurements that the row's
+    platform does not report become text (``mark_unavailable``).
     """
+    reported = [c for c in IOS_ONLY_COLUMNS if c in wide.columns]
+    if "platform" in wide.columns and reported:
+        wide = mark_unavailable(wide, reported)
     keep, fills = list(keep), dict(fills or {})
     dropped = {*drop, *keep}
     text, numeric = feature_types(wide, exclude=dropped)

@@ -65,6 +65,18 @@ class FunnelSpec:
     distinct_on: tuple[str, ...] = ()
     by: tuple[str, ...] = ()
     late: tuple[Measure, ...] = ()
+    events: tuple[str, ...] = ()
+    any_case: bool = False
+
+
+def event_filter(specs: Iterable[FunnelSpec]) -> Column | None:
+    """A condition on the raw event name that all events of ``specs`` meet; None if one of them needs any name."""
+    specs = list(specs)
+    if not all(s.events for s in specs):
+        return None
+    if any(s.any_case for s in specs):
+        return F.lower("event_name").isin(*sorted({e.lower() for s in specs for e in s.events}))
+    return F.col("event_name").isin(*sorted({e for s in specs for e in s.events}))
 
 
 def _partials(spec: FunnelSpec, where: Column | None = None) -> list[Column]:
@@ -96,30 +108,35 @@ def _merged(spec: FunnelSpec, final: bool, copies: Column | None = None) -> list
 
 def daily_rollup(events: DataFrame, specs: Iterable[FunnelSpec], user_map: DataFrame | None = None,
                  distinct: FunnelSpec | None = None,
-                 enrich: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                 enrich: Callable[[DataFrame], DataFrame] | None = None,
+                 profiles: DataFrame | None = None) -> DataFrame:
     """Measures of all specs per (day, profile); NULL where a spec has no event that day.
 
     ``distinct`` is one spec with ``distinct_on``. ``enrich`` adds the columns its
     late measures need, among them ``copies``, to rows per day, profile and
     ``by`` columns; how often a distinct event counts is up to ``copies``.
+    Events of no spec go before the first aggregation, profiles that are not in ``profiles``
+    (numbers, in a column of the profile's name) as soon as logged-out events have theirs.
     """
     specs = list(specs)
     keys = [DAY, PROFILE, USER]
-    rows = events
+    wanted = [s.where for s in specs] + ([distinct.where] if distinct is not None else [])
+    rows = events.where(reduce(lambda a, b: a | b, wanted))
     if distinct is not None:
         signature = F.when(distinct.where, F.struct(*distinct.distinct_on))
         rows = rows.withColumn(SEARCH, signature)
         keys = [*keys, SEARCH]
     counts = [c for s in specs for c in _partials(s)]
     partial = rows.groupBy(*keys).agg(*counts) if counts else rows.select(*keys).distinct()
-    # Groups without a matching event go here. A filter on the events would be
-    # pushed below the parsing of their parameters, which would then be parsed
-    # again for every condition.
+    # Events whose condition holds may still lack every measure.
     found = [m.name for s in specs for m in s.measures if m.kind != "avg"] + ([SEARCH] if distinct else [])
     partial = partial.where(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in found]))
     if user_map is not None:
         spread = [DAY, USER] + ([SEARCH] if distinct is not None else [])
         partial = resolve_identity(partial, user_map, spread)
+    if profiles is not None:
+        known = profiles.select(F.col(PROFILE).alias("__wanted"))
+        partial = partial.join(known, F.col(PROFILE).try_cast("bigint") == F.col("__wanted"), "left_semi")
     finals = [c for s in specs for c in _merged(s, final=True)]
     if distinct is None:
         return partial.groupBy(DAY, PROFILE).agg(*finals)
@@ -229,19 +246,19 @@ def count_specs() -> dict[str, FunnelSpec]:
             (
                 Measure("destination_search_pages_viewed", one),
                 Measure("avg_number_properties_returned", F.col("number_results"), "avg"),
-            )),
+            ), events=("Destination_Search_Page_Viewed",)),
         FunnelSpec(
             "sort_filter",
             (name == "Destination_Search_Page_Event") & action.isin("Filter Used", "Sort Used") & has_country,
             (
                 Measure("filter_used_count", flag(action == "Filter Used")),
                 Measure("sort_used_count", flag(action == "Sort Used")),
-            )),
+            ), events=("Destination_Search_Page_Event",)),
         FunnelSpec(
             "recent_search",
             (name == "Homepage_Event") & (page == "Homepage") & (action == "Home Panel Clicked")
             & F.col("panel_clicked").ilike("Searches%"),
-            (Measure("recent_search_clicks", one),)),
+            (Measure("recent_search_clicks", one),), events=("Homepage_Event",)),
         FunnelSpec(
             "property_views", name.ilike("view_item"),
             (
@@ -249,19 +266,20 @@ def count_specs() -> dict[str, FunnelSpec]:
                 Measure("hostels_viewed", flag(category.ilike("%hostel%"))),
                 Measure("non_hostels_viewed", flag(~category.ilike("%hostel%"))),
                 Measure("viewed_property_avg_position", F.col("position").try_cast("double"), "avg"),
-            )),
+            ), events=("view_item",), any_case=True),
         FunnelSpec(
             "property_actions",
             (name == "Property_Details_Page_Event") & (page == "Property Details")
             & like_any(action, labels, ignore_case=True),
             # The event filter ignores letter case, the single actions do not.
-            tuple(Measure(out, flag(action.isin(*group)), "any") for out, group in PROPERTY_ACTIONS.items())),
+            tuple(Measure(out, flag(action.isin(*group)), "any") for out, group in PROPERTY_ACTIONS.items()),
+            events=("Property_Details_Page_Event",)),
         FunnelSpec(
             "linkups", (page == "Linkups View") & (name == "Property_Details_Linkups_View"),
-            (Measure("linkups_view_propt_page", one),)),
+            (Measure("linkups_view_propt_page", one),), events=("Property_Details_Linkups_View",)),
         FunnelSpec(
             "checkout_starts", name.ilike("begin_checkout"),
-            (Measure("checkout_starts", one),)),
+            (Measure("checkout_starts", one),), events=("begin_checkout",), any_case=True),
         FunnelSpec(
             "checkout_steps",
             (action == "Checkout Step Viewed") | name.isin("begin_checkout", "Checkout_Confirm_Clicked"),

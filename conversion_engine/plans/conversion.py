@@ -202,7 +202,10 @@ class ConversionJob:
         chosen = [specs[n] for n in names if n != "search"]
         search = funnel.search_spec() if "search" in names else None
         enrich = self.add_trip(self.homes(installs), "inner" if only_cohort else "left") if search else None
-        return funnel.daily_rollup(self.events, chosen, self.user_map, search, enrich)
+        profiles = installs.select("profile_id").distinct() if only_cohort else None
+        named = funnel.event_filter([*chosen, *([search] if search else [])])
+        events = normalize_events(self.t.event_log, self.p.install_start, self.p.data_end, only=named)
+        return funnel.daily_rollup(events, chosen, self.user_map, search, enrich, profiles)
 
     # the wide table
 

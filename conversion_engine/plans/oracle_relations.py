@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-START, INSTALL_END, DATA_END = "DATE '2024-01-01'", "DATE '2024-01-20'", "DATE '2024-01-30'"
+START, INSTALL_END, DATA_END = "DATE '2024-01-03'", "DATE '2024-01-20'", "DATE '2024-01-27'"
 BUCKETS = {"day0": (0, 0), "day1": (1, 1), "days2to5": (2, 5), "days6to13": (6, 13),
            "days14to20": (14, 20), "days21to28": (21, 28), "days0to28": (0, 28)}
 

@@ -6,9 +6,10 @@ the names to SQL for DuckDB. Numbers with a fraction are rounded on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,10 +17,10 @@ from conversion_engine.functions import semantics as sem
 from conversion_engine.ml import evaluate, explain, training
 from conversion_engine.operators import attribution, bookings, cohort, features, funnel, identity, joins
 from conversion_engine.plans import oracle_relations as rel
-from conversion_engine.plans.conversion import ConversionJob, numeric_profiles
-from conversion_engine.session import checkpoint_root, materialize
+from conversion_engine.plans.conversion import ConversionJob, ConversionTables, numeric_profiles
+from conversion_engine.session import materialize, run_folder
 from conversion_engine.sources import commerce, logs
-from conversion_engine.sources.schemas import DEVICE_ID_COLUMNS
+from conversion_engine.sources.schemas import DEVICE_ID_COLUMNS, SCHEMAS
 
 Query = Callable[[SparkSession, str], DataFrame]
 SPARK: dict[str, Query] = {}
@@ -520,11 +521,12 @@ def wide_feature_table_parity(spark: SparkSession, root: str) -> DataFrame:
 
 
 _LABELLED = ["device_id", "label", "platform", "install_source", "brand", "push_yn", "app_open_count",
-             "searches", "views", "checkouts"]
+             "searches", "views", "checkouts", "split"]
+_BUCKET = "(CAST('0x' || substr(md5(coalesce(CAST(idprofile AS VARCHAR), device_id)), 1, 8) AS BIGINT) % 100)"
 
 
 @query(f"""
-SELECT device_id, CASE WHEN customer_status = 'New Customer' THEN 1 ELSE 0 END AS label,
+SELECT device_id, CASE WHEN {_BUCKET} < 20 THEN 'validation' ELSE 'train' END AS split, CASE WHEN customer_status = 'New Customer' THEN 1 ELSE 0 END AS label,
   coalesce(platform, 'missing') AS platform, coalesce(install_source, 'missing') AS install_source, coalesce(brand, 'missing') AS brand,
   CAST(push_yn AS DOUBLE) AS push_yn, CAST(app_open_count AS DOUBLE) AS app_open_count,
   coalesce(CAST(days0to28_searches_made AS DOUBLE), -1) AS searches, coalesce(CAST(days0to28_property_views AS DOUBLE), -1) AS views,
@@ -532,11 +534,79 @@ SELECT device_id, CASE WHEN customer_status = 'New Customer' THEN 1 ELSE 0 END A
 FROM ({rel.wide_sql(features.WIDE_COLUMNS)})""")
 def label_and_split(spark: SparkSession, root: str) -> DataFrame:
     wide = job(spark, root).wide_features().select(
-        "device_id", "customer_status", "install_date", "days0to28_app_bookings", "platform", "install_source", "brand",
+        "device_id", "idprofile", "customer_status", "install_date", "days0to28_app_bookings", "platform", "install_source", "brand",
         "push_yn", "app_open_count", F.col("days0to28_searches_made").alias("searches"),
         F.col("days0to28_property_views").alias("views"), F.col("days0to28_checkout_starts").alias("checkouts"))
-    prepared = features.prepare_features(wide, features.new_customer_label(), keep=["device_id"], fills={"checkouts": 0.0})
-    return features.assign_split(prepared, "device_id").select(*_LABELLED)
+    prepared = features.prepare_features(wide, features.new_customer_label(), keep=["device_id", "idprofile"],
+                                         fills={"checkouts": 0.0})
+    return features.assign_split(prepared, _user()).select(*_LABELLED)
+
+
+def _user() -> Column:
+    """Whose rows stay together: a profile has one label, whatever its devices."""
+    return F.coalesce(F.col("idprofile").cast("string"), "device_id")
+
+
+@query(f"""
+SELECT device_id, platform, {', '.join(f"CASE WHEN lower(platform) = 'android' THEN 'non_available' ELSE CAST({c} AS VARCHAR) END AS {c}"
+                                       for c in features.IOS_ONLY_COLUMNS)}
+FROM ({rel.wide_sql(features.WIDE_COLUMNS)})""")
+def platform_marking(spark: SparkSession, root: str) -> DataFrame:
+    wide = job(spark, root).wide_features().select("device_id", "platform", *features.IOS_ONLY_COLUMNS)
+    return features.mark_unavailable(wide)
+
+
+@query(rel.wide_sql(_wide_columns()))
+def wide_feature_table_stored(spark: SparkSession, root: str) -> DataFrame:
+    """The wide table from the twelve tables as a user keeps them: written, then read from one folder."""
+    folder, source = f"{run_folder(spark)}/domain-{uuid.uuid4().hex}", commerce.tables(spark, root)
+    for name in SCHEMAS:
+        logs.write_table(getattr(source, name), f"{folder}/{name}")
+    return ConversionJob(ConversionTables.read(spark, folder), commerce.PERIOD).wide_features()
+
+
+# --- category rates --------------------------------------------------------
+
+# Priorities as categories: some unknown, one kind seen in a single fold, one not seen before.
+rel.RELATIONS["o_categories"] = """
+SELECT o_orderkey, o_orderkey % 5 AS fold, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
+  CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 3 AND o_custkey % 3 = 0 THEN 'ONE FOLD' ELSE o_orderpriority END AS category
+FROM orders"""
+rel.RELATIONS["o_category_folds"] = """
+SELECT category, fold, sum(label) AS p, count(*) AS n FROM o_categories WHERE o_orderkey % 2 = 0 GROUP BY ALL"""
+
+
+def _categories(spark: SparkSession, root: str) -> tuple[DataFrame, training.CategoryStatistics]:
+    key = F.col("o_orderkey")
+    category = F.when(key % 7 == 0, None).when((key % 5 == 3) & (F.col("o_custkey") % 3 == 0), "ONE FOLD") \
+        .otherwise(F.col("o_orderpriority"))
+    rows = commerce.read(spark, root, "orders").select(
+        "o_orderkey", (key % 5).cast("int").alias("fold"), sem.flag(F.col("o_orderstatus") == "F").alias("label"),
+        category.alias("category"))
+    learned = rows.where(key % 2 == 0)
+    prior = learned.agg(F.avg("label")).first()[0]
+    return rows, training.category_statistics(learned, "category", "label", training.TrainingParams(), prior)
+
+
+@query(f"""
+SELECT o_orderkey, {r("coalesce((p + prior) / (n + 1), prior)", "rate")}
+FROM o_categories LEFT JOIN (SELECT category, sum(p) AS p, sum(n) AS n FROM o_category_folds GROUP BY 1) USING (category),
+  (SELECT sum(p) / sum(n) AS prior FROM o_category_folds)""")
+def category_rates_scoring(spark: SparkSession, root: str) -> DataFrame:
+    rows, statistics = _categories(spark, root)
+    return statistics.encode(rows, ["o_orderkey"]).select("o_orderkey", F.col(statistics.output).alias("rate"))
+
+
+@query(f"""
+SELECT o_orderkey, {r("coalesce((t.p - f.p + prior) / (t.n - f.n + 1), prior)", "rate")}
+FROM o_categories c LEFT JOIN o_category_folds f ON c.category = f.category AND c.fold = f.fold
+  LEFT JOIN (SELECT category, sum(p) AS p, sum(n) AS n FROM o_category_folds GROUP BY 1) t ON t.category = f.category,
+  (SELECT sum(p) / sum(n) AS prior FROM o_category_folds)
+WHERE o_orderkey % 2 = 0""")
+def category_rates_out_of_fold(spark: SparkSession, root: str) -> DataFrame:
+    rows, statistics = _categories(spark, root)
+    own = statistics.encode_out_of_fold(rows.where(F.col("o_orderkey") % 2 == 0), ["o_orderkey"])
+    return own.select("o_orderkey", F.col(statistics.output).alias("rate"))
 
 
 # --- evaluation on a fixed score -------------------------------------------
@@ -660,21 +730,50 @@ def roc_auc_rank(spark: SparkSession, root: str) -> DataFrame:
     return evaluate.roc_auc(scored(spark, root))
 
 
-# --- the model (checked by rows and invariants, not by SQL) ----------------
+@query(f"""
+SELECT label, {r("-avg(ln(CASE WHEN label = 1 THEN score ELSE 1 - score END))", "logloss")}, count(*) AS rows
+FROM (SELECT label, greatest(least(score, 1 - 1e-15), 1e-15) AS score FROM o_scored) GROUP BY label""")
+def logloss_by_class(spark: SparkSession, root: str) -> DataFrame:
+    return evaluate.log_loss(scored(spark, root))
 
-#: Small enough for the sample data; a real run uses the defaults of TrainingParams.
-DEMO_PARAMS = training.TrainingParams(iterations=8, depth=3, patience=3, folds=3)
-_models: dict[tuple[str, str], tuple[training.ConversionModel, DataFrame]] = {}
+
+# A loss that falls to a lowest point, stays above it longer than the patience, and falls again.
+_CURVE = """SELECT DISTINCT CASE WHEN o_orderstatus = 'F' THEN 'train' ELSE 'validation' END AS split, CAST(o_orderkey % 900 AS INTEGER) AS iteration
+FROM {orders}"""
+_LOSS = "CASE WHEN iteration <= 400 THEN 1.0 - iteration / 1000.0 WHEN iteration <= 600 THEN 0.7 ELSE 0.1 END"
+
+
+@query(f"""
+WITH c AS (SELECT split, iteration, CAST({_LOSS} AS DOUBLE) AS logloss FROM ({_CURVE.format(orders="orders")})),
+l AS (SELECT *, min(logloss) OVER (PARTITION BY split ORDER BY iteration) AS low FROM c),
+b AS (SELECT *, max(CASE WHEN logloss = low THEN iteration END) OVER (PARTITION BY split ORDER BY iteration) AS low_at FROM
+      (SELECT *, row_number() OVER (PARTITION BY split, low ORDER BY iteration) AS k FROM l) WHERE logloss > low OR k = 1),
+s AS (SELECT split, min(iteration) FILTER (iteration - low_at >= 50) AS stop FROM b GROUP BY 1)
+SELECT split, min(iteration) AS iteration, {r("min(logloss)", "logloss")} FROM
+  (SELECT c.*, min(logloss) OVER (PARTITION BY split) AS best FROM c JOIN s USING (split) WHERE iteration <= coalesce(stop, 100000))
+WHERE logloss = best GROUP BY split""")
+def best_iteration_patience(spark: SparkSession, root: str) -> DataFrame:
+    curve = spark.sql(f"SELECT split, iteration, CAST({_LOSS} AS DOUBLE) AS logloss FROM ({_CURVE})",
+                      orders=commerce.read(spark, root, "orders"))
+    return training.best_iterations(curve, 50)
+
+
+# --- the model: trained as published, checked by rows and invariants -------
+
+_models: dict[tuple, tuple[training.ConversionModel, DataFrame]] = {}
 
 
 def trained(spark: SparkSession, root: str) -> tuple[training.ConversionModel, DataFrame]:
-    """The model and its prepared rows, trained once per folder and session."""
-    key = (spark.sparkContext.applicationId, root)
+    """The model and its prepared rows, trained once per session for the same source rows."""
+    marks = [commerce.read(spark, root, name).agg(F.count("*"), F.bit_xor(F.xxhash64("*"))).first()
+             for name in ("events", "orders", "customer")]
+    key = (spark.sparkContext.applicationId, *map(tuple, marks))
     if key not in _models:
         wide = job(spark, root).wide_features()
-        prepared = features.prepare_features(wide, features.new_customer_label(), keep=["device_id"])
-        rows = materialize(features.assign_split(prepared, "device_id", 30), "prepared")
-        _models[key] = training.train(rows, key="device_id", params=DEMO_PARAMS), rows
+        prepared = features.prepare_features(wide, features.new_customer_label(), keep=["device_id", "idprofile"])
+        grouped = prepared.withColumn("user", _user()).drop("idprofile")
+        rows = materialize(features.assign_split(grouped, "user", 30), "prepared")
+        _models[key] = training.train(rows, key="device_id", group="user"), rows
     return _models[key]
 
 
@@ -684,6 +783,17 @@ def gbt_train_score(spark: SparkSession, root: str) -> DataFrame:
     return model.score(rows).select("device_id", "split", "label", "score", "prediction")
 
 
+@query(f"""
+SELECT split, label, count(*) AS rows, count(*) AS scores_in_range FROM
+  (SELECT CASE WHEN {_BUCKET} < 30 THEN 'validation' ELSE 'train' END AS split,
+     CASE WHEN customer_status = 'New Customer' THEN 1 ELSE 0 END AS label FROM ({rel.wide_sql(features.WIDE_COLUMNS)})) GROUP BY ALL""")
+def gbt_score_counts(spark: SparkSession, root: str) -> DataFrame:
+    model, rows = trained(spark, root)
+    inside = F.col("score").between(0, 1) & (F.col("prediction") == sem.flag(F.col("score") > 0.5))
+    return model.score(rows).groupBy("split", "label").agg(F.count("*").alias("rows"),
+                                                           F.count_if(inside).alias("scores_in_range"))
+
+
 @query()
 def learning_curve(spark: SparkSession, root: str) -> DataFrame:
     return training.learning_curve(trained(spark, root)[0])
@@ -691,9 +801,7 @@ def learning_curve(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def best_iteration(spark: SparkSession, root: str) -> DataFrame:
-    curve = training.learning_curve(trained(spark, root)[0])
-    best = F.min(F.struct("logloss", "iteration")).alias("best")
-    return curve.groupBy("split").agg(best).select("split", "best.iteration", "best.logloss")
+    return training.best_iterations(training.learning_curve(trained(spark, root)[0]), training.TrainingParams().patience)
 
 
 @query()
@@ -701,12 +809,29 @@ def feature_importance(spark: SparkSession, root: str) -> DataFrame:
     return training.feature_importance(trained(spark, root)[0])
 
 
-@query()
-def model_save_load(spark: SparkSession, root: str) -> DataFrame:
+@query("SELECT 100.0::DOUBLE AS total, CAST(0 AS BIGINT) AS negative")
+def feature_importance_total(spark: SparkSession, root: str) -> DataFrame:
+    found = training.feature_importance(trained(spark, root)[0])
+    return found.agg(F.sum("importance").alias("total"), F.count_if(F.col("importance") < 0).alias("negative"))
+
+
+def _reloaded(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     model, rows = trained(spark, root)
-    path = f"{checkpoint_root(spark)}/conversion_engine/saved_model"
+    path = f"{run_folder(spark)}/saved-model-{uuid.uuid4().hex}"
     model.save(path)
-    return training.ConversionModel.load(path).score(rows).select("device_id", "score", "prediction")
+    return model.score(rows), training.ConversionModel.load(path).score(rows)
+
+
+@query()
+def model_save_load(spark: SparkSession, root: str) -> DataFrame:
+    return _reloaded(spark, root)[1].select("device_id", "score", "prediction")
+
+
+@query(f"SELECT count(*) AS rows, CAST(0 AS BIGINT) AS different FROM ({rel.wide_sql(features.WIDE_COLUMNS)})")
+def model_save_load_differences(spark: SparkSession, root: str) -> DataFrame:
+    before, after = _reloaded(spark, root)
+    both = before.select("device_id", F.col("score").alias("was")).join(after.select("device_id", "score"), "device_id", "full")
+    return both.agg(F.count("*").alias("rows"), F.count_if(~F.col("was").eqNullSafe(F.col("score"))).alias("different"))
 
 
 @query()

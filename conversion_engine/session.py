@@ -16,11 +16,12 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
-_local_root: str | None = None
-
-
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A local session for tests and the bench. Clusters bring their own."""
+    """A local session for tests and the bench. Clusters bring their own.
+
+    Its checkpoint folder is temporary unless one is given; nothing else in the package makes one.
+    """
+    conf.setdefault("spark.checkpoint.dir", tempfile.mkdtemp(prefix="conversion-engine-"))
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("conversion-engine")
@@ -34,21 +35,18 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
     return builder.getOrCreate()
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+def run_folder(spark: SparkSession) -> str:
+    """The application's folder for written intermediates, below the one that ``spark.checkpoint.dir`` names.
 
-    Only a local session without that setting gets a temporary folder; on a
-    cluster a machine-local folder would be lost with its executor.
+    It goes when the application ends.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    global _local_root
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="conversion-engine-")
-    return _local_root
+    path = f"{root.rstrip('/')}/conversion_engine/{spark.sparkContext.applicationId}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -59,16 +57,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     pruning and a size the planner can check before it broadcasts.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/conversion_engine/{uuid.uuid4().hex}/{name}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Use every core for an input of few files.
-
-    An input with at least as many partitions as the cluster has slots, which
-    is every large one, is returned unchanged.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)

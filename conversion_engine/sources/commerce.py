@@ -19,15 +19,14 @@ from conversion_engine.functions.semantics import json_fields, typed_text
 from conversion_engine.operators.attribution import OwnedChannels
 from conversion_engine.operators.identity import ZERO_DEVICE
 from conversion_engine.plans.conversion import ConversionPeriod
-from conversion_engine.session import materialize, spread_small_input
 from conversion_engine.sources.logs import latest_complete_day
 
 OWNED = OwnedChannels(prefixes={"Own Web": "Own Web", "Social Test": "Social Test"},
                       exact={"Own Web": ("Blog - organic links",)})
 PERIOD = ConversionPeriod(
-    install_start=dt.date(2024, 1, 1),
+    install_start=dt.date(2024, 1, 3),
     install_end=dt.date(2024, 1, 20),
-    data_end=latest_complete_day("2024-02-01"),
+    data_end=latest_complete_day("2024-01-29"),
     identity_start=dt.date(2023, 1, 1),
     usage_start=dt.date(2021, 1, 1),
     site_brand="MAIN",
@@ -66,7 +65,7 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def base_events(spark: SparkSession, root: str) -> DataFrame:
     """Events with ``u`` (user), ``k`` (property) and ``day``."""
-    return spread_small_input(read(spark, root, "events")).select(
+    return read(spark, root, "events").select(
         "event_id", "ts", "event_type",
         F.col("user_id").alias("u"),
         typed_text(json_fields("props", ["k"]).getField("k"), "int").alias("k"),
@@ -230,8 +229,7 @@ class CommerceTables:
 
     @cached_property
     def event_log(self) -> DataFrame:
-        """Written once, as the real log would be, because several branches scan it."""
-        return materialize(event_log(self._events), "event_log")
+        return event_log(self._events)
 
     @cached_property
     def booking(self) -> DataFrame:

@@ -98,23 +98,28 @@ def release_version(version: Column, excluded: str = STAGING_VERSION) -> Column:
 
 
 def normalize_events(events: DataFrame, start: str | dt.date, end: str | dt.date,
-                     params: Mapping[str, str] = EVENT_PARAMETERS,
+                     params: Mapping[str, str] = EVENT_PARAMETERS, only: Column | None = None,
                      platforms: Iterable[str] | None = MOBILE_PLATFORMS,
                      exclude_version: str = STAGING_VERSION) -> DataFrame:
     """The app-event log as typed columns, one row per event.
 
     One shared scan for every funnel: date, platform and build filters, the
     event parameters in ``params``, and the user and session keys. Each JSON
-    column is parsed once per row; only the named keys are read from it.
+    column is parsed once per row; only the named keys are read from it. ``only`` is a condition on raw
+    columns, tested before any parsing.
     """
     rows = events.where(F.col("event_date").between(F.lit(as_date(start)), F.lit(as_date(end))))
     if platforms is not None:
         rows = rows.where(like_any("platform", platforms, ignore_case=True))
+    if only is not None:
+        rows = rows.where(only)
+    # Conditions on parsed values are not pushed below a generator, so that nothing is parsed twice.
     parsed = rows.select(
         "event_date", "event_name", "platform", "profile_id", "user_pseudo_id",
-        json_fields("event_parameters", ["segment_anonymous_id", "ga_session_id", *params]).alias("ep"),
-        json_fields("user_properties", ["ga_session_id", "first_open_time", "userId"]).alias("up"),
-        json_fields("app_info", ["version"]).getField("version").alias("version"),
+        F.inline(F.array(F.struct(
+            json_fields("event_parameters", ["segment_anonymous_id", "ga_session_id", *params]).alias("ep"),
+            json_fields("user_properties", ["ga_session_id", "first_open_time", "userId"]).alias("up"),
+            json_fields("app_info", ["version"]).getField("version").alias("version")))),
     ).where(release_version(F.col("version"), exclude_version))
     typed = parsed.select(
         "event_date", "event_name", "platform", "profile_id", "user_pseudo_id", "version",

@@ -49,7 +49,7 @@ def compare(spark, root, db, fn, sql):
         if a != b:
             return str([(c, x, y) for c, x, y in zip(left[0], a, b) if x != y][:6])
     types = {f.name.lower(): f.dataType.simpleString() for f in df.schema.fields}
-    names = {"INTEGER": "int", "BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "DATE": "date",
+    names = {"INTEGER": "int", "BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "DATE": "date", "BOOLEAN": "boolean",
              "TIMESTAMP": "timestamp_ntz"}
     for column in cursor.description:
         kind = names.get(str(column[1]), str(column[1]))

@@ -86,9 +86,17 @@ def test_class_weights(spark):
 
 def test_patience():
     falling = [1.0 - i / 1000 for i in range(706)]
-    assert training.best_with_patience([*falling, *[0.9] * 50, 0.0], 50) == 706
-    assert training.best_with_patience([*falling, *[0.9] * 48, 0.0], 50) == 755
-    assert training.best_with_patience([3.0, 2.0, 2.5], 50) == 2
+    assert training.best_with_patience([*falling, *[0.9] * 50, 0.0], 50) == (706, True)
+    assert training.best_with_patience([*falling, *[0.9] * 48, 0.0], 50) == (755, False)
+    assert training.best_with_patience([3.0, 2.0, 2.5], 50) == (2, False)
+
+
+def test_patience_on_a_table(spark):
+    losses = {"a": [1.0 - i / 1000 for i in range(706)] + [0.9] * 50 + [0.0], "b": [3.0, 2.0, 2.5]}
+    curve = spark.createDataFrame([(i, s, x) for s, values in losses.items() for i, x in enumerate(values)],
+                                  "iteration int, split string, logloss double")
+    got = {r.split: r.iteration + 1 for r in training.best_iterations(curve, 50).collect()}
+    assert got == {s: training.best_with_patience(v, 50)[0] for s, v in losses.items()} == {"a": 706, "b": 2}
 
 
 def test_column_kinds_and_preparation(spark):
@@ -129,23 +137,29 @@ def model(rows):
     return training.train(rows, key="key", params=PARAMS)
 
 
-def test_training_learns_and_encodes_large_categories_by_rate(model, rows):
-    assert model.categories == ["kind"] and [s.column for s in model.statistics] == ["city"]
+def test_training_learns_and_encodes_categories_by_rate(model, rows):
+    assert [s.column for s in model.statistics] == ["kind", "city"] and model.numbers == ["x"]
     losses = model.learning_losses["train"]
     assert len(losses) == 4 and all(b < a for a, b in zip(losses, losses[1:]))
-    assert model.best_iteration == training.best_with_patience(model.learning_losses["validation"], 50)
+    assert model.best_iteration == training.best_with_patience(model.learning_losses["validation"], 50)[0]
     assert model.trees.getNumTrees == model.best_iteration
     result = evaluate.binary_metrics(model.score(rows.where("split = 'validation'"))).first()
     assert result.roc_auc > 0.65
 
 
-def test_shortened_ensemble_equals_shorter_training(model, rows):
-    short = training.train(rows, key="key", params=training.TrainingParams(iterations=2, depth=3, max_bins=32, folds=3))
-    kept = min(2, model.trees.getNumTrees, short.trees.getNumTrees)
-    cut, shorter = training.first_trees(model.trees, kept), training.first_trees(short.trees, kept)
-    assert cut.getNumTrees == shorter.getNumTrees == kept
-    assert cut.featureImportances.toArray() == pytest.approx(shorter.featureImportances.toArray())
-    assert list(cut.treeWeights) == pytest.approx(list(shorter.treeWeights))
+def test_training_stops_when_patience_runs_out(rows):
+    params = training.TrainingParams(iterations=40, depth=4, patience=3, max_bins=32, folds=3)
+    model = training.train(rows, key="key", params=params)
+    losses = model.learning_losses["validation"]
+    best, stopped = training.best_with_patience(losses, 3)
+    assert stopped and len(losses) < 40 and model.trees.getNumTrees == model.best_iteration == best
+
+
+@pytest.mark.parametrize("weighting, weights", [("scale_pos_weight", (3.0, 1.0)), ("class_weights", (4.0, 4 / 3)), ("none", (1.0, 1.0))])
+def test_row_weights(spark, weighting, weights):
+    df = spark.createDataFrame([(1,), (0,)], "label int")
+    got = [r[0] for r in df.select(training.row_weight(F.col("label"), 1, 3, weighting)).collect()]
+    assert got == pytest.approx(list(weights))
 
 
 def test_out_of_fold_rates_leave_the_own_fold_out(spark):
@@ -153,6 +167,8 @@ def test_out_of_fold_rates_leave_the_own_fold_out(spark):
     stats = training.category_statistics(df, "c", "label", PARAMS, prior=0.5)
     got = {(r.c, r.fold): r["c__rate"] for r in stats.encode_out_of_fold(df).collect()}
     assert got == {("a", 0): (0 + 0.5) / 2, ("a", 1): (2 + 0.5) / 3, ("b", 1): 0.5}
+    missing = spark.createDataFrame([(None, 0), (None, 1), ("z", 0)], "c string, fold int")
+    assert [r["c__rate"] for r in stats.encode_out_of_fold(missing).collect()] == [0.5] * 3
     unseen = spark.createDataFrame([("a",), ("z",), (None,)], "c string")
     assert [round(r["c__rate"], 6) for r in stats.encode(unseen).orderBy(F.col("c").asc_nulls_last()).collect()] == [0.625, 0.5, 0.5]
 
@@ -171,11 +187,14 @@ def test_importance_sums_to_100(model):
 
 
 def test_attributions_add_up_to_the_score_difference(model, rows):
-    values = explain.shapley_values(model, rows, "key", sample=5, orders=2).persist()
-    assert values.count() == 5 * len(model.feature_names)
-    assert values.groupBy("key").agg(F.sum("value").alias("s")).where("abs(s) > 1").count() == 0
-    summary = {r.feature: r.mean_abs_value for r in explain.shapley_summary(values).collect()}
-    assert set(summary) == set(model.feature_names)
+    some = rows.orderBy("key").limit(30)
+    changes = explain.shapley_changes(model, some, "key", background=5, orders=2).persist()
+    assert changes.count() == 30 * 2 * len(model.feature_names)
+    ends = changes.groupBy("key", "run").agg((F.sum("change") + F.first("base")).alias("end"))
+    off = ends.join(model.score(some).select("key", "score"), "key").where(F.abs(F.col("end") - F.col("score")) > 1e-9)
+    assert off.count() == 0 and ends.count() == 60
+    summary = explain.shapley_summary(explain.shapley_values(model, some, "key", background=5, orders=2)).collect()
+    assert {r.feature for r in summary} == set(model.feature_names)
 
 
 def test_training_needs_both_classes(spark):
