@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,18 +84,7 @@ class Shelf:
         fs.delete(where, True)
 
 
-def by_batch(fn: Callable[[pa.RecordBatch], dict | None], schema: pa.Schema, max_bytes: int = 4 << 20,
-             rows: int = 4096) -> Callable:
-    """A function for mapInArrow that works on slices of a few MB, whatever the texts' length."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, max_bytes, rows):
-            out = fn(part)
-            if out is not None:
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
-    return run
-
-
-def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -114,7 +103,8 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
     Nodes without edges do not appear.
     """
     down = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    name = "star0"
+    run = uuid.uuid4().hex
+    name = f"star-{run}-0"
     now = shelf.put(edges.where("u != v").select(*down).distinct(), name)
     seen, turn = None, 0
     while True:
@@ -128,29 +118,54 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
         large = large.where("u != v").distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, name = name, f"star{turn}"
+        last, name = name, f"star-{run}-{turn}"
         now = shelf.put(small.union(below.select("u", F.col("m").alias("v"))).distinct(), name)
         shelf.drop(last)
     member = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return member.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-#: A cached word costs some 150 bytes of a Python worker.
-CACHED_WORDS = 500_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\v\f\r")] = True
+#: A random number for each byte, nothing for white space; the same with A-Z as a-z.
+_BYTE = np.random.default_rng(0x5EED).integers(1, 1 << 63, 256).astype(np.uint64)
+_BYTE[_SPACE] = 0
+_BYTE_FOLDED = _BYTE.copy()
+_BYTE_FOLDED[65:91] = _BYTE[97:123]
+_PLACE_BASE = 0xC2B2AE3D27D4EB4F
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, from a bounded cache."""
+@lru_cache(maxsize=4)
+def _places(n: int) -> np.ndarray:
+    """Powers of a base, one for each place of a byte in its word."""
+    out = np.full(n, _PLACE_BASE, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHED_WORDS and len(word) < 40:
-            self[word] = value
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def hashed_words(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's words begin (one more than texts).
+
+    Words are separated by ASCII white space; with ``fold`` A-Z count as a-z. The bytes of all texts are worked on
+    together: a word's hash is the mixed sum of its bytes' numbers, each times its place's power.
+    """
+    buffer = np.frombuffer(b"\n".join(texts), np.uint8)
+    edges = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    space = _SPACE[buffer]
+    first = ~space
+    first[1:] &= space[:-1]
+    start = np.flatnonzero(first)
+    bounds = np.searchsorted(start, edges)
+    if not len(start):
+        return np.zeros(0, np.uint64), bounds
+    place = np.arange(start[0], len(buffer))
+    place -= np.repeat(start, np.diff(np.append(start, len(buffer))))
+    place[space[start[0]:]] = 0
+    most = 1 << int(place.max() + 1).bit_length()
+    terms = (_BYTE_FOLDED if fold else _BYTE)[buffer[start[0]:]]
+    terms *= _places(most)[place]
+    return mixed(np.add.reduceat(terms, start - start[0])), bounds
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

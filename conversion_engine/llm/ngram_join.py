@@ -16,15 +16,21 @@ from conversion_engine.llm import common
 _COUNTED = np.uint64(16)
 
 
-def gram_set(words: list[bytes], n: int, cache: common.WordHashes) -> np.ndarray:
-    """The distinct ``n``-word shingles as sorted 64-bit hashes; of fewer words the whole sequence."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = cache.of(words)
-    if len(words) >= n:
-        return np.unique(common.window_hashes(hashes, n))
-    # Short sequences are no shingles of longer texts: the length goes into the hash.
-    return common.mixed(common.window_hashes(hashes, len(words)) + np.uint64(len(words)))
+def gram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """For each text its distinct ``n``-word shingles as sorted 64-bit hashes; of fewer words the whole sequence."""
+    words, bounds = common.hashed_words(texts, fold=True)
+    grams = common.window_hashes(words, n)  # also across texts: those are not looked at
+    out = []
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if high - low >= n:
+            mine = np.sort(grams[low:high - n + 1])
+            out.append(mine[np.concatenate([[True], mine[1:] != mine[:-1]])])
+        elif high > low:
+            # Short sequences are no shingles of longer texts: the length goes into the hash.
+            out.append(common.mixed(common.window_hashes(words[low:high], high - low) + np.uint64(high - low)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def needed(size: int, percent: int) -> int:
@@ -42,12 +48,11 @@ def ordered(grams: np.ndarray, common_tokens: np.ndarray) -> np.ndarray:
     return np.concatenate([grams[~hot], grams[hot]])
 
 
-def _texts(fn: Callable[[list[list[bytes]], pa.RecordBatch, common.WordHashes], pa.RecordBatch | None]) -> Callable:
-    """For mapInArrow over rows (key, text, ...): ``fn`` gets the lower-case words of a few MB of texts."""
+def _sets_of(n: int, fn: Callable[[list[np.ndarray], pa.RecordBatch], pa.RecordBatch | None]) -> Callable:
+    """For mapInArrow over rows (key, text, ...): ``fn`` gets the shingle sets of a few MB of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = common.WordHashes()
         for part in common.slices(batches):
-            out = fn([(t or b"").lower().split() for t in part.column(1).to_pylist()], part, cache)
+            out = fn(gram_sets([t or b"" for t in part.column(1).to_pylist()], n), part)
             if out is not None:
                 yield out
     return run
@@ -55,20 +60,18 @@ def _texts(fn: Callable[[list[list[bytes]], pa.RecordBatch, common.WordHashes],
 
 def _signatures(n: int) -> Callable:
     """(key, id, n_shingles, two sums of the set's hashes): equal sets have equal sums."""
-    def fn(texts, part, cache):
-        sets = [gram_set(words, n, cache) for words in texts]
+    def fn(sets, part):
         sums = [[int(np.bitwise_xor.reduce(f(s))) if len(s) else 0 for s in sets]
                 for f in (common.mixed, lambda s: common.mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
         return pa.RecordBatch.from_arrays(
             [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()),
              *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in sums]], names=["_k", "_id", "_n", "_s1", "_s2"])
-    return _texts(fn)
+    return _sets_of(n, fn)
 
 
 def _counts(n: int, buckets: int) -> Callable:
     """(bucket, tokens, counts): the short tokens of some texts with their document counts, by their top bits."""
-    def fn(texts, part, cache):
-        sets = [gram_set(words, n, cache) for words in texts]
+    def fn(sets, part):
         tokens, counts = np.unique(np.concatenate(sets) >> _COUNTED, return_counts=True)
         edges = np.searchsorted(tokens, np.arange(buckets + 1, dtype=np.uint64) * np.uint64(1 << 48) // np.uint64(buckets))
         rows = []
@@ -80,7 +83,7 @@ def _counts(n: int, buckets: int) -> Callable:
         return pa.RecordBatch.from_arrays(
             [pa.array(b, pa.int32()), pa.array(one, pa.binary()), pa.array(many, pa.binary()), pa.array(times, pa.binary())],
             names=["_b", "_one", "_many", "_times"])
-    return _texts(fn)
+    return _sets_of(n, fn)
 
 
 def _six(tokens: np.ndarray) -> bytes:
@@ -138,10 +141,9 @@ def common_tokens(texts: DataFrame, n: int, n_tokens: int, group: int, most: int
 
 def _prefixes(n: int, percent: int, hot) -> Callable:
     """(key, token): the tokens of each set's prefix. Similar sets share one of them."""
-    def fn(texts, part, cache):
+    def fn(sets, part):
         tokens, keys = [], []
-        for words, key in zip(texts, part.column(0).to_pylist()):
-            grams = gram_set(words, n, cache)
+        for grams, key in zip(sets, part.column(0).to_pylist()):
             if len(grams):
                 head = ordered(grams, hot.value)[: len(grams) - needed(len(grams), percent) + 1]
                 tokens.append(head)
@@ -149,7 +151,7 @@ def _prefixes(n: int, percent: int, hot) -> Callable:
         if tokens:
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(keys)), pa.array(np.concatenate(tokens).view(np.int64))], names=["_k", "_token"])
-    return _texts(fn)
+    return _sets_of(n, fn)
 
 
 def bitmap(grams: np.ndarray, bits: int) -> np.ndarray:
@@ -175,14 +177,13 @@ def folded(bits: np.ndarray, to: int) -> np.ndarray:
 
 def _sets(n: int, hot) -> Callable:
     """(key, size, the set in global order, its bitmap)."""
-    def fn(texts, part, cache):
-        sets = [gram_set(words, n, cache) for words in texts]
+    def fn(sets, part):
         return pa.RecordBatch.from_arrays([
             part.column(0), pa.array([len(s) for s in sets], pa.int64()),
             pa.array([ordered(s, hot.value).tobytes() for s in sets], pa.binary()),
             pa.array([bitmap(s, width(len(s))).tobytes() for s in sets], pa.binary())],
             names=["_k", "_n", "_set", "_bits"])
-    return _texts(fn)
+    return _sets_of(n, fn)
 
 
 def similar(overlap: int, a: int, b: int, percent: int) -> bool:

@@ -33,12 +33,13 @@ def _counts(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return (total[end] - total[start]).astype(np.float64)
 
 
-def line_features(texts: list[bytes], cache: common.WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, lines per text, bytes per line) of all lines of some texts, each with its neighbours' features."""
     buffer = np.frombuffer(b"\n".join(texts), np.uint8)
     per_text, n_words, repeats, stutters, windows, earlier, closed, starts, ends = [], [], [], [], [], [], [], [], []
     at = 0
-    for text in texts:
+    every, bounds = common.hashed_words(texts)
+    for text, low, high in zip(texts, bounds[:-1], bounds[1:]):
         lines, seen = text.split(b"\n"), set()
         per_text.append(len(lines))
         sizes, hashes = [], []
@@ -53,7 +54,7 @@ def line_features(texts: list[bytes], cache: common.WordHashes) -> tuple[np.ndar
             earlier.append(bool(bare) and bare in seen)
             seen.add(bare)
             closed.append(bare[-1:] in (b".", b"!", b"?") if bare else False)
-        words = cache.of([w for line in hashes for w in line])
+        words = every[low:high]
         n_words += sizes
         repeats += [1 - len(set(line)) / len(line) if line else 0.0 for line in hashes]
         line_of = np.repeat(np.arange(len(lines)), sizes)
@@ -200,9 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     sample = training_sample(docs, labels, label, most, id_column, text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = common.WordHashes()
         for part in common.slices(batches):
-            x, per_text, _ = line_features(part.column(1).to_pylist(), cache)
+            x, per_text, _ = line_features(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array(per_text, pa.int32()),
                  pa.array([rows.astype("<f4").tobytes() for rows in np.split(x, np.cumsum(per_text)[:-1])], pa.binary())],
@@ -218,9 +218,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return fit(x.astype(np.float64), per_text, good)
 
 
-def _scores(texts: list[bytes], model: LineModel | None, cache: common.WordHashes):
+def _scores(texts: list[bytes], model: LineModel | None):
     """(score of every text, P(good) of every line, where each text's lines begin and the last one's end)."""
-    x, per_text, length = line_features(texts, cache)
+    x, per_text, length = line_features(texts)
     good = model.good(x, per_text) if model else np.ones(len(x))
     weight = np.maximum(length, 1)
     edges = np.concatenate([[0], np.cumsum(per_text)])
@@ -238,9 +238,8 @@ def score(docs: DataFrame, model: LineModel | None, id_column: str = "doc_id", t
     schema = docs.select(f"`{id_column}`").schema.add("score", "double").add("lines", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = common.WordHashes()
         for part in common.slices(batches):
-            total, good, edges = _scores([t or b"" for t in part.column(1).to_pylist()], model, cache)
+            total, good, edges = _scores([t or b"" for t in part.column(1).to_pylist()], model)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(total), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(good))],
                 names=[id_column, "score", "lines"])
@@ -253,10 +252,9 @@ def keep_good(docs: DataFrame, model: LineModel | None, least: float = 0.3, text
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = common.WordHashes()
         for part in common.slices(batches):
             texts = [t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()]
-            good = _scores(texts, model, cache)[0] >= least
+            good = _scores(texts, model)[0] >= least
             yield part.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

@@ -54,13 +54,13 @@ def _emit(window: int, lengths: list[int]) -> Callable:
     length, before = lengths[-1], lengths[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = common.WordHashes()
         for part in common.slices(batches):
-            k1, k2, texts = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist()
+            k1, k2 = part.column(0).to_numpy(), part.column(1).to_numpy()
+            words, bounds = common.hashed_words([t or b"" for t in part.column(2).to_pylist()])
             found = part.column(3) if before else None
             first, second, rows, places = [], [], [], []
-            for i, text in enumerate(texts):
-                hashes = cache.of((text or b"").split())
+            for i in range(part.num_rows):
+                hashes = words[bounds[i]:bounds[i + 1]]
                 kept = found[i].values.to_numpy() if before else None
                 starts = survivors(hashes, before, kept, window)
                 if len(starts):

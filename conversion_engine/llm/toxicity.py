@@ -52,6 +52,8 @@ class Lexicon:
         return 2 * any(word[:n] in self.stems for n in STEMS if len(word) >= n)
 
 
+#: A known token costs some 300 bytes of a Python worker.
+CACHED_TOKENS = 200_000
 #: Lengths of beginnings.
 STEMS = (4, 5, 6, 7, 8)
 
@@ -126,7 +128,7 @@ def _featured(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
         for part in common.slices(batches):
             rows = []
             for text in part.column(0).to_pylist():
-                if len(traits) > common.CACHED_WORDS // 2:
+                if len(traits) > CACHED_TOKENS:
                     traits = TokenTraits(lexicon)
                 rows.append([float(x) for x in features(text or "", traits)])
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(rows, pa.list_(pa.float64()))],

@@ -42,3 +42,15 @@ def test_window_hashes_are_polynomials():
         assert (common.window_hashes(h, length) == common.mixed(np.array(want, np.uint64))).all()
     assert len(common.window_hashes(h[:5], 9)) == 0
     assert substrings.levels(35) == [9, 18, 35]
+
+
+def test_words_have_their_own_hashes():
+    texts = [b"", b" a\tb  A ", "\u00e9 \u00e9".encode(), b"a" * 5000 + b" x", b"ba ab", b"\n", b"a b A"]
+    hashes, bounds = common.hashed_words(texts)
+    split = [t.split() for t in texts]
+    assert np.diff(bounds).tolist() == [len(s) for s in split]
+    names = [w for s in split for w in s]
+    assert all((names[i] == names[j]) == (hashes[i] == hashes[j]) for i in range(len(names)) for j in range(i))
+    folded, _ = common.hashed_words(texts, fold=True)
+    assert folded[0] == hashes[0] == folded[2] != hashes[2]
+    assert [len(x) for x in (common.hashed_words([b""])[0], common.hashed_words([])[0])] == [0, 0]
