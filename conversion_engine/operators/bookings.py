@@ -162,8 +162,9 @@ def attach_bookings(installs: DataFrame, bookings: DataFrame) -> DataFrame:
 def _same_day_after_install(installs: DataFrame, bookings: DataFrame) -> DataFrame:
     """Per device: bookings of the install day that were made after the install.
 
-    Installs and bookings of one profile and day are put in one order by time,
-    and a running sum counts the later bookings, instead of pairing them.
+    Installs and bookings of one profile and hour are put in one order by time,
+    and a running sum counts the later bookings, instead of pairing them; the
+    day's later hours add their totals.
     """
     in_window = flag(day_offset("booked_date", "day").between(0, WINDOW_DAYS)).cast("bigint")
     marks = (
@@ -175,14 +176,19 @@ def _same_day_after_install(installs: DataFrame, bookings: DataFrame) -> DataFra
     starts = installs.where(F.col("profile_id").isNotNull()).select(
         "profile_id", F.col("install_date").alias("day"), F.col("install_timestamp").alias("at"),
         "device_id", F.lit(0).cast("bigint").alias("n"))
+    hour = ["profile_id", "day", "hour"]
     # Latest first; at the same instant the install comes first, so that a
     # booking at that very instant is not counted as later.
-    order = Window.partitionBy("profile_id", "day").orderBy(
-        F.desc("at"), F.desc(F.col("device_id").isNotNull()))
+    order = Window.partitionBy(*hour).orderBy(F.desc("at"), F.desc(F.col("device_id").isNotNull()))
     later = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (marks.unionByName(starts).withColumn("same_day_bookings", later)
-            .where(F.col("device_id").isNotNull() & (F.col("same_day_bookings") > 0))
-            .select("device_id", "same_day_bookings"))
+    rows = marks.unionByName(starts).withColumn("hour", F.hour("at"))
+    # At most 24 rows for a profile and day.
+    down = Window.partitionBy("profile_id", "day").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
+    hours = rows.groupBy(*hour).agg(F.sum("n").alias("total")).select(
+        *hour, F.coalesce(F.sum("total").over(down), F.lit(0)).alias("later_hours"))
+    counted = rows.withColumn("same_hour", later).where(F.col("device_id").isNotNull()).join(hours, hour)
+    return (counted.select("device_id", (F.col("same_hour") + F.col("later_hours")).alias("same_day_bookings"))
+            .where(F.col("same_day_bookings") > 0))
 
 
 def booking_summary(installs: DataFrame, bookings: DataFrame) -> DataFrame:

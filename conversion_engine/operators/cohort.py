@@ -144,36 +144,32 @@ def eligible(earliest: ColumnLike = "earliest_app_usage", install_date: ColumnLi
     return fresh & ((as_col(status) == "Not a Customer") | converted) & (as_col(profile_created) == 1)
 
 
-def analysis_cohort(installs: DataFrame, opens: DataFrame, logins: DataFrame, milestones: DataFrame,
-                    earliest: DataFrame, hi: int = 28) -> DataFrame:
+def analysis_cohort(installs: DataFrame, activity: DataFrame, milestones: DataFrame, earliest: DataFrame,
+                    hi: int = 28) -> DataFrame:
     """Eligible installs with their activity and milestones, one row per device.
 
-    ``opens`` and ``logins`` come from ``activity_summary``, ``milestones`` from
+    ``activity`` comes from ``activity_summary`` of OPEN and LOGIN, ``milestones`` from
     ``milestone_summary``, ``earliest`` from ``earliest_usage``.
     """
     used = (earliest.select(F.col("profile_id").try_cast("bigint").alias("profile_id"), "earliest_app_usage")
             .groupBy("profile_id").agg(F.min("earliest_app_usage").alias("earliest_app_usage")))
     candidates = installs.where(eligible(earliest=F.lit(None).cast("date")))
     fresh = candidates.join(used, "profile_id", "left").where(eligible()).drop("earliest_app_usage")
-    app_opens = opens.select(
+    used_app = activity.select(
         "device_id", "install_date",
-        F.col("first_date").alias("first_app_open_date"),
-        F.col("days_to_first").alias("days_to_first_app_open"),
-        F.col("actions").alias("app_open_count"),
-        F.col("active_days").alias("app_open_days"),
-        F.col("actions_per_active_day").alias("avg_app_opens_per_day"),
-        F.col("last_date").alias("last_app_open_date"),
-        F.col("days_to_last").alias("days_to_last_app_open"),
-    )
-    app_logins = logins.select(
-        "device_id", "install_date",
-        F.col("first_date").alias("first_login_post_install"),
-        F.col("days_to_first").alias("days_to_first_login"),
-        F.col("actions").alias("login_count"),
+        F.col("OPEN.first_date").alias("first_app_open_date"),
+        F.col("OPEN.days_to_first").alias("days_to_first_app_open"),
+        F.col("OPEN.actions").alias("app_open_count"),
+        F.col("OPEN.active_days").alias("app_open_days"),
+        F.col("OPEN.actions_per_active_day").alias("avg_app_opens_per_day"),
+        F.col("OPEN.last_date").alias("last_app_open_date"),
+        F.col("OPEN.days_to_last").alias("days_to_last_app_open"),
+        F.col("LOGIN.first_date").alias("first_login_post_install"),
+        F.col("LOGIN.days_to_first").alias("days_to_first_login"),
+        F.col("LOGIN.actions").alias("login_count"),
     )
     joined = (
-        fresh.join(app_opens, ["device_id", "install_date"], "left")
-        .join(app_logins, ["device_id", "install_date"], "left")
+        fresh.join(used_app, ["device_id", "install_date"], "left")
         .join(milestones, ["profile_id", "install_date"], "left")
     )
     return joined.select(

@@ -17,42 +17,50 @@ from conversion_engine.sources.schemas import DEVICE_ID_COLUMNS
 PROFILE_FLAGS = ("language_flag", "bio_flag", "city_flag", "interests_flag")
 
 
-def activity_days(log: DataFrame, name: str, start: str | dt.date, end: str | dt.date,
+def activity_days(log: DataFrame, names: Iterable[str], start: str | dt.date, end: str | dt.date,
                   device: Column | None = None) -> DataFrame:
-    """Distinct actions of one kind per device and day: ``device_id, event_date, actions``.
+    """Distinct actions per device and day: ``device_id, event_date`` and a count for each of ``names``.
 
     Repeated rows of one instant count once. The distinct step shuffles by
     device and instant, so a device with very many rows is spread out before
-    it is reduced to one row per day.
+    it is reduced to one row per day. The log is scanned once for all names.
     """
+    names = list(names)
     device = device_key(*DEVICE_ID_COLUMNS) if device is None else device
-    rows = read_event_log(log, [name], start, end).select(device.alias("device_id"), "event_date", "event_ts")
+    rows = read_event_log(log, names, start, end).select(device.alias("device_id"), "event_date", "event_ts", "name")
     real = rows.where(F.col("device_id") != ZERO_DEVICE)
-    return real.distinct().groupBy("device_id", "event_date").agg(F.count("*").alias("actions"))
+    return real.distinct().groupBy("device_id", "event_date").agg(*[F.count_if(F.col("name") == n).alias(n) for n in names])
 
 
-def activity_summary(days: DataFrame, cohort: DataFrame, lo: int = 0, hi: int = 28) -> DataFrame:
-    """Activity in the window, one row per device and install date.
+def activity_summary(days: DataFrame, cohort: DataFrame, names: Iterable[str], lo: int = 0, hi: int = 28) -> DataFrame:
+    """Activity in the window, one row per device and install date, and a struct for each of ``names``.
+
+    A struct is NULL where there was none of its actions.
 
     ``days`` comes from ``activity_days``; ``cohort`` has ``device_id`` and
     ``install_date``.
     """
     keys = cohort.select("device_id", "install_date").distinct()
     rows = banded_join(keys, days, "device_id", "install_date", "event_date", lo, hi)
-    totals = rows.groupBy("device_id", "install_date").agg(
-        F.min("event_date").alias("first_date"),
-        F.max("event_date").alias("last_date"),
-        F.sum("actions").alias("actions"),
-        F.count("*").alias("active_days"),
-    )
-    return totals.select(
-        "device_id", "install_date", "first_date",
-        day_offset("first_date", "install_date").alias("days_to_first"),
-        "last_date",
-        day_offset("last_date", "install_date").alias("days_to_last"),
-        "actions", "active_days",
-        ratio_or_null("actions", "active_days").alias("actions_per_active_day"),
-    )
+
+    def total(name: str) -> Column:
+        day = F.when(F.col(name) > 0, F.col("event_date"))
+        return F.struct(F.min(day).alias("first_date"), F.max(day).alias("last_date"), F.sum(name).alias("actions"),
+                        F.count(day).alias("active_days")).alias(name)
+
+    def report(name: str) -> Column:
+        t = F.col(name)
+        return F.when(t["active_days"] > 0, F.struct(
+            t["first_date"].alias("first_date"),
+            day_offset(t["first_date"], "install_date").alias("days_to_first"),
+            t["last_date"].alias("last_date"),
+            day_offset(t["last_date"], "install_date").alias("days_to_last"),
+            t["actions"].alias("actions"), t["active_days"].alias("active_days"),
+            ratio_or_null(t["actions"], t["active_days"]).alias("actions_per_active_day"))).alias(name)
+
+    names = list(names)
+    totals = rows.groupBy("device_id", "install_date").agg(*map(total, names))
+    return totals.select("device_id", "install_date", *map(report, names))
 
 
 def flag_events(df: DataFrame, key: str, date: str, condition: Column, label: ColumnLike,

@@ -126,9 +126,9 @@ class ConversionJob:
 
     # activity and milestones
 
-    def activity(self, name: str, cohort: DataFrame) -> DataFrame:
-        days = activity_days(self.t.install_log, name, self.p.install_start, self.p.data_end)
-        return activity_summary(days, cohort, 0, self.p.window_days)
+    def activity(self, cohort: DataFrame, names: tuple[str, ...] = ("OPEN", "LOGIN")) -> DataFrame:
+        days = activity_days(self.t.install_log, names, self.p.install_start, self.p.data_end)
+        return activity_summary(days, cohort, names, 0, self.p.window_days)
 
     def photos(self) -> DataFrame:
         return flag_events(self.t.social_auth, "id_profile", "created_at",
@@ -152,8 +152,7 @@ class ConversionJob:
         milestones = milestone_summary(
             milestone_days(self.profile_changes(), self.photos(), self.social()),
             installs.where(F.col("profile_id").isNotNull()), 0, self.p.window_days)
-        return analysis_cohort(installs, self.activity("OPEN", installs), self.activity("LOGIN", installs),
-                               milestones, self.earliest_usage(), self.p.window_days)
+        return analysis_cohort(installs, self.activity(installs), milestones, self.earliest_usage(), self.p.window_days)
 
     # funnels
 

@@ -16,10 +16,11 @@ from pyspark.sql import types as T
 from conversion_engine.functions import semantics as sem
 from conversion_engine.ml import evaluate, explain, training
 from conversion_engine.operators import attribution, bookings, cohort, features, funnel, identity, joins
+from conversion_engine.plans import commerce
 from conversion_engine.plans import oracle_relations as rel
 from conversion_engine.plans.conversion import ConversionJob, ConversionTables, numeric_profiles
 from conversion_engine.session import materialize, run_folder
-from conversion_engine.sources import commerce, logs
+from conversion_engine.sources import logs
 from conversion_engine.sources.schemas import DEVICE_ID_COLUMNS, SCHEMAS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,7 +208,8 @@ def profile_stitching(spark: SparkSession, root: str) -> DataFrame:
 
 @query("SELECT device_id, owners FROM o_owners")
 def single_owner_devices(spark: SparkSession, root: str) -> DataFrame:
-    return identity.single_owner_devices(booking_level(spark, root), "device_id", "id_customer")
+    owned = job(spark, root).devices().where(F.col("owners") <= 1)
+    return owned.select("device_id", F.col("owners").cast("bigint").alias("owners"))
 
 
 # --- attribution and geography ---------------------------------------------
@@ -357,7 +359,8 @@ _ACTIVITY_SQL = star_of(_ACTIVITY, {"actions_per_active_day"})
 def _activity(name: str) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
         j = job(spark, root)
-        return j.activity(name, j.install_cohort())
+        found = j.activity(j.install_cohort(), (name,)).where(F.col(name).isNotNull())
+        return found.select("device_id", "install_date", f"{name}.*")
     return run
 
 

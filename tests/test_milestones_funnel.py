@@ -53,8 +53,8 @@ def test_activity_counts_distinct_instants_in_the_window(spark):
         [row("d", 3), row("d", 3), row("d", 3, 13), row("d", 4), row("d", 2), row("d", 31), row("d", 32), row("d", 5, name="LOGIN"),
          row(identity.ZERO_DEVICE, 3)], SCHEMAS["install_log"])
     cohort = spark.createDataFrame([("d", day(3)), ("quiet", day(3))], "device_id string, install_date date")
-    days = milestones.activity_days(log, "OPEN", day(1), day(60))
-    got = records(milestones.activity_summary(days, cohort))
+    days = milestones.activity_days(log, ["OPEN"], day(1), day(60))
+    got = records(milestones.activity_summary(days, cohort, ["OPEN"]).select("device_id", "install_date", "OPEN.*"))
     assert got == [{"device_id": "d", "install_date": day(3), "first_date": day(3), "days_to_first": 0, "last_date": day(31),
                     "days_to_last": 28, "actions": 4, "active_days": 3, "actions_per_active_day": 4 / 3}]
 
