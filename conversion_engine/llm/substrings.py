@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from conversion_engine.llm import common
 
-_KEY = ["_k1", "_k2"]
-
-
 def levels(window: int, shortest: int = 8) -> list[int]:
     """Lengths from about ``shortest`` words to ``window``, each at most twice the one before."""
     out = [window]
@@ -50,14 +47,17 @@ def survivors(hashes: np.ndarray, lengths: list[int], kept: np.ndarray | None, w
 
 
 def _emit(window: int, lengths: list[int]) -> Callable:
-    """Rows (hash, hash2, key, place) of the runs of ``lengths[-1]`` words to be counted."""
+    """Rows (hash, more bits of a hash, key, place) of the runs of ``lengths[-1]`` words to be counted.
+
+    64 bits are enough to rule runs out; whole windows have 96.
+    """
     length, before = lengths[-1], lengths[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches):
-            k1, k2 = part.column(0).to_numpy(), part.column(1).to_numpy()
-            words, bounds = common.hashed_words([t or b"" for t in part.column(2).to_pylist()])
-            found = part.column(3) if before else None
+            key = part.column(0).to_numpy()
+            words, bounds = common.hashed_words([t or b"" for t in part.column(1).to_pylist()])
+            found = part.column(2) if before else None
             first, second, rows, places = [], [], [], []
             for i in range(part.num_rows):
                 hashes = words[bounds[i]:bounds[i + 1]]
@@ -66,20 +66,21 @@ def _emit(window: int, lengths: list[int]) -> Callable:
                 if len(starts):
                     at = np.unique(anchors(hashes, length, window)[starts])
                     first.append(common.window_hashes(hashes, length)[at])
-                    second.append(common.window_hashes(hashes, length, 0xD6E8FEB86659FD93)[at])
+                    if length == window:
+                        second.append(common.window_hashes(hashes, length, 0xD6E8FEB86659FD93)[at] >> np.uint64(33))
                     places.append(at)
                     rows.append(np.full(len(at), i))
             if rows:
                 row = np.concatenate(rows)
+                more = np.concatenate(second).astype(np.int32) if second else np.zeros(len(row), np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(second).view(np.int64)),
-                    pa.array(k1[row]), pa.array(k2[row]), pa.array(np.concatenate(places).astype(np.int32))],
-                    names=["_h", "_h2", "_k1", "_k2", "_at"])
+                    pa.array(np.concatenate(first).view(np.int64)), pa.array(more), pa.array(key[row]),
+                    pa.array(np.concatenate(places).astype(np.int32))], names=["_h", "_h2", "_k", "_at"])
     return run
 
 
 def repeated(source: DataFrame, window: int, shelf: common.Shelf) -> DataFrame:
-    """(_k1, _k2, _starts): the starts of windows whose words also start anywhere else.
+    """(_k, _starts): the starts of windows whose words also start anywhere else; ``source`` has (_k, _text), keys distinct.
 
     Level by level, runs are counted across the corpus and those found once drop out;
     only windows around the rest are looked at with runs of twice the length, and with
@@ -89,16 +90,15 @@ def repeated(source: DataFrame, window: int, shelf: common.Shelf) -> DataFrame:
     found, lengths = None, []
     for length in levels(window):
         lengths.append(length)
-        rows = source if found is None else source.join(found, _KEY)
+        rows = source if found is None else source.join(found, "_k")
         name = f"runs{length}"
-        runs = shelf.put(rows.mapInArrow(_emit(window, list(lengths)), "_h long, _h2 long, _k1 long, _k2 long, _at int"), name)
-        # The same row of the input, twice, is one place.
-        place = F.xxhash64(*_KEY, "_at")
-        shared = runs.groupBy("_h", "_h2").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a != _b")
-        places = runs.join(shared.select("_h", "_h2"), ["_h", "_h2"], "left_semi")
-        last = f"found{length}"
-        found = shelf.put(places.groupBy(*_KEY).agg(F.array_sort(F.collect_set("_at")).alias("_starts")), last)
+        runs = shelf.put(rows.mapInArrow(_emit(window, list(lengths)), "_h long, _h2 int, _k long, _at int"), name)
+        shared = runs.groupBy("_h", "_h2").agg(F.count("*").alias("_c")).where("_c > 1").select("_h", "_h2")
+        places = runs.join(shared, ["_h", "_h2"], "left_semi")
+        found = shelf.put(places.groupBy("_k").agg(F.array_sort(F.collect_list("_at")).alias("_starts")), f"found{length}")
         shelf.drop(name)
+        if len(lengths) > 1:
+            shelf.drop(f"found{lengths[-2]}")
     return found
 
 
@@ -134,18 +134,19 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_column: str = "doc_id
     A word goes if it lies in a window of ``window`` consecutive words whose words, as
     they are, also start at another place, of the same document or another. Windows are
     judged on the input. The words left are joined by one space. Windows are compared by
-    128 bits of hash.
+    96 bits of hash, rows by 64.
 
     NULL texts have no words. Rows equal in id and text are one document, given as often
     as they occur. Texts shorter than a window stay. Other columns are ignored. An
     empty table gives no row.
     """
     shelf = common.Shelf(docs.sparkSession, "substrings")
-    k1, k2 = common.row_key(id_column, text_column)
-    body = F.col(f"`{text_column}`").cast("binary")
-    source = docs.select(k1.alias("_k1"), k2.alias("_k2"), body.alias("_text"))
+    named = docs.select(F.col(f"`{id_column}`").alias("_id"), common.row_key(id_column, text_column)[0].alias("_k"),
+                        F.col(f"`{text_column}`").cast("binary").alias("_text"))
+    texts = named.select("_k", "_text")
+    twice = shelf.put(texts.groupBy("_k").agg(F.count("*").alias("_c")).where("_c > 1").select("_k"), "twice")
+    source = texts.join(twice, "_k", "left_anti").union(texts.join(twice, "_k", "left_semi").dropDuplicates(["_k"]))
     found = repeated(source, window, shelf)
-    named = docs.select(F.col(f"`{id_column}`").alias("_id"), k1.alias("_k1"), k2.alias("_k2"), body.alias("_text"))
-    joined = named.join(found, _KEY, "left").select("_id", "_text", "_starts")
+    joined = named.join(found, "_k", "left").select("_id", "_text", "_starts")
     schema = docs.select(f"`{id_column}`").schema.add("text", "string").add("n_words", "long").add("n_removed", "long")
     return joined.mapInArrow(_cut(window, id_column), schema)
