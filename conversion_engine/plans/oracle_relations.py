@@ -9,6 +9,11 @@ from __future__ import annotations
 
 import re
 
+from conversion_engine.operators.funnel import ACTION_DATES, PROPERTY_ACTIONS, WINDOW_SPECS
+from conversion_engine.plans.conversion import PROFILE_BLOCKS
+
+# Event names, actions, channel labels and column names in the statements below are
+# those of the app's log and of the report.
 START, INSTALL_END, DATA_END = "DATE '2024-01-03'", "DATE '2024-01-20'", "DATE '2024-01-27'"
 BUCKETS = {"day0": (0, 0), "day1": (1, 1), "days2to5": (2, 5), "days6to13": (6, 13),
            "days14to20": (14, 20), "days21to28": (21, 28), "days0to28": (0, 28)}
@@ -338,14 +343,7 @@ def count_of(condition: str, name: str) -> str:
 
 
 HOSTEL, DORM = "item_category ILIKE '%hostel%'", "checkout_room_types ILIKE '%dorm%'"
-ACTIONS = {
-    "property_page_map_clicks": "action = 'Map View Clicked'",
-    "add_to_wish_list_clicks": "action = 'Added to Wishlist Clicked'",
-    "propt_read_more_clicks": "action = 'About Read More Clicked'",
-    "propt_house_rules_clicks": "action = 'View All House Rules Clicked'",
-    "propt_facilities_clicks": "action = 'View All Facilities Clicked'",
-    "propt_reviews_clicks": "action IN ('View Main Reviews Clicked', 'View All Reviews Clicked')",
-}
+ACTIONS = {name: "action IN ({})".format(", ".join(f"'{a}'" for a in labels)) for name, labels in PROPERTY_ACTIONS.items()}
 DAILY = {
     "search_steps": (
         "page_type = 'Search' AND action IN ('Search Activated', 'Search Step', 'Invalid Destination Displayed', 'Destination Selected')",
@@ -413,43 +411,12 @@ FROM o_trips{_suffix} GROUP BY event_date, profile_id"""
 
 # --- windows ---------------------------------------------------------------
 
-_SEARCH_TRIPS = ("search_domestic_trip", "search_short_haul_trip", "search_long_haul_trip")
+# The columns' names are the report's; what is in them is written out here once more.
 # funnel: (value, first date, offset, bucket suffix, totals, means, shares)
-WINDOWS = {
-    "search": ("searches_submitted", "first_search_post_install", "days_to_first_search_post_install", "searches_made",
-               _SEARCH_TRIPS, ("search_avg_lead_time", "search_avg_los", "search_avg_pax"),
-               {"search_domestict_trip_share": _SEARCH_TRIPS[0], "search_short_haul_trip_share": _SEARCH_TRIPS[1],
-                "search_long_haul_trip_share": _SEARCH_TRIPS[2]}),
-    "destination_pages": ("destination_search_pages_viewed", "first_dstn_search_page_viewed_date",
-                          "days_to_first_dstn_search_page_viewed", None, ("destination_search_pages_viewed",),
-                          ("avg_number_properties_returned",), {}),
-    "sort_filter": ("filter_used_count", "first_sort_or_filter_date", None, None, ("filter_used_count", "sort_used_count"), (), {}),
-    "recent_search": ("recent_search_clicks", "first_recent_search_date", "days_to_first_recent_search_days", None,
-                      ("recent_search_clicks",), (), {}),
-    "property_views": ("property_page_views", "first_prop_view_post_install_date", "days_to_first_prop_view_post_install",
-                       "property_views", ("hostels_viewed", "non_hostels_viewed"), ("viewed_property_avg_position",),
-                       {"share_hostels_viewed": "hostels_viewed", "share_non_hostels_viewed": "non_hostels_viewed"}),
-    "linkups": ("linkups_view_propt_page", "first_linkup_view_date", "first_linkup_view_days", None,
-                ("linkups_view_propt_page",), (), {}),
-    "checkout_starts": ("checkout_starts", "first_checkout_start_post_install", None, "checkout_starts", (), (), {}),
-    "search_steps": ("search_activated_count", None, None, None, (
-        "search_activated_count", "started_destn_step_count", "invalid_destn_displayed_count", "destn_selected_step_count",
-        "started_dates_step_count", "started_guests_step_count"), (), {}),
-    "checkout_steps": ("checkout_confirm_clicked_count", None, None, None, (
-        "checkout_dorms_selected_count", "checkout_privates_selected_count", "checkout_hostels_selected_count",
-        "checkout_non_hostels_selected_count", "started_email_step_count", "started_name_step_count",
-        "started_nationality_step_count", "started_payment_details_step_count", "started_confirm_details_step_count",
-        "checkout_confirm_clicked_count"), (), {}),
-}
-FIRST_ACTION = {
-    "property_page_map_clicks": ("first_prop_map_view_post_install_date", "first_prop_map_view_post_install_days"),
-    "add_to_wish_list_clicks": ("first_whishlist_click_date", "first_whishlist_click_days"),
-    "propt_read_more_clicks": ("first_propt_read_more_date", "first_propt_read_more_days"),
-    "propt_house_rules_clicks": ("first_house_rules_click_date", "first_house_rules_click_days"),
-    "propt_facilities_clicks": ("first_propt_facilities_click_date", "first_propt_facilities_click_days"),
-    "propt_reviews_clicks": ("first_propt_reviews_click_date", "first_propt_reviews_click_days"),
-}
-PER_PROFILE = ("search_steps", "sort_filter", "checkout_starts", "checkout_steps")
+WINDOWS = {f: (w.present, w.first_date, w.first_offset, w.bucket_suffix, w.totals, w.means,
+               {name: part for name, (part, _) in w.shares.items()}) for f, w in WINDOW_SPECS.items()}
+FIRST_ACTION = ACTION_DATES
+PER_PROFILE = PROFILE_BLOCKS
 
 
 def window_sql(funnel: str, cohort: str, daily: str, per_install: bool = True) -> str:
