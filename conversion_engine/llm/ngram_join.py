@@ -125,7 +125,7 @@ def _frequent(least: int) -> Callable:
     return run
 
 
-def common_tokens(texts: DataFrame, n: int, n_tokens: int, group: int, most: int) -> np.ndarray:
+def common_tokens(texts: DataFrame, n: int, n_tokens: int, group: int, most: int, shelf: common.Shelf) -> np.ndarray:
     """Tokens of more than ``group`` sets, or of more than a share of 1 / ``most`` of all tokens if that is larger.
 
     So there are fewer than ``most`` of them, the bound of what is sent around.
@@ -135,7 +135,7 @@ def common_tokens(texts: DataFrame, n: int, n_tokens: int, group: int, most: int
     buckets = 16 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = texts.mapInArrow(_counts(n, buckets), "_b int, _one binary, _many binary, _times binary")
     by_bucket = counts.repartition("_b").sortWithinPartitions("_b")
-    rows = by_bucket.mapInArrow(_frequent(least), "_token long").toArrow()
+    rows = shelf.put(by_bucket.mapInArrow(_frequent(least), "_token long"), "common").toArrow()
     return np.sort(rows.column(0).to_numpy().astype(np.uint64))
 
 
@@ -432,7 +432,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_column: str, text_column:
                         .select("_k").union(signed.where("_n = 0").select("_k")), "repeats")
     alone = texts.join(repeats, "_k", "left_anti")
     total = classes.agg(F.sum("_n")).first()[0] or 0
-    hot = spark.sparkContext.broadcast(common_tokens(alone, n, total, group, most_common))
+    hot = spark.sparkContext.broadcast(common_tokens(alone, n, total, group, most_common, shelf))
 
     prefixes = shelf.put(alone.mapInArrow(_prefixes(n, percent, hot), "_k long, _token long"), "prefixes")
     shared = prefixes.groupBy("_token").agg(F.min("_k").alias("_a"), F.max("_k").alias("_b"),
@@ -448,6 +448,7 @@ def _joined(docs: DataFrame, n: int, percent: int, id_column: str, text_column:
     tied = small.mapInArrow(_candidates(percent), "u long, v long") \
         .union(members.where("NOT _small AND _k != _a").select(F.col("_k").alias("u"), F.col("_a").alias("v")))
     groups = common.components(tied, shelf)
+    shelf.drop("members")
     rows = groups.select(F.col("node").alias("_k"), "component").join(sets.select("_k", "_set"), "_k")
     blocks = rows.groupBy("component").agg(F.sum(F.length("_set")).alias("_bytes")) \
         .select("component", F.ceil(F.col("_bytes") / block_bytes).cast("int").alias("_blocks"))
