@@ -30,6 +30,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ..., which clash with no name that starts with an underscore; and the new names by the old."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def row_key(*columns: str) -> list[Column]:
     """Two hashes that identify a row by the values of ``columns``, NULLs included.
 

@@ -140,16 +140,17 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         F.array_sort(F.collect_list(F.when(F.col("_near").isNull(), F.col("_line")))).alias("_kept"),
         F.count("*").alias("_first"), F.count("_near").alias("_close"))
     names = [common.fresh(docs, n) for n in ("n_lines", "n_exact", "n_near")]
-    ours = [common.fresh(docs, n) for n in ("_k1", "_k2")]
-    kept = kept.withColumnsRenamed(dict(zip(("_k1", "_k2"), ours)))
-    joined = docs.withColumns({ours[0]: k1, ours[1]: k2}).join(kept, ours, "left")
+    rows, columns = common.numbered(docs)
+    k1, k2 = common.row_key(columns[id_column], columns[text_column])
+    text = F.col(columns[text_column])
+    joined = rows.withColumns({"_k1": k1, "_k2": k2}).join(kept, ["_k1", "_k2"], "left")
     parts = F.split(text, "\n")
     size = F.coalesce(F.size(parts), F.lit(0)).cast("long")
     close = F.coalesce("_close", F.lit(0)).cast("long")
     # Indexes of the kept lines instead of a search for each line: linear in the text.
     new = F.array_join(F.transform(F.coalesce("_kept", F.array().cast("array<int>")), lambda i: F.get(parts, i)), "\n")
     return joined.select(
-        *[F.when(text.isNotNull(), new).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns],
+        *[(F.when(text.isNotNull(), new) if old == text_column else F.col(c)).alias(old) for old, c in columns.items()],
         F.when(text.isNull(), F.lit(0)).otherwise(size).cast("long").alias(names[0]),
         F.when(text.isNull(), F.lit(0)).otherwise(size - F.coalesce("_first", F.lit(0))).cast("long").alias(names[1]),
         close.alias(names[2]))

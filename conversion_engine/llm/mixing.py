@@ -124,7 +124,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source_
     """
     spark = docs.sparkSession
     own = [common.fresh(docs, n) for n in ("rank", "slot", "phase")]
-    source = F.col(f"`{source_column}`")
+    docs, names = common.numbered(docs)
+    source = F.col(names[source_column])
     found = docs.groupBy(_key(source).alias("s")).agg(F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -145,7 +146,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source_
     slot = F.get("_slots", F.col("_at")) + F.floor(offset / F.size(places)) * F.get("_lengths", F.col("_at")) \
         + F.get(places, (offset % F.size(places)).cast("int"))
     return rows.withColumn("_number", number.cast("long")).withColumn("_at", at).select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.col("_rank").cast("long").alias(own[0]), slot.cast("long").alias(own[1]),
+        *[F.col(new).alias(old) for old, new in names.items()], F.col("_rank").cast("long").alias(own[0]), slot.cast("long").alias(own[1]),
         F.get("_phases", F.col("_at")).alias(own[2]))
 
 

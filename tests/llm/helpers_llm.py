@@ -42,7 +42,7 @@ def clashing(df):
     from pyspark.sql import functions as F
 
     names = ("_k", "_k1", "_id", "_text", "n_lines", "rank", "slot", "score", "component_id", "kept", "n_words", "_h",
-             "_line", "rejected", "host", "_src", "_o1")
+             "_line", "rejected", "host", "_src", "_o1", "_kept", "_rank", "_c", "c0", "_first")
     return df.withColumns({n: F.lit("clash") for n in names})
 
 

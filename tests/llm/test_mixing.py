@@ -47,7 +47,8 @@ def test_table_against_simulation(spark):
     rows = [(i, f"t{i}", None, pick.choice(["a"] * 6 + ["b", "b", "c", None]), i) for i in range(400)] + [(1, "t1", None, "c", 1)] * 3
     for weights in (None, {"a": 1.0, "b": 3.0, None: 0.5}):
         out = mixing.mix(clashing(table(spark, rows)), weights, block=3, slots_per_period=16)
-        got = [r.asDict() for r in out.select("doc_id", "source", "_rank", "_slot", "phase").collect()]
+        rank, slot, phase = out.columns[-3:]
+        got = [r.asDict() for r in out.select("doc_id", "source", rank, slot, phase).collect()]
         assert len(got) == len(rows)
         key = lambda s: "" if s is None else f"={s}"
         counts = {}
@@ -56,9 +57,9 @@ def test_table_against_simulation(spark):
         named = {key(s): w for s, w in weights.items()} if weights else dict.fromkeys(counts, 1.0)
         want = simulate({s: -(-n // 3) for s, n in counts.items()}, named, 16)
         for s, n in counts.items():
-            mine = sorted((r for r in got if key(r["source"]) == s), key=lambda r: r["_rank"])
-            assert [r["_rank"] for r in mine] == list(range(n))
-            assert [r["_slot"] for r in mine] == [want[s, r["_rank"] // 3] for r in mine]
+            mine = sorted((r for r in got if key(r["source"]) == s), key=lambda r: r[rank])
+            assert [r[rank] for r in mine] == list(range(n))
+            assert [r[slot] for r in mine] == [want[s, r[rank] // 3] for r in mine]
 
 
 def test_order_and_edges(spark):
