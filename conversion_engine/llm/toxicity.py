@@ -52,8 +52,8 @@ class Lexicon:
         return 2 * any(word[:n] in self.stems for n in STEMS if len(word) >= n)
 
 
-#: A known token costs some 300 bytes of a Python worker.
-CACHED_TOKENS = 200_000
+#: A known token costs some 250 bytes of a Python worker.
+CACHED_TOKENS = 300_000
 #: Lengths of beginnings.
 STEMS = (4, 5, 6, 7, 8)
 
@@ -69,28 +69,35 @@ def _squeezed(word: str) -> str:
     return "".join(c for i, c in enumerate(word) if not i or c != word[i - 1])
 
 
+_STRETCHED = re.compile(r"(.)\1\1", re.S)
+
+
 class TokenTraits(dict):
-    """Nine numbers for each token, worked out once for each distinct one. Maps a token to its row."""
+    """Nine numbers for each token, worked out once for each distinct one. Maps a token to its row of ``table``."""
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
-        self.lexicon, self.rows = lexicon, [np.zeros(9, np.float32)]
+        self.lexicon, self.table = lexicon, np.zeros((1024, 9), np.float32)
 
     def __missing__(self, token: str) -> int:
-        word = bare(token)
-        kind, hidden = self.lexicon.kind(word), 0
-        odd = any(not c.isalpha() for c in word) and any(c.isalpha() for c in word)
-        stretched = any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
-        if not kind and word:
-            plain = bare(token.lower().rstrip(".,;:!?").translate(_INNER).translate(LEET))
-            if plain != word or stretched:
-                hidden = bool(self.lexicon.kind(plain) or _squeezed(plain) in self.lexicon.words)
-        letters = sum(map(str.isalpha, token))
-        row = np.array([kind == 1, kind == 2, hidden, word in SECOND_PERSON, letters > 1 and token.isupper(),
-                        sum(map(str.isupper, token)), letters, odd, stretched], np.float32)
-        self.rows.append(row)
-        self[token] = len(self.rows) - 1
-        return len(self.rows) - 1
+        plain = token.isalpha()
+        word = token.lower() if plain else bare(token)
+        kind, hidden = self.lexicon.kind(word), False
+        stretched = _STRETCHED.search(word) is not None
+        if not kind and word and not (plain and not stretched):
+            shown = bare(token.lower().rstrip(".,;:!?").translate(_INNER).translate(LEET))
+            if shown != word or stretched:
+                hidden = bool(self.lexicon.kind(shown) or _squeezed(shown) in self.lexicon.words)
+        letters = len(token) if plain else sum(map(str.isalpha, token))
+        upper = 0 if token.islower() else sum(map(str.isupper, token))
+        odd = not plain and not word.isalpha() and any(map(str.isalpha, word))
+        n = len(self)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[n] = (kind == 1, kind == 2, hidden, word in SECOND_PERSON, letters > 1 and upper and token.isupper(),
+                         upper, letters, odd, stretched)
+        self[token] = n
+        return n
 
 
 def features(text: str, traits: TokenTraits) -> list[float]:
@@ -99,24 +106,23 @@ def features(text: str, traits: TokenTraits) -> list[float]:
     n = len(tokens)
     if not n:
         return [0.0] * len(FEATURES)
-    at = [traits[t] for t in tokens]
-    rows = np.array([traits.rows[i] for i in set(at)])
-    index = {i: k for k, i in enumerate(set(at))}
-    table = rows[[index[i] for i in at]]
-    word, stem, hidden, second, capital, upper, letters, odd, stretched = table.sum(axis=0)
-    marked = np.flatnonzero(table[:, :3].any(axis=1))
-    near = 0.0
-    persons = np.flatnonzero(table[:, 3])
-    if len(marked) and len(persons):
-        place = np.searchsorted(persons, marked)
-        gap = np.minimum(np.abs(persons[np.minimum(place, len(persons) - 1)] - marked),
-                         np.abs(persons[np.maximum(place - 1, 0)] - marked))
-        near = float(1 / (1 + gap.min()))
-    distinct = len({bare(tokens[i]) for i in marked})
+    at = np.fromiter(map(traits.__getitem__, tokens), np.int64, n)
+    table = traits.table[at]
+    word, stem, hidden, second, capital, upper, letters, odd, stretched = table.sum(axis=0, dtype=np.float64).tolist()
+    near, distinct = 0.0, 0
+    if word or stem or hidden:
+        marked = np.flatnonzero(table[:, :3].any(axis=1))
+        persons = np.flatnonzero(table[:, 3])
+        if len(persons):
+            place = np.searchsorted(persons, marked)
+            gap = np.minimum(np.abs(persons[np.minimum(place, len(persons) - 1)] - marked),
+                             np.abs(persons[np.maximum(place - 1, 0)] - marked))
+            near = float(1 / (1 + gap.min()))
+        distinct = len({bare(tokens[i]) for i in marked})
     size = len(text)
     return [float(np.log1p(n)), word / n, float(distinct), float(word > 0), stem / n, float(stem > 0), hidden / n,
             float(hidden > 0), near, second / n, capital / n, upper / max(letters, 1),
-            (text.count("!") + text.count("?")) / size, sum(text.count(c) for c in ".,;:-") / size, odd / n, stretched / n]
+            (text.count("!") + text.count("?")) / size, sum(map(text.count, ".,;:-")) / size, odd / n, stretched / n]
 
 
 def _featured(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
@@ -130,7 +136,7 @@ def _featured(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
             for text in part.column(0).to_pylist():
                 if len(traits) > CACHED_TOKENS:
                     traits = TokenTraits(lexicon)
-                rows.append([float(x) for x in features(text or "", traits)])
+                rows.append(features(text or "", traits))
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(rows, pa.list_(pa.float64()))],
                                              names=schema.names)
 
