@@ -143,10 +143,10 @@ def _featured(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     return docs.select(*keep).mapInArrow(run, schema)
 
 
-def learn_lexicon(sample: DataFrame, most: int = 200, least: int = 5, odds: float = 10.0) -> Lexicon:
-    """The seed, and the words and beginnings whose share of toxic texts is at least ``odds`` times that of others.
+def learn_lexicon(sample: DataFrame, most: int = 200, least: int = 5, clean_share: float = 0.1) -> Lexicon:
+    """The seed, and the words and beginnings of ``least`` toxic texts or more, and at most ``clean_share`` as many others.
 
-    ``sample`` has _text and _label. Counts are of texts; the ``most`` surest words and as many beginnings come back.
+    ``sample`` has _text and _label. The ``most`` frequent words and as many beginnings come back.
     """
     words = F.array_distinct(F.transform(F.split(F.lower("_text"), common.SPACES),
                                          lambda w: F.regexp_replace(w, r"^\P{L}+|\P{L}+$", "")))
@@ -157,12 +157,9 @@ def learn_lexicon(sample: DataFrame, most: int = 200, least: int = 5, odds: floa
     listed = sample.select("_label", words.alias("_words"))
     sides = [listed.select("_label", F.lit(0).alias("_stem"), F.explode("_words").alias("_w")),
              listed.select("_label", F.lit(1).alias("_stem"), F.explode(beginnings).alias("_w"))]
-    totals = sample.agg(F.sum("_label").alias("t"), F.sum(1 - F.col("_label")).alias("c")).first()
-    toxic, clean = totals["t"] or 0.0, totals["c"] or 0.0
     counts = sides[0].union(sides[1]).where("_w != ''").groupBy("_stem", "_w").agg(
         F.sum("_label").alias("t"), F.sum(1 - F.col("_label")).alias("c")).where(F.col("t") >= least)
-    ratio = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1))
-    kept = counts.where(ratio >= odds).select("_stem", "_w", "t")
+    kept = counts.where(F.col("c") + 0.5 <= clean_share * (F.col("t") + 0.5)).select("_stem", "_w", "t")
     found = [kept.where(F.col("_stem") == stem).orderBy(F.desc("t"), "_w").limit(most).collect() for stem in (0, 1)]
     return Lexicon(SEED_WORDS | {r["_w"] for r in found[0]}, frozenset(r["_w"] for r in found[1]))
 
