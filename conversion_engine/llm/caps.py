@@ -192,6 +192,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_column: str = "vec_
         .select("_c", (F.coalesce("_links", F.lit(0)) + F.col("_count") - 1).alias("_n"),
                 F.coalesce("component", "_c").alias("_group"))
     named = shelf.put(keyed.select("_id", "_c").join(members, "_c", "left"), "named")
+    shelf.keep("named")
     least_id = named.where("_group IS NOT NULL").groupBy("_group").agg(F.min("_id").alias("_least"))
     component = F.when(F.col("_group").isNull(), F.col("_id")).otherwise(F.col("_least"))
     return named.join(least_id, "_group", "left").select(

@@ -71,7 +71,7 @@ class Shelf:
         if not root:  # unset, as in tests
             root = tempfile.mkdtemp(prefix="llm-")
             spark.conf.set("spark.checkpoint.dir", root)
-        self.spark = spark
+        self.spark, self.names = spark, []
         self.path = f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
         self._fs(self.path)[0].deleteOnExit(self._fs(self.path)[1])
 
@@ -83,11 +83,18 @@ class Shelf:
         """Write ``df`` and read it back."""
         with _shuffles_freed(self.spark):
             df.write.parquet(f"{self.path}/{name}")
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
         fs, where = self._fs(f"{self.path}/{name}")
         fs.delete(where, True)
+        self.names.remove(name)
+
+    def keep(self, *names: str) -> None:
+        """Drop all tables but these, which the result still reads."""
+        for name in [n for n in self.names if n not in names]:
+            self.drop(name)
 
 
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:

@@ -136,9 +136,10 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         .where("_text IS NOT NULL")
     firsts = shelf.put(first_lines(source, min_words), "firsts")
     near = near_duplicates(firsts, source, shelf).withColumn("_near", F.lit(True))
-    kept = firsts.select(*_REF).join(near, _REF, "left").groupBy("_k1", "_k2").agg(
+    kept = shelf.put(firsts.select(*_REF).join(near, _REF, "left").groupBy("_k1", "_k2").agg(
         F.array_sort(F.collect_list(F.when(F.col("_near").isNull(), F.col("_line")))).alias("_kept"),
-        F.count("*").alias("_first"), F.count("_near").alias("_close"))
+        F.count("*").alias("_first"), F.count("_near").alias("_close")), "kept")
+    shelf.keep("kept")
     names = [common.fresh(docs, n) for n in ("n_lines", "n_exact", "n_near")]
     rows, columns = common.numbered(docs)
     k1, k2 = common.row_key(columns[id_column], columns[text_column])

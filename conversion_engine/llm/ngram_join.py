@@ -175,14 +175,21 @@ def folded(bits: np.ndarray, to: int) -> np.ndarray:
     return bits
 
 
-def _sets(n: int, hot) -> Callable:
-    """(key, size, the set in global order, its bitmap)."""
+def _sketches(n: int) -> Callable:
+    """(key, size, bitmap)."""
     def fn(sets, part):
         return pa.RecordBatch.from_arrays([
             part.column(0), pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([ordered(s, hot.value).tobytes() for s in sets], pa.binary()),
-            pa.array([bitmap(s, width(len(s))).tobytes() for s in sets], pa.binary())],
-            names=["_k", "_n", "_set", "_bits"])
+            pa.array([bitmap(s, width(len(s))).tobytes() for s in sets], pa.binary())], names=["_k", "_n", "_bits"])
+    return _sets_of(n, fn)
+
+
+def _sets(n: int, hot) -> Callable:
+    """(key, component, the set in global order)."""
+    def fn(sets, part):
+        return pa.RecordBatch.from_arrays([
+            part.column(0), part.column(2), pa.array([ordered(s, hot.value).tobytes() for s in sets], pa.binary())],
+            names=["_k", "component", "_set"])
     return _sets_of(n, fn)
 
 
@@ -430,26 +437,30 @@ def _joined(docs: DataFrame, n: int, percent: int, id_column: str, text_column:
         F.min("_k").alias("_class"), F.max("_k").alias("_last"))
     repeats = shelf.put(classes.where("_class != _last").join(signed, ["_n", "_s1", "_s2"]).where("_k != _class")
                         .select("_k").union(signed.where("_n = 0").select("_k")), "repeats")
-    alone = texts.join(repeats, "_k", "left_anti")
+    twice = shelf.put(signed.groupBy("_k").agg(F.count("*").alias("_c")).where("_c > 1").select("_k"), "twice")
+    first = texts.join(repeats, "_k", "left_anti")
+    alone = first.join(twice, "_k", "left_anti").union(first.join(twice, "_k", "left_semi").dropDuplicates(["_k"]))
     total = classes.agg(F.sum("_n")).first()[0] or 0
     hot = spark.sparkContext.broadcast(common_tokens(alone, n, total, group, most_common, shelf))
 
     prefixes = shelf.put(alone.mapInArrow(_prefixes(n, percent, hot), "_k long, _token long"), "prefixes")
     shared = prefixes.groupBy("_token").agg(F.min("_k").alias("_a"), F.max("_k").alias("_b"),
                                             F.count("*").alias("_c")).where("_a != _b")
-    members = shelf.put(prefixes.join(shared.select("_token", "_a", (F.col("_c") <= group).alias("_small")), "_token")
-                        .dropDuplicates(["_token", "_k"]), "members")
+    members = shelf.put(prefixes.join(shared.select("_token", "_a", (F.col("_c") <= group).alias("_small")), "_token"), "members")
     shelf.drop("prefixes")
-    wanted = members.select("_k").distinct()
-    sets = shelf.put(alone.join(wanted, "_k", "left_semi").mapInArrow(
-        _sets(n, hot), "_k long, _n long, _set binary, _bits binary").dropDuplicates(["_k"]), "sets")
-    small = members.where("_small").select("_token", "_k").join(sets.select("_k", "_n", "_bits"), "_k") \
+    wanted = members.where("_small").select("_k").distinct()
+    sketches = shelf.put(alone.join(wanted, "_k", "left_semi").mapInArrow(_sketches(n), "_k long, _n long, _bits binary"),
+                         "sketches")
+    small = members.where("_small").select("_token", "_k").join(sketches, "_k") \
         .select("_token", "_k", "_n", "_bits").repartition("_token").sortWithinPartitions("_token")
     tied = small.mapInArrow(_candidates(percent), "u long, v long") \
         .union(members.where("NOT _small AND _k != _a").select(F.col("_k").alias("u"), F.col("_a").alias("v")))
     groups = common.components(tied, shelf)
     shelf.drop("members")
-    rows = groups.select(F.col("node").alias("_k"), "component").join(sets.select("_k", "_set"), "_k")
+    shelf.drop("sketches")
+    grouped = groups.select(F.col("node").alias("_k"), "component")
+    rows = shelf.put(alone.join(grouped, "_k").select("_k", "_text", "component").mapInArrow(
+        _sets(n, hot), "_k long, component long, _set binary"), "sets")
     blocks = rows.groupBy("component").agg(F.sum(F.length("_set")).alias("_bytes")) \
         .select("component", F.ceil(F.col("_bytes") / block_bytes).cast("int").alias("_blocks"))
     mine = F.pmod(F.hash("_k"), F.col("_blocks"))
@@ -469,6 +480,9 @@ def _joined(docs: DataFrame, n: int, percent: int, id_column: str, text_column:
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_k")).alias("_first")
     least = named.where("_n > 0").groupBy("_group").agg(first)
     empty = F.col("_n") == 0
-    return named.join(least, "_group", "left").select(
+    result = named.join(least, "_group", "left").select(
         "_k", "_id", "_n", F.when(empty, F.col("_id")).otherwise(F.col("_first._id")).alias("_component"),
         (empty | (F.col("_k") == F.col("_first._k"))).alias("representative"))
+    stored = shelf.put(result, "result")
+    shelf.keep("result")
+    return stored

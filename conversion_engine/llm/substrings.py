@@ -147,6 +147,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_column: str = "doc_id
     twice = shelf.put(texts.groupBy("_k").agg(F.count("*").alias("_c")).where("_c > 1").select("_k"), "twice")
     source = texts.join(twice, "_k", "left_anti").union(texts.join(twice, "_k", "left_semi").dropDuplicates(["_k"]))
     found = repeated(source, window, shelf)
+    shelf.keep(f"found{window}")
     joined = named.join(found, "_k", "left").select("_id", "_text", "_starts")
     schema = docs.select(f"`{id_column}`").schema.add("text", "string").add("n_words", "long").add("n_removed", "long")
     return joined.mapInArrow(_cut(window, id_column), schema)

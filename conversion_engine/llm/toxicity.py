@@ -192,6 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     judged = trees.transform(rows.where("_part = 'calibration'")).select(
         "_label", vector_to_array("probability")[1].alias("_raw_score"))
     calibration = IsotonicRegression(featuresCol="_raw_score", labelCol="_label", predictionCol="_calibrated").fit(judged)
+    shelf.keep()
     return ToxicityModel(lexicon, trees, calibration)
 
 
