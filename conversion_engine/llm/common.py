@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from conversion_engine.session import run_folder
+
 #: Words are separated by these characters alone (ASCII white space).
 SPACES = r"[\x20\x09-\x0D]+"
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -60,20 +61,15 @@ def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
 
 
 class Shelf:
-    """Tables of one run of one operator, in a folder of its own under ``spark.checkpoint.dir``.
+    """Tables of one run of one operator, in a folder of its own in the application's under ``spark.checkpoint.dir``.
 
     A written table cuts the lineage and survives lost executors. Tables go with
     :meth:`drop`; what a lazy result still reads goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:  # unset, as in tests
-            root = tempfile.mkdtemp(prefix="llm-")
-            spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.names = spark, []
-        self.path = f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-        self._fs(self.path)[0].deleteOnExit(self._fs(self.path)[1])
+        self.path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def _fs(self, path: str):
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
