@@ -125,13 +125,11 @@ def _frequent(least: int) -> Callable:
     return run
 
 
-def common_tokens(texts: DataFrame, n: int, n_tokens: int, group: int, most: int, shelf: common.Shelf) -> np.ndarray:
-    """Tokens of more than ``group`` sets, or of more than a share of 1 / ``most`` of all tokens if that is larger.
+def common_tokens(texts: DataFrame, n: int, least: int, shelf: common.Shelf) -> np.ndarray:
+    """Tokens of more than ``least`` sets, so that there are fewer than all tokens' number divided by ``least``.
 
-    So there are fewer than ``most`` of them, the bound of what is sent around.
     Counts cover all sets; they travel packed, counted within each batch before.
     """
-    least = max(group, n_tokens // most)
     buckets = 16 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = texts.mapInArrow(_counts(n, buckets), "_b int, _one binary, _many binary, _times binary")
     by_bucket = counts.repartition("_b").sortWithinPartitions("_b")
@@ -441,12 +439,14 @@ def _joined(docs: DataFrame, n: int, percent: int, id_column: str, text_column:
     first = texts.join(repeats, "_k", "left_anti")
     alone = first.join(twice, "_k", "left_anti").union(first.join(twice, "_k", "left_semi").dropDuplicates(["_k"]))
     total = classes.agg(F.sum("_n")).first()[0] or 0
-    hot = spark.sparkContext.broadcast(common_tokens(alone, n, total, group, most_common, shelf))
+    # A token of more sets is common. There are fewer than ``most_common`` such tokens, the bound of what is sent around.
+    least = max(group, total // most_common)
+    hot = spark.sparkContext.broadcast(common_tokens(alone, n, least, shelf))
 
     prefixes = shelf.put(alone.mapInArrow(_prefixes(n, percent, hot), "_k long, _token long"), "prefixes")
     shared = prefixes.groupBy("_token").agg(F.min("_k").alias("_a"), F.max("_k").alias("_b"),
                                             F.count("*").alias("_c")).where("_a != _b")
-    members = shelf.put(prefixes.join(shared.select("_token", "_a", (F.col("_c") <= group).alias("_small")), "_token"), "members")
+    members = shelf.put(prefixes.join(shared.select("_token", "_a", (F.col("_c") <= least).alias("_small")), "_token"), "members")
     shelf.drop("prefixes")
     wanted = members.where("_small").select("_k").distinct()
     sketches = shelf.put(alone.join(wanted, "_k", "left_semi").mapInArrow(_sketches(n), "_k long, _n long, _bits binary"),
@@ -478,9 +478,9 @@ def _joined(docs: DataFrame, n: int, percent: int, id_column: str, text_column:
         .select("_id", "_n", "_k", F.coalesce("component", "_class", "_k").alias("_group"))
     # A row without words is alone, even beside an equal one.
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_k")).alias("_first")
-    least = named.where("_n > 0").groupBy("_group").agg(first)
+    chosen = named.where("_n > 0").groupBy("_group").agg(first)
     empty = F.col("_n") == 0
-    result = named.join(least, "_group", "left").select(
+    result = named.join(chosen, "_group", "left").select(
         "_k", "_id", "_n", F.when(empty, F.col("_id")).otherwise(F.col("_first._id")).alias("_component"),
         (empty | (F.col("_k") == F.col("_first._k"))).alias("representative"))
     stored = shelf.put(result, "result")
