@@ -42,8 +42,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1,024 tokens, in the order of the mixture."""
-    return packing.pack(docs, **tokenizer())
+    """Pieces of documents in sequences of 1,024 tokens, in the order of the mixture.
+
+    A scan puts files together by size, so the order is not that of the stage before: the mixture, a
+    function of the rows alone, is made again and its ranges are packed one after the other.
+    """
+    return packing.pack(mixture(spark, docs, sf_dir), **tokenizer())
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("pack", pack)]
