@@ -97,13 +97,20 @@ def _character(c: str) -> str | None:
 _ODD = re.compile(rf"[{''.join(HOMOGLYPHS)}{INVISIBLE}！-～]|(?![0-9])\d")
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _UNIT = rf"(?:{_WORD}|{DOT}|{PLUS}|[0-9]+)"
-#: At least four units in a row; whether they hold enough digit words is asked afterwards.
-_SPOKEN = re.compile(rf"(?<!\w)(?:{_UNIT}(?!\w)[\s,.()-]{{0,3}}){{3,}}{_UNIT}(?!\w)", re.I)
+#: Units in a row; whether one is a word and they have the digits of an identifier is asked afterwards.
+_SPOKEN = re.compile(rf"(?<!\w)(?:{_UNIT}(?!\w)[\s,.()-]{{0,3}})+{_UNIT}(?!\w)", re.I)
 _SPOKEN_UNIT = re.compile(rf"({_WORD})|({DOT})|({PLUS})|[0-9]+", re.I)
 _BRACKETED = re.compile(rf"\s?[\[({{<]\s?(?:({AT}|@)|(?:{DOT}|\.))\s?[\])}}>]\s?", re.I)
 _PLAIN_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s(?:{DOT})\s(?=[A-Za-z0-9])", re.I)
-#: Words alone ("john at example dot com") count only before one of these.
-TOP = "com|org|net|edu|gov|info|io|eu|uk|us|de|fr|es|it|at|ch|co"
+#: Words alone ("john at example dot com") count before any ending of letters: of two, a country's (there are
+#: no others); of more, any but a few words of everyday sentences, which are no endings either.
+_COUNTRIES = """ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg
+ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq
+gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu
+lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn
+pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt
+tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"""
+TOP = rf"(?:{'|'.join(_COUNTRIES.split())})\b|(?!(?:the|and|that|was|with|from|which|where|when|are|were|has|had|but|not)\b)[a-z]{{3,}}"
 _PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9])\s(?:{AT})\s(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\s(?:{DOT})\s"
                        rf"(?:[A-Za-z0-9-]+(?:\.|\s(?:{DOT})\s)){{0,4}}(?:{TOP})\b)", re.I)
 _LETTER_DIGITS = re.compile(r"(?<=[0-9])[OoIl](?=[0-9OoIl -]*[0-9])")
@@ -116,6 +123,7 @@ class Rewrite:
     def __init__(self, text: str, edits: list[tuple[int, int, str]]):
         """``edits``: (start, end, replacement), sorted, not overlapping."""
         parts, self.at, self.source, self.copied = [], [], [], []
+        self.starts, self.ends = [e[0] for e in edits], [e[1] for e in edits]
         done = size = 0
         for start, end, new in [*edits, (len(text), len(text), "")]:
             for piece, low, high, same in ((text[done:start], done, start, True), (new, start, end, False)):
@@ -135,6 +143,11 @@ class Rewrite:
         high = self.source[j][0] + end - self.at[j] if self.copied[j] else self.source[j][1]
         return low, high
 
+    def within(self, low: int, high: int) -> bool:
+        """Does the original stretch share a character with an edit?"""
+        i = bisect_right(self.ends, low)
+        return i < len(self.ends) and self.starts[i] < high
+
 
 def _merged(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
@@ -144,28 +157,37 @@ def _merged(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
-def _spoken(text: str) -> list[tuple[int, int, str]]:
-    """Runs of spelled digits become digits without gaps."""
+def _runs(text: str) -> list[list[re.Match]]:
+    """Runs of numbers and spelled digits, dots and pluses, with at least one word and the four digits of the shortest identifier."""
+    found = ([*_SPOKEN_UNIT.finditer(text, run.start(), run.end())] for run in _SPOKEN.finditer(text))
+    return [units for units in found if any(u[1] or u[2] or u[3] for u in units)
+            and sum(1 if u[1] else 0 if u[2] or u[3] else len(u[0]) for u in units) >= 4]
+
+
+def _spoken(text: str, runs: list[list[re.Match]], joined: bool) -> list[tuple[int, int, str]]:
+    """Runs of spelled digits become digits without gaps. A number next to another or to a digit word may be one of its own: that
+    gap stays in runs of fewer than four digit words, unless ``joined``."""
     edits = []
-    for run in _SPOKEN.finditer(text):
-        units = list(_SPOKEN_UNIT.finditer(text, run.start(), run.end()))
-        if sum(bool(u[1]) for u in units) < 4:
-            continue
+    for units in runs:
+        whole = joined or sum(bool(u[1]) for u in units) >= 4
         for unit, after in zip(units, [*units[1:], None]):
             new = DIGIT_WORDS[unit[1].lower()] if unit[1] else "." if unit[2] else "+" if unit[3] else unit[0]
-            edits.append((unit.start(), unit.end(), new))
+            if new != unit[0]:
+                edits.append((unit.start(), unit.end(), new))
             if after and after.start() > unit.end():
                 gap = text[unit.end():after.start()]
-                edits.append((unit.end(), after.start(), "." if gap.strip() == "." and not (unit[2] or after[2]) else ""))
+                if whole or (unit[1] and after[1]) or any(u[2] or u[3] for u in (unit, after)):
+                    new = "." if gap.strip() == "." and not (unit[2] or after[2]) else ""
+                    if new != gap:
+                        edits.append((unit.end(), after.start(), new))
     return edits
 
 
 def _addresses(text: str, low: str) -> list[tuple[int, int, str]]:
     edits = [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)]
-    if edits or "@" in text or _DOTS.search(low):
-        plain = [(m.start(), m.end(), "@") for m in _PLAIN_AT.finditer(text)]
-        if plain or "@" in text or any(e[2] == "@" for e in edits):
-            edits += plain + [(m.start(), m.end(), ".") for m in _PLAIN_DOT.finditer(text)]
+    if _DOTS.search(low):
+        edits += [(m.start(), m.end(), "@") for m in _PLAIN_AT.finditer(text)]
+        edits += [(m.start(), m.end(), ".") for m in _PLAIN_DOT.finditer(text)]
     return edits
 
 
@@ -173,8 +195,9 @@ def _letters(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), "0" if m[0] in "Oo" else "1") for m in _LETTER_DIGITS.finditer(text)]
 
 
-def normalise(text: str) -> list[Rewrite]:
-    """The chain of rewrites that undo the disguises found in ``text``; empty if there is none."""
+def normalise(text: str) -> list[list[Rewrite]]:
+    """The chains of rewrites that undo the disguises found in ``text``, the likeliest reading of spelled digits first; empty
+    if there is none."""
     chain = []
     if not text.isascii() and _ODD.search(text):
         edits = [(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _character(m[0])) is not None]
@@ -182,36 +205,47 @@ def normalise(text: str) -> list[Rewrite]:
             chain.append(Rewrite(text, edits))
             text = chain[-1].text
     low = text.lower()
-    edits = []
-    words = low.replace(",", " ").replace("-", " ").replace(".", " ").split()
-    if not _DIGIT_SET.isdisjoint(words) and sum(w in _DIGIT_SET for w in words) >= 4:
-        edits += _spoken(text)
+    edits, readings = [], []
+    words = re.split(r"[\s,.()-]+", low)
+    if not _SPOKEN_SET.isdisjoint(words):
+        runs = _runs(text)
+        if runs:
+            readings = [_spoken(text, runs, False), _spoken(text, runs, True)]
     if "@" in low or any(x in low for x in _HINTS):
         edits += _addresses(text, low)
     if _DIGIT.search(text):
         edits += _letters(text)
-    if edits:
-        chain.append(Rewrite(text, _merged(edits)))
-    return chain
+    out: list[list[tuple[int, int, str]]] = []
+    for reading in [*readings, []]:
+        every = _merged(reading + edits)
+        if every and every not in out:
+            out.append(every)
+    return [[*chain, Rewrite(text, every)] for every in out] or ([chain] if chain else [])
 
 
-_DIGIT_SET = frozenset(DIGIT_WORDS)
+_SPOKEN_SET = frozenset(DIGIT_WORDS) | frozenset(PLUS.split("|")) | frozenset(DOT.split("|"))
 _HINTS = tuple(DOT.split("|")) + tuple(b + a for b in "[({<" for a in (*AT.split("|"), "@", "."))\
     + tuple(b + " " + a for b in "[({<" for a in (*AT.split("|"), "@", "."))
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Spans that show only after the disguises are undone, in characters of ``text``."""
-    chain = normalise(text)
-    if not chain:
-        return []
-    out = []
-    for start, kind, end, value in find(chain[-1].text):
-        for step in reversed(chain):
-            start, end = step.back(start, end)
-        if not any(k == kind and s <= start and end <= e for s, k, e, _ in base):
-            out.append((start, kind, end, value))
-    return out
+    """Spans that show only after the disguises are undone and hold such a place, in characters of ``text``.
+
+    Of several readings of spelled digits, a later one's span counts if it overlaps none of its kind of an earlier one.
+    """
+    out: list[Span] = []
+    for chain in normalise(text):
+        new = []
+        for start, kind, end, value in find(chain[-1].text):
+            changed = False
+            for step in reversed(chain):
+                start, end = step.back(start, end)
+                changed = changed or step.within(start, end)
+            if changed and not any(k == kind and s <= start and end <= e for s, k, e, _ in base) \
+                    and not any(k == kind and s < end and start < e for s, k, e, _ in out):
+                new.append((start, kind, end, value))
+        out += new
+    return sorted(out, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
 
 SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long")

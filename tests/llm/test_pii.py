@@ -53,6 +53,28 @@ def test_disguises_map_back(text, kind, span, value):
     assert (kind, span, value) in found
 
 
+@pytest.mark.parametrize("text, kind, span, value", [
+    ("host 192 dot 168 dot 1 dot 10 is up", "ip", "192 dot 168 dot 1 dot 10", "192.168.1.10"),
+    ("host 192 dot 168 dot one dot zero", "ip", "192 dot 168 dot one dot zero", "192.168.1.0"),
+    ("number two 192 dot 168 dot 1 dot 10", "ip", "192 dot 168 dot 1 dot 10", "192.168.1.10"),
+    ("in 2024 192 dot 168 dot one dot zero", "ip", "192 dot 168 dot one dot zero", "192.168.1.0"),
+    ("call plus four four 2079460958", "phone", "plus four four 2079460958", "+44 2079460958"),
+    ("call plus 442079460958 now", "phone", "plus 442079460958", "+442079460958"),
+    ("card 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one", "4111 1111 1111 111 1"),
+    ("info at one dot com", "email", "info at one dot com", "info@one.com"),
+    *[(f"john at example dot {top}", "email", f"john at example dot {top}", f"john@example.{top}")
+      for top in ("nl", "ru", "mx", "ca", "be", "museum")],
+])
+def test_one_word_in_a_run_is_enough(text, kind, span, value):
+    found = [(k, text[s:e], v) for s, k, e, v in pii.disguised(text, pii.find(text))]
+    assert found == [(kind, span, value)]
+
+
+def test_a_span_without_a_rewrite_is_not_disguised():
+    for text in ("we met at the dot and left", "3 point 5 and 10.0.0.1", "one, two and plus 10, +44 20 7946 0958"):
+        assert pii.disguised(text, pii.find(text)) == []
+
+
 @pytest.mark.parametrize("text", ["meet at the dot of night", "one two three", "at dot com", "he is 6 at seven", "look at example.com",
                                   "two dogs, four cats, one bird and three fish", "Москва 2024"])
 def test_ordinary_texts_gain_nothing(text):
