@@ -1,4 +1,4 @@
-"""The ten operators on their whole tables, as registered queries.
+"""The operators on their whole tables, as registered queries.
 
 ``SPARK`` maps a name to a function of (spark, folder); ``ORACLE`` holds DuckDB SQL
 where SQL can express the operator.
@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conversion_engine.llm import (caps, common, host_rules, line_dedup, mixing, ngram_join, packing, pii, quality_crf,
-                                   substrings, toxicity)
+from conversion_engine.llm import (caps, centroids, common, host_rules, line_dedup, mixing, ngram_join, order_minhash,
+                                   packing, pii, quality_crf, spelling, substrings, toxicity)
 from conversion_engine.llm.labels import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,49 @@ def op4_toxicity(spark: SparkSession, root: str) -> DataFrame:
     model = toxicity.train(docs, spark.read.parquet(f"{root}/labels.parquet"))
     return toxicity.score(docs, model).select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op11_ns_centroids(spark: SparkSession, root: str) -> DataFrame:
+    return centroids.cluster_vectors(spark.read.parquet(f"{root}/embeddings.parquet"))
+
+
+def _lloyd_sql(k: int = 16, rounds: int = 3, width: int = 64) -> str:
+    """Lloyd's rounds without bounds: all distances in every round."""
+    def assigned(t: int) -> str:
+        return f"""
+a{t} AS MATERIALIZED (SELECT vec_id, min((d, j)) AS best FROM (
+  SELECT vec_id, j, sum((x - c) * (x - c)) AS d FROM p JOIN c{t} USING (i) GROUP BY 1, 2) GROUP BY 1)"""
+
+    def moved(t: int) -> str:
+        return f"""
+s{t} AS (SELECT best[2] AS j, i, sum(x) AS s, count(*) AS n FROM p JOIN a{t} USING (vec_id) GROUP BY 1, 2),
+c{t + 1} AS MATERIALIZED (SELECT j, i, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM c{t} LEFT JOIN s{t} USING (j, i))"""
+
+    steps = [assigned(0)]
+    for t in range(rounds):
+        steps += [moved(t), assigned(t + 1)]
+    return f"""
+WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {width}
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, unnest(range(1, {width + 1})) AS i, CAST(floor(64 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM v),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS j FROM v),
+c0 AS MATERIALIZED (SELECT j, i, x AS c FROM f JOIN p USING (vec_id) WHERE j < {k}),{",".join(steps)},
+h AS (SELECT j, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, CAST(best[1] AS BIGINT) AS distance,
+  CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia, CAST(sum(best[1]) OVER () AS BIGINT) AS inertia,
+  centroid_sha256 FROM a{rounds} JOIN h ON h.j = best[2]
+"""
+
+
+ORACLE["op11_ns_centroids"] = _lloyd_sql()
+
+
+@query
+def op12_order_minhash(spark: SparkSession, root: str) -> DataFrame:
+    return order_minhash.fingerprints(common.documents(spark, root))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, root: str) -> DataFrame:
+    return spelling.spelling_variants(common.documents(spark, root))
