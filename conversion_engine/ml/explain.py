@@ -1,60 +1,88 @@
-"""Attribution of single predictions to features, by sampled Shapley values."""
+"""Attribution of single predictions to features, by exact Shapley values."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from itertools import combinations
+from math import factorial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from conversion_engine.ml.oblivious import Tree, Trees, quoted
 from conversion_engine.ml.training import ConversionModel
 
 
-def shapley_changes(model: ConversionModel, rows: DataFrame, key: str, background: int = 20, orders: int = 4,
-                    seed: int = 64) -> DataFrame:
-    """Changes of the score along sampled orders: ``key``, run, ``feature``, change, base.
+def _expected(tree: Tree, known: set[int]) -> np.ndarray:
+    """The tree's value for each leaf number of a row of which only the ``known`` features are used.
+
+    At a split by another feature both sides count by the training weight in them (evenly, if there is none).
+    """
+    depth = len(tree.splits)
+    sides = (2,) * depth
+    # Axis i of these is level depth - 1 - i; a node of a level is fixed by the splits of the levels before it.
+    values, weights = tree.values.reshape(sides), tree.weights.reshape(sides)
+    out = np.broadcast_to(values[None], (1 << depth, *sides))
+    rows = np.arange(1 << depth)
+    for level in reversed(range(depth)):  # the deepest level is the first axis
+        low, high = weights[0], weights[1]
+        if tree.splits[level][0] in known:
+            out = out[rows, (rows >> level) & 1]
+        else:
+            total = low + high
+            share = np.divide(low, total, out=np.full(np.shape(total), 0.5), where=total > 0)
+            out = share * out[:, 0] + (1 - share) * out[:, 1]
+        weights = low + high
+    return out
+
+
+def tree_attributions(tree: Tree) -> tuple[list[int], np.ndarray, float]:
+    """A tree's features, the Shapley values [leaf, feature] of the rows of each leaf, and the value without any feature.
+
+    All that a row's attribution depends on in an oblivious tree is the leaf it reaches, so that one table describes all rows.
+    """
+    features = sorted({s[0] for s in tree.splits})
+    worth = {frozenset(c): _expected(tree, set(c)) for n in range(len(features) + 1) for c in combinations(features, n)}
+    count = len(features)
+    out = np.zeros((len(tree.values), count))
+    for i, f in enumerate(features):
+        for others, value in worth.items():
+            if f not in others:
+                n = len(others)
+                out[:, i] += factorial(n) * factorial(count - n - 1) / factorial(count) * (worth[others | {f}] - value)
+    return features, out, float(worth[frozenset()][0])
+
+
+def attributions(trees: Trees, encoded: DataFrame, *kept: str) -> DataFrame:
+    """``kept`` columns, base, and ``values``: a Shapley value for each of the trees' features, which add up to margin minus base."""
+    tables = [tree_attributions(t) for t in trees.trees]
+    base = float(sum(b for _, _, b in tables))
+
+    @F.arrow_udf("array<double>")
+    def values(*columns: pa.Array) -> pa.Array:
+        total = np.zeros((len(columns[0]), len(trees.features)))
+        for (features, table, _), leaf in zip(tables, trees.leaf_numbers(columns)):
+            total[:, features] += table[leaf]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1) * total.shape[1], pa.int32()), pa.array(total.ravel()))
+    columns = [F.col(quoted(c)).cast("double") for c in trees.features]
+    return encoded.select(*kept, F.lit(base).alias("base"), values(*columns).alias("values"))
+
+
+def named(found: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """``key``, base, ``feature``, ``value``: a row per feature."""
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("__i") + 1)
+    return found.select(key, "base", F.posexplode("values").alias("__i", "value")).select(key, "base", named.alias("feature"), "value")
+
+
+def shapley_values(model: ConversionModel, rows: DataFrame, key: str) -> DataFrame:
+    """Shapley values of every row on the scale of the margin: ``key``, base, ``feature``, ``value``.
 
-    Every row is explained. For each of ``orders`` random feature orders (its runs), a row's values replace
-    those of one of ``background`` reference rows one feature at a time, and the change of the score is
-    credited to that feature; base is the reference's own score. The number of orders and reference rows sets the
-    method's precision. All mixed rows are scored in one distributed transform.
+    They are exact for the path-dependent game (features that are not used count by the training weights along the path):
+    a row's values add up to its margin minus base, for every row, without reference rows or sampled orders.
     """
-    names = model.feature_names
-    count = len(names)
-    vectors = model.encode(rows)
-    for stage in model.pipeline.stages[:-1]:
-        vectors = stage.transform(vectors)
-    explained = vectors.select(F.col(key).alias("__key"), vector_to_array("features").alias("x"))
-    order = F.xxhash64(F.lit(seed), F.col("__key")).desc(), "__key"
-    chosen = explained.orderBy(*order).limit(background)
-    reference = chosen.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("slot"), F.col("x").alias("z"))
-    slots = chosen.count()
-    if not slots:
-        raise ValueError("no rows to explain")
-    slot = F.pmod(F.xxhash64("__key", "run", F.lit(seed)), F.lit(slots)).cast("int")
-    runs = explained.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(orders)))).withColumn("slot", slot) \
-        .join(F.broadcast(reference), "slot")  # ``background`` rows at most
-    positions = F.sequence(F.lit(0), F.lit(count - 1))
-    keyed = F.transform(positions, lambda i: F.struct(F.xxhash64("__key", "run", i).alias("h"), i.alias("i")))
-    turns = F.transform(F.array_sort(keyed), lambda s: s["i"])
-    steps = runs.withColumn("order", turns).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(count))))
-    replaced = F.slice("order", F.lit(1), F.col("step"))
-    mixed = F.transform(positions, lambda i: F.when(F.array_contains(replaced, i), F.col("x")[i]).otherwise(F.col("z")[i]))
-    rows_to_score = steps.select("__key", "run", "step", "order", array_to_vector(mixed).alias("features"))
-    score = vector_to_array("probability")[1]
-    scores = model.trees.transform(rows_to_score).select("__key", "run", "step", "order", score.alias("score"))
-    # One window holds the count + 1 steps of a single run.
-    run = Window.partitionBy("__key", "run").orderBy("step")
-    credited = scores.withColumn("change", F.col("score") - F.lag("score").over(run)) \
-        .withColumn("base", F.first("score").over(run)).where(F.col("step") > 0)
-    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.element_at("order", F.col("step")) + 1)
-    return credited.select(F.col("__key").alias(key), "run", named.alias("feature"), "change", "base")
-
-
-def shapley_values(model: ConversionModel, rows: DataFrame, key: str, background: int = 20, orders: int = 4,
-                   seed: int = 64) -> DataFrame:
-    """Sampled Shapley values of every row, the means of its changes: ``key``, ``feature``, ``value``."""
-    changes = shapley_changes(model, rows, key, background, orders, seed)
-    return changes.groupBy(key, "feature").agg(F.avg("change").alias("value"))
+    encoded = model.encode(rows)
+    return named(attributions(model.trees, encoded, key), key, model.feature_names)
 
 
 def shapley_summary(values: DataFrame) -> DataFrame:

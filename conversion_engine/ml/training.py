@@ -6,16 +6,15 @@ import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from conversion_engine.ml import oblivious
 from conversion_engine.operators.features import feature_types, split_bucket
 from conversion_engine.operators.joins import left_join_sparse
-from conversion_engine.session import materialize, run_folder
+from conversion_engine.session import materialize
 
 
 @dataclass(frozen=True)
@@ -28,7 +27,7 @@ class TrainingParams:
     seed: int = 64
     patience: int = 50
     max_bins: int = 255
-    folds: int = 5
+    l2: float = 3.0
     prior_weight: float = 1.0
     weighting: str = "scale_pos_weight"
 
@@ -74,17 +73,22 @@ class CategoryStatistics:
 
 @dataclass
 class ConversionModel:
-    """A fitted classifier with everything that is needed to score new rows."""
+    """A fitted classifier with everything that is needed to score new rows.
 
-    pipeline: PipelineModel
+    ``grown`` are all trees of the training, of which the first ``best_iteration`` score. ``encoded`` are the rows it was trained
+    and checked on, as the trees see them (label, weight, split, features); a loaded model has none.
+    """
+
+    grown: oblivious.Trees
     numbers: list[str]
     statistics: list[CategoryStatistics] = field(default_factory=list)
     best_iteration: int = 0
     learning_losses: dict[str, list[float]] = field(default_factory=dict)
+    encoded: DataFrame | None = None
 
     @property
-    def trees(self) -> GBTClassificationModel:
-        return self.pipeline.stages[-1]
+    def trees(self) -> oblivious.Trees:
+        return self.grown.first(self.best_iteration)
 
     @property
     def feature_names(self) -> list[str]:
@@ -97,17 +101,17 @@ class ConversionModel:
 
     def score(self, df: DataFrame, threshold: float = 0.5) -> DataFrame:
         """Add ``score``, the probability of the positive class, and ``prediction``."""
-        scored = self.pipeline.transform(self.encode(df))
-        positive = vector_to_array("probability")[1]
         kept = [c for c in df.columns if c not in ("score", "prediction")]
-        return scored.select(*kept, positive.alias("score"), F.when(positive > threshold, 1).otherwise(0).alias("prediction"))
+        scored = self.encode(df).select(*kept, self.trees.score_column().alias("score"))
+        return scored.withColumn("prediction", F.when(F.col("score") > threshold, 1).otherwise(0))
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        self.grown.nodes(spark).write.mode("overwrite").parquet(f"{path}/nodes")
+        self.grown.leaves(spark).write.mode("overwrite").parquet(f"{path}/leaves")
         for s in self.statistics:
             s.table.write.mode("overwrite").parquet(f"{path}/statistics/{s.column}")
-        meta = {"numbers": self.numbers, "best_iteration": self.best_iteration,
+        meta = {"features": self.grown.features, "numbers": self.numbers, "best_iteration": self.best_iteration,
                 "learning_losses": self.learning_losses,
                 "statistics": [[s.column, s.prior, s.prior_weight] for s in self.statistics]}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
@@ -118,8 +122,9 @@ class ConversionModel:
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
         statistics = [CategoryStatistics(c, spark.read.parquet(f"{path}/statistics/{c}"), prior, weight)
                       for c, prior, weight in meta["statistics"]]
-        return cls(PipelineModel.load(f"{path}/pipeline"), meta["numbers"], statistics,
-                   meta["best_iteration"], meta["learning_losses"])
+        grown = oblivious.Trees.from_tables(meta["features"], spark.read.parquet(f"{path}/nodes"),
+                                            spark.read.parquet(f"{path}/leaves"))
+        return cls(grown, meta["numbers"], statistics, meta["best_iteration"], meta["learning_losses"])
 
 
 def best_with_patience(losses: Iterable[float], patience: int) -> tuple[int, bool]:
@@ -148,6 +153,54 @@ def best_iterations(curve: DataFrame, patience: int) -> DataFrame:
         F.min(F.struct("logloss", "iteration")).alias("best")).select("split", "best.iteration", "best.logloss")
 
 
+def _values(df: DataFrame, columns: list[str], *kept: Column) -> DataFrame:
+    """A row per known value: what is ``kept`` of its row, ``__c`` (the column's number) and ``__v``."""
+    pairs = [F.struct(F.lit(i).alias("__c"), F.col(f"`{c}`").alias("__v")) for i, c in enumerate(columns)]
+    return df.select(*kept, F.explode(F.array(*pairs)).alias("__pair")).select(
+        "*", "__pair.__c", "__pair.__v").drop("__pair").where("__v IS NOT NULL")
+
+
+def ordered_rates(df: DataFrame, columns: list[str], label: str, row: str, prior: float, prior_weight: float = 1.0,
+                  seed: int = 64, group: str | None = None, digits: int = 3) -> DataFrame:
+    """``row`` and, per text column, ``<column>__rate``: the smoothed share of positives among *earlier* rows of the same value.
+
+    Rows stand in the order of the MD5 of "seed:group" (``group`` is by default ``row``, which must be unique); rows of one group don't see each other. So no row
+    is described by its own label, nor by one that it describes. NULLs get the prior.
+
+    A value that any number of rows share is no one group: the order is cut into 16^``digits`` ranges by its first digits.
+    Totals per value and range are summed along the ranges (a window over at most so many rows), and rows are
+    numbered within their range only.
+    """
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.col(f"`{group or row}`").cast("string")).cast("binary"))
+    values = _values(df, columns, F.col(f"`{row}`").alias("__row"), F.col(f"`{label}`").cast("bigint").alias("__y"),
+                     mark.alias("__mark")).withColumn("__range", F.substring("__mark", 1, digits))
+    cell = ["__c", "__v", "__range"]
+    totals = values.groupBy(*cell).agg(F.sum("__y").alias("__p"), F.count("*").alias("__n"))
+    before = Window.partitionBy("__c", "__v").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    base = totals.select(*cell, F.coalesce(F.sum("__p").over(before), zero).alias("__p"),
+                         F.coalesce(F.sum("__n").over(before), zero).alias("__n"))
+    upto, peers = Window.partitionBy(*cell).orderBy("__mark"), Window.partitionBy(*cell, "__mark")
+    inside = values.select("__row", *cell, (F.sum("__y").over(upto.rangeBetween(Window.unboundedPreceding, 0)) - F.sum("__y").over(peers)).alias("__q"),
+                           (F.count("*").over(upto.rangeBetween(Window.unboundedPreceding, 0)) - F.count("*").over(peers)).alias("__m"))
+    rate = (F.col("__p") + F.col("__q") + prior * prior_weight) / (F.col("__n") + F.col("__m") + prior_weight)
+    known = inside.join(base, cell).select("__row", "__c", rate.alias("__rate"))
+    wide = known.groupBy("__row").agg(F.lit(0).alias("__any"), *[
+        F.max(F.when(F.col("__c") == i, F.col("__rate"))).alias(f"{c}__rate") for i, c in enumerate(columns)])
+    out = df.select(F.col(f"`{row}`").alias("__row")).join(wide, "__row", "left")
+    return out.select(F.col("__row").alias(row), *[F.coalesce(F.col(f"`{c}__rate`"), F.lit(prior)).alias(f"{c}__rate") for c in columns])
+
+
+def all_statistics(df: DataFrame, columns: list[str], label: str, params: TrainingParams, prior: float) -> list[CategoryStatistics]:
+    """Positives and rows per value of every column, counted in one pass into one table."""
+    if not columns:
+        return []
+    values = _values(df, columns, F.col(f"`{label}`").cast("bigint").alias("__y"))
+    table = materialize(values.groupBy("__c", "__v").agg(F.sum("__y").alias("positives"), F.count("*").alias("rows")), "statistics")
+    return [CategoryStatistics(c, table.where(F.col("__c") == i).select(
+        F.col("__v").alias(c), F.lit(0).alias("fold"), "positives", "rows"), prior, params.prior_weight) for i, c in enumerate(columns)]
+
+
 def category_statistics(df: DataFrame, column: str, label: str, params: TrainingParams, prior: float) -> CategoryStatistics:
     """Positives and rows per value and fold; folds also spread a value that many rows share."""
     table = df.groupBy(column, "fold").agg(F.sum(F.col(label).cast("bigint")).alias("positives"),
@@ -164,77 +217,104 @@ def row_weight(label: Column, positives: int, negatives: int, weighting: str) ->
     return F.when(label == 1, pair[0]).otherwise(pair[1])
 
 
-def _boosted(gbt: GBTClassifier, training: DataFrame, validation: DataFrame,
-             params: TrainingParams) -> tuple[GBTClassificationModel, int, dict[str, list[float]]]:
-    """The ensemble with the best number of iterations, that number, and the losses per iteration.
-
-    Rounds of more and more iterations are fitted until the validation loss has not fallen for
-    ``patience`` iterations; the same seed gives the same trees again, so that the best number
-    can be fitted once more by itself.
-    """
-    tried = min(params.iterations, 2 * params.patience)
-    validated = not validation.isEmpty()
-    while True:
-        fitted = gbt.setMaxIter(tried).fit(training)
-        # Spark reports twice the logistic loss.
-        losses = {"train": [v / 2 for v in fitted.evaluateEachIteration(training)]}
-        best, stopped = tried, False
-        if validated:
-            losses["validation"] = [v / 2 for v in fitted.evaluateEachIteration(validation)]
-            best, stopped = best_with_patience(losses["validation"], params.patience)
-        if stopped or tried == params.iterations:
-            return (fitted if best == tried else gbt.setMaxIter(best).fit(training)), best, losses
-        tried = min(params.iterations, 4 * tried)
-
-
 def train(df: DataFrame, label: str = "label", key: str | None = None, split: str = "split", group: str | None = None,
           params: TrainingParams = TrainingParams()) -> ConversionModel:
     """Train on the rows marked 'train', keep the best iteration on 'validation'.
 
-    Text columns are categories: their out-of-fold share of positives describes them, rows of one
-    ``group`` (by default ``key``) being in one fold.
+    Text columns are categories: in training, the share of positives among earlier rows in a random order describes
+    them (``ordered_rates``), rows of one ``group`` (by default ``key``) not seeing each other; afterwards, the share among all training rows.
+    Trees are grown until the validation loss has not fallen for ``patience`` of them; none is grown twice.
     """
-    spark = df.sparkSession
     reserved = {label, split, *[c for c in (key, group) if c]}
     text, numbers = feature_types(df, exclude=reserved)
-    fold = split_bucket(F.col(group or key) if group or key else F.concat_ws("|", *text, *numbers), params.folds)
-    rows = materialize(df.withColumn("fold", F.coalesce(fold, F.lit(0))), "training_rows")
+    rows = materialize(df.withColumn("__id", F.monotonically_increasing_id()), "training_rows")
     training, validation = rows.where(F.col(split) == "train"), rows.where(F.col(split) == "validation")
     facts = training.agg(F.count("*").alias("n"), F.sum(F.col(label).cast("bigint")).alias("pos")).first()
     positives, negatives = facts["pos"] or 0, facts["n"] - (facts["pos"] or 0)
     if not positives or not negatives:
         raise ValueError("training needs rows of both classes")
+    prior = positives / facts["n"]
+    statistics = all_statistics(training, text, label, params, prior)
     spread = [key] if key else numbers
-    statistics = [category_statistics(training, c, label, params, positives / facts["n"]) for c in text]
     for s in statistics:
-        training, validation = s.encode_out_of_fold(training, spread), s.encode(validation, spread)
-    weight = row_weight(F.col(label), positives, negatives, params.weighting)
-    training, validation = training.withColumn("weight", weight), validation.withColumn("weight", weight)
-    assembler = VectorAssembler(inputCols=[s.output for s in statistics] + numbers, outputCol="features", handleInvalid="keep")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(run_folder(spark))
-    gbt = GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", stepSize=params.learning_rate,
-                        maxDepth=params.depth, seed=params.seed, maxBins=params.max_bins + 1, checkpointInterval=10)
-    columns = [label, "weight", "features"]
-    train_vectors = assembler.transform(training).select(*columns).persist()
-    valid_vectors = assembler.transform(validation).select(*columns).persist()
-    fitted, best, losses = _boosted(gbt, train_vectors, valid_vectors, params)
-    train_vectors.unpersist()
-    valid_vectors.unpersist()
-    return ConversionModel(PipelineModel([assembler, fitted]), numbers, statistics, best, losses)
-
-
-def learning_curve(model: ConversionModel) -> DataFrame:
-    """Weighted logistic loss per iteration and split."""
-    rows = [(i, split, float(v)) for split, values in model.learning_losses.items() for i, v in enumerate(values)]
-    return SparkSession.active().createDataFrame(rows, "iteration int, split string, logloss double")
+        validation = s.encode(validation, spread)
+    if text:
+        training = training.join(ordered_rates(training, text, label, "__id", prior, params.prior_weight, params.seed,
+                                               group or key), "__id")
+    names = [*[s.output for s in statistics], *numbers]
+    weight = row_weight(F.col(label), positives, negatives, params.weighting).alias("weight")
+    seen = [F.col(label).cast("int").alias("label"), weight, F.col(split).alias("split"),
+            *[F.col(f"`{c}`").cast("double").alias(c) for c in names]]
+    encoded = materialize(training.select(*seen).unionByName(validation.select(*seen)), "encoded")
+    grown, best, losses = oblivious.fit(encoded, names, params.iterations, learning_rate=params.learning_rate, depth=params.depth,
+                                        patience=params.patience, max_bins=params.max_bins, l2=params.l2)
+    return ConversionModel(grown, numbers, statistics, best, losses, encoded)
+
+
+_CURVE = "iteration int, split string, loss bigint, weight bigint"
+
+
+def _curve_parts(trees: oblivious.Trees):
+    def run(batches):
+        sums: dict[tuple[int, str], list[int]] = {}
+        for batch in batches:
+            splits = np.array(batch.column("split").to_pylist(), object)
+            label, weight = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("label", "weight"))
+            marks = [(s, splits == s) for s in set(splits)]
+            margin = np.zeros(batch.num_rows)
+            for t, leaf in enumerate(trees.leaf_numbers([batch.column(c) for c in trees.features])):
+                margin = margin + trees.trees[t].values[leaf]
+                losses = oblivious.fixed(weight * oblivious.row_losses(margin, label))
+                for s, mine in marks:
+                    total = sums.setdefault((t, s), [0, 0])
+                    total[0] += int(losses[mine].sum())
+                    total[1] += int(oblivious.fixed(weight[mine]).sum())
+        if sums:
+            yield pa.RecordBatch.from_pydict({
+                "iteration": pa.array([t for t, _ in sums], pa.int32()), "split": [s for _, s in sums],
+                "loss": pa.array([v[0] for v in sums.values()], pa.int64()), "weight": pa.array([v[1] for v in sums.values()], pa.int64())})
+    return run
+
+
+def learning_curve(trees: oblivious.Trees, encoded: DataFrame) -> DataFrame:
+    """Weighted logistic loss after each tree, by split, from the rows themselves.
+
+    ``encoded``: label, weight, split and the trees' features. Each task follows its rows' margins along the trees and
+    sends one sum per tree and split.
+    """
+    columns = encoded.select("label", "weight", "split", *[F.col(f"`{c}`").cast("double").alias(c) for c in trees.features])
+    sums = columns.where("split IS NOT NULL").mapInArrow(_curve_parts(trees), _CURVE).groupBy("iteration", "split").agg(
+        F.sum("loss").alias("loss"), F.sum("weight").alias("weight"))
+    return sums.select("iteration", "split", (F.col("loss") / F.col("weight")).alias("logloss"))
 
 
-def feature_importance(model: ConversionModel) -> DataFrame:
-    """Importance per feature, scaled to a sum of 100, most important first."""
-    values = model.trees.featureImportances.toArray()
-    total = float(values.sum()) or 1.0
-    rows = [(name, float(v) * 100.0 / total) for name, v in zip(model.feature_names, values)]
-    return (SparkSession.active().createDataFrame(rows, "feature string, importance double")
-            .orderBy(F.desc("importance"), "feature"))
+def prediction_change(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(feature, change): how much predictions change with a feature, over the tables of a model.
 
+    At each level of a tree, two leaves that differ only in the level's split lie w0 w1 / (w0 + w1) (v0 - v1)^2 of weighted
+    squares from their mean; a feature's change is the sum over its splits.
+    """
+    side = F.expr("leaf & shiftleft(1, level)")
+    sides = leaves.join(nodes.select("tree", "level", "feature"), "tree").select(
+        "tree", "level", "feature", F.col("leaf").bitwiseXOR(side).alias("pair"), (side > 0).alias("above"), "value", "weight")
+    pick = lambda above, c: F.max(F.when(F.col("above") == above, F.col(c)))
+    pairs = sides.groupBy("tree", "level", "feature", "pair").agg(
+        pick(False, "value").alias("v0"), pick(True, "value").alias("v1"), pick(False, "weight").alias("w0"), pick(True, "weight").alias("w1"))
+    both = F.col("w0") + F.col("w1")
+    gap = F.col("v0") - F.col("v1")
+    return pairs.groupBy("feature").agg(F.sum(F.when(both > 0, F.col("w0") * F.col("w1") / both * gap * gap).otherwise(0.0)).alias("change"))
+
+
+def importance(trees: oblivious.Trees, names: list[str] | None = None) -> DataFrame:
+    """Importance per feature: the change of predictions, scaled to a sum of 100 (0 where no tree splits); most important first."""
+    spark = SparkSession.active()
+    features = spark.createDataFrame(list(zip(trees.features, names or trees.features)), "feature string, name string")
+    changes = prediction_change(trees.nodes(spark), trees.leaves(spark)).join(features, "feature", "right").select(
+        F.col("name").alias("feature"), F.coalesce("change", F.lit(0.0)).alias("change"))
+    total = F.sum("change").over(Window.partitionBy())  # a row per feature
+    share = F.when(total > 0, F.col("change") * 100.0 / total).otherwise(0.0)
+    return changes.select("feature", share.alias("importance")).orderBy(F.desc("importance"), "feature")
+
+
+def feature_importance(model: ConversionModel) -> DataFrame:
+    return importance(model.trees, model.feature_names)

@@ -575,28 +575,29 @@ rel.RELATIONS["o_categories"] = """
 SELECT o_orderkey, o_orderkey % 5 AS fold, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 3 AND o_custkey % 3 = 0 THEN 'ONE FOLD' ELSE o_orderpriority END AS category
 FROM orders"""
-rel.RELATIONS["o_category_folds"] = """
-SELECT category, fold, sum(label) AS p, count(*) AS n FROM o_categories WHERE o_orderkey % 2 = 0 GROUP BY ALL"""
+rel.RELATIONS["o_category_folds"] = "SELECT category, fold, sum(label) AS p, count(*) AS n FROM o_categories GROUP BY ALL"
+rel.RELATIONS["o_category_learned"] = """
+SELECT category, sum(p) AS p, sum(n) AS n FROM o_category_folds WHERE category IS DISTINCT FROM '5-LOW' GROUP BY 1"""
 
 
-def _categories(spark: SparkSession, root: str) -> tuple[DataFrame, training.CategoryStatistics]:
+def _categories(spark: SparkSession, root: str, unseen: str | None = None) -> tuple[DataFrame, training.CategoryStatistics]:
+    """All orders with their category, and its statistics, learned from all orders but those of one ``unseen`` value."""
     key = F.col("o_orderkey")
     category = F.when(key % 7 == 0, None).when((key % 5 == 3) & (F.col("o_custkey") % 3 == 0), "ONE FOLD") \
         .otherwise(F.col("o_orderpriority"))
     rows = commerce.read(spark, root, "orders").select(
         "o_orderkey", (key % 5).cast("int").alias("fold"), sem.flag(F.col("o_orderstatus") == "F").alias("label"),
         category.alias("category"))
-    learned = rows.where(key % 2 == 0)
+    learned = rows.where(~F.col("category").eqNullSafe(unseen)) if unseen else rows
     prior = learned.agg(F.avg("label")).first()[0]
     return rows, training.category_statistics(learned, "category", "label", training.TrainingParams(), prior)
 
 
 @query(f"""
 SELECT o_orderkey, {r("coalesce((p + prior) / (n + 1), prior)", "rate")}
-FROM o_categories LEFT JOIN (SELECT category, sum(p) AS p, sum(n) AS n FROM o_category_folds GROUP BY 1) USING (category),
-  (SELECT sum(p) / sum(n) AS prior FROM o_category_folds)""")
+FROM o_categories LEFT JOIN o_category_learned USING (category), (SELECT sum(p) / sum(n) AS prior FROM o_category_learned)""")
 def category_rates_scoring(spark: SparkSession, root: str) -> DataFrame:
-    rows, statistics = _categories(spark, root)
+    rows, statistics = _categories(spark, root, unseen="5-LOW")
     return statistics.encode(rows, ["o_orderkey"]).select("o_orderkey", F.col(statistics.output).alias("rate"))
 
 
@@ -604,11 +605,10 @@ def category_rates_scoring(spark: SparkSession, root: str) -> DataFrame:
 SELECT o_orderkey, {r("coalesce((t.p - f.p + prior) / (t.n - f.n + 1), prior)", "rate")}
 FROM o_categories c LEFT JOIN o_category_folds f ON c.category = f.category AND c.fold = f.fold
   LEFT JOIN (SELECT category, sum(p) AS p, sum(n) AS n FROM o_category_folds GROUP BY 1) t ON t.category = f.category,
-  (SELECT sum(p) / sum(n) AS prior FROM o_category_folds)
-WHERE o_orderkey % 2 = 0""")
+  (SELECT sum(p) / sum(n) AS prior FROM o_category_folds)""")
 def category_rates_out_of_fold(spark: SparkSession, root: str) -> DataFrame:
     rows, statistics = _categories(spark, root)
-    own = statistics.encode_out_of_fold(rows.where(F.col("o_orderkey") % 2 == 0), ["o_orderkey"])
+    own = statistics.encode_out_of_fold(rows, ["o_orderkey"])
     return own.select("o_orderkey", F.col(statistics.output).alias("rate"))
 
 
@@ -740,25 +740,32 @@ def logloss_by_class(spark: SparkSession, root: str) -> DataFrame:
     return evaluate.log_loss(scored(spark, root))
 
 
-# A loss that falls to a lowest point, stays above it longer than the patience, and falls again.
-_CURVE = """SELECT DISTINCT CASE WHEN o_orderstatus = 'F' THEN 'train' ELSE 'validation' END AS split, CAST(o_orderkey % 900 AS INTEGER) AS iteration
-FROM {orders}"""
-_LOSS = "CASE WHEN iteration <= 400 THEN 1.0 - iteration / 1000.0 WHEN iteration <= 600 THEN 0.7 ELSE 0.1 END"
+# Scores drawn away from one half step by step: the loss falls while they say too little, and rises when they say too much.
+_STEPS, _PATIENCE = 60, 5
+rel.RELATIONS["o_step_losses"] = f"""
+SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'validation' ELSE 'train' END AS split, CAST(i AS INTEGER) AS iteration,
+  -avg(ln(CASE WHEN label = 1 THEN s ELSE 1 - s END)) AS logloss
+FROM (SELECT *, greatest(0.001, least(0.999, 0.5 + (score - 0.5) * i / 20.0)) AS s FROM o_scored, (SELECT unnest(range(0, {_STEPS + 1})) AS i)) GROUP BY ALL"""
+rel.RELATIONS["o_step_lows"] = "SELECT *, min(logloss) OVER (PARTITION BY split ORDER BY iteration) AS low FROM o_step_losses"
+rel.RELATIONS["o_step_stops"] = f"""
+SELECT split, min(iteration) FILTER (iteration - low_at >= {_PATIENCE}) AS stop FROM (
+  SELECT *, max(CASE WHEN logloss = low THEN iteration END) OVER (PARTITION BY split ORDER BY iteration) AS low_at
+  FROM (SELECT *, row_number() OVER (PARTITION BY split, low ORDER BY iteration) AS k FROM o_step_lows) WHERE logloss > low OR k = 1) GROUP BY 1"""
 
 
 @query(f"""
-WITH c AS (SELECT split, iteration, CAST({_LOSS} AS DOUBLE) AS logloss FROM ({_CURVE.format(orders="orders")})),
-l AS (SELECT *, min(logloss) OVER (PARTITION BY split ORDER BY iteration) AS low FROM c),
-b AS (SELECT *, max(CASE WHEN logloss = low THEN iteration END) OVER (PARTITION BY split ORDER BY iteration) AS low_at FROM
-      (SELECT *, row_number() OVER (PARTITION BY split, low ORDER BY iteration) AS k FROM l) WHERE logloss > low OR k = 1),
-s AS (SELECT split, min(iteration) FILTER (iteration - low_at >= 50) AS stop FROM b GROUP BY 1)
 SELECT split, min(iteration) AS iteration, {r("min(logloss)", "logloss")} FROM
-  (SELECT c.*, min(logloss) OVER (PARTITION BY split) AS best FROM c JOIN s USING (split) WHERE iteration <= coalesce(stop, 100000))
+  (SELECT c.*, min(logloss) OVER (PARTITION BY split) AS best FROM o_step_losses c JOIN o_step_stops USING (split)
+   WHERE iteration <= coalesce(stop, 100000))
 WHERE logloss = best GROUP BY split""")
 def best_iteration_patience(spark: SparkSession, root: str) -> DataFrame:
-    curve = spark.sql(f"SELECT split, iteration, CAST({_LOSS} AS DOUBLE) AS logloss FROM ({_CURVE})",
-                      orders=commerce.read(spark, root, "orders"))
-    return training.best_iterations(curve, 50)
+    """Losses of all scored orders at every step, in one aggregation, and the best step of each split before patience runs out."""
+    def loss(i: int) -> Column:
+        s = F.greatest(F.lit(0.001), F.least(F.lit(0.999), 0.5 + (F.col("score") - 0.5) * i / 20.0))
+        return -F.avg(F.log(F.when(F.col("label") == 1, s).otherwise(1 - s)))
+    split = F.when(F.col("o_orderkey") % 3 == 0, "validation").otherwise("train")
+    wide = scored(spark, root).groupBy(split.alias("split")).agg(F.array(*[loss(i) for i in range(_STEPS + 1)]).alias("losses"))
+    return training.best_iterations(wide.select("split", F.posexplode("losses").alias("iteration", "logloss")), _PATIENCE)
 
 
 # --- the model: trained as published, checked by rows and invariants -------
@@ -799,12 +806,13 @@ def gbt_score_counts(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def learning_curve(spark: SparkSession, root: str) -> DataFrame:
-    return training.learning_curve(trained(spark, root)[0])
+    model = trained(spark, root)[0]
+    return training.learning_curve(model.grown, model.encoded)
 
 
 @query()
 def best_iteration(spark: SparkSession, root: str) -> DataFrame:
-    return training.best_iterations(training.learning_curve(trained(spark, root)[0]), training.TrainingParams().patience)
+    return training.best_iterations(learning_curve(spark, root), training.TrainingParams().patience)
 
 
 @query()

@@ -49,6 +49,12 @@ def run_folder(spark: SparkSession) -> str:
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
