@@ -51,7 +51,7 @@ def find(text: str) -> list[Span]:
     if _DIGIT.search(text):
         if "." in text:
             for m in _IP.finditer(text):
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m[0].split(".")):
                     found.append((m.start(), "ip", m.end(), m[0]))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:

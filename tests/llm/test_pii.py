@@ -84,6 +84,10 @@ def test_ordinary_texts_gain_nothing(text):
 def test_long_runs_are_linear():
     for text in ("a" * 200_000, "a" * 100_000 + "@", "1" * 100_000, "+1" * 50_000, "a@" * 50_000, "1." * 50_000):
         pii.find(text)
+    # More digits than int() takes: leading zeros don't count, other long parts are above 255.
+    assert pii.find("x 1.1.1." + "0" * 6000 + "2") == [(2, "ip", 6009, "1.1.1." + "0" * 6000 + "2")]
+    assert pii.find("x 1.1.1." + "0" * 6000) == [(2, "ip", 6008, "1.1.1." + "0" * 6000)]
+    assert pii.find("x 1.1.1." + "3" * 6000) == []
 
 
 def test_table(spark):
