@@ -67,16 +67,27 @@ class FunnelSpec:
     late: tuple[Measure, ...] = ()
     events: tuple[str, ...] = ()
     any_case: bool = False
+    texts: tuple[str, ...] = ()
 
 
-def event_filter(specs: Iterable[FunnelSpec]) -> Column | None:
-    """A condition on the raw event name that all events of ``specs`` meet; None if one of them needs any name."""
+def event_filter(specs: Iterable[FunnelSpec], parameters: str = "event_parameters") -> Column | None:
+    """A condition on raw columns that all events of ``specs`` meet; None if one of them says nothing about them.
+
+    An event of a spec has one of its ``events`` as name, or one of its ``texts`` in the unparsed parameters. A letter
+    written as an escape there is as good as any.
+    """
     specs = list(specs)
-    if not all(s.events for s in specs):
+    if not all(s.events or s.texts for s in specs):
         return None
-    if any(s.any_case for s in specs):
-        return F.lower("event_name").isin(*sorted({e.lower() for s in specs for e in s.events}))
-    return F.col("event_name").isin(*sorted({e for s in specs for e in s.events}))
+    met = []
+    names = {e for s in specs for e in s.events}
+    if names and any(s.any_case for s in specs):
+        met.append(F.lower("event_name").isin(*sorted({e.lower() for e in names})))
+    elif names:
+        met.append(F.col("event_name").isin(*sorted(names)))
+    texts = sorted({t for s in specs for t in s.texts})
+    met += [F.col(parameters).contains(t) for t in [*texts, "\\u"]] if texts else []
+    return reduce(lambda a, b: a | b, met) if met else None
 
 
 def _partials(spec: FunnelSpec, where: Column | None = None) -> list[Column]:
@@ -106,31 +117,37 @@ def _merged(spec: FunnelSpec, final: bool, copies: Column | None = None) -> list
     return out + [total(m.expr).alias(m.name) for m in spec.late if final]
 
 
-def daily_rollup(events: DataFrame, specs: Iterable[FunnelSpec], user_map: DataFrame | None = None,
-                 distinct: FunnelSpec | None = None,
-                 enrich: Callable[[DataFrame], DataFrame] | None = None,
-                 profiles: DataFrame | None = None) -> DataFrame:
-    """Measures of all specs per (day, profile); NULL where a spec has no event that day.
+def _found(specs: Iterable[FunnelSpec], distinct: FunnelSpec | None) -> Column:
+    """Does a row count anything? Events whose condition holds may still lack every measure."""
+    names = [m.name for s in specs for m in s.measures if m.kind != "avg"] + ([SEARCH] if distinct else [])
+    return reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in names])
 
-    ``distinct`` is one spec with ``distinct_on``. ``enrich`` adds the columns its
-    late measures need, among them ``copies``, to rows per day, profile and
-    ``by`` columns; how often a distinct event counts is up to ``copies``.
-    Events of no spec go before the first aggregation, profiles that are not in ``profiles``
-    (numbers, in a column of the profile's name) as soon as logged-out events have theirs.
+
+def daily_partials(events: DataFrame, specs: Iterable[FunnelSpec], distinct: FunnelSpec | None = None) -> DataFrame:
+    """Partial counts of all specs per (day, profile, user key), and per distinct event of ``distinct``.
+
+    Rows of a day depend on that day's events alone, so they can be kept by day and merged later (``merged_days``).
     """
-    specs = list(specs)
-    keys = [DAY, PROFILE, USER]
+    specs, keys = list(specs), [DAY, PROFILE, USER]
     wanted = [s.where for s in specs] + ([distinct.where] if distinct is not None else [])
     rows = events.where(reduce(lambda a, b: a | b, wanted))
     if distinct is not None:
-        signature = F.when(distinct.where, F.struct(*distinct.distinct_on))
-        rows = rows.withColumn(SEARCH, signature)
+        rows = rows.withColumn(SEARCH, F.when(distinct.where, F.struct(*distinct.distinct_on)))
         keys = [*keys, SEARCH]
     counts = [c for s in specs for c in _partials(s)]
     partial = rows.groupBy(*keys).agg(*counts) if counts else rows.select(*keys).distinct()
-    # Events whose condition holds may still lack every measure.
-    found = [m.name for s in specs for m in s.measures if m.kind != "avg"] + ([SEARCH] if distinct else [])
-    partial = partial.where(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in found]))
+    return partial.where(_found(specs, distinct))
+
+
+def merged_days(partial: DataFrame, specs: Iterable[FunnelSpec], user_map: DataFrame | None = None,
+                distinct: FunnelSpec | None = None, enrich: Callable[[DataFrame], DataFrame] | None = None,
+                profiles: DataFrame | None = None) -> DataFrame:
+    """Measures per (day, profile) from partial counts, which may hold those of further specs.
+
+    See ``daily_rollup`` for the arguments.
+    """
+    specs, keys = list(specs), [DAY, PROFILE, USER] + ([SEARCH] if distinct is not None else [])
+    partial = partial.where(_found(specs, distinct))
     if user_map is not None:
         spread = [DAY, USER] + ([SEARCH] if distinct is not None else [])
         partial = resolve_identity(partial, user_map, spread)
@@ -152,6 +169,22 @@ def daily_rollup(events: DataFrame, specs: Iterable[FunnelSpec], user_map: DataF
     return per_place.groupBy(DAY, PROFILE).agg(*_merged(distinct, final=True, copies=copies), *finals)
 
 
+def daily_rollup(events: DataFrame, specs: Iterable[FunnelSpec], user_map: DataFrame | None = None,
+                 distinct: FunnelSpec | None = None,
+                 enrich: Callable[[DataFrame], DataFrame] | None = None,
+                 profiles: DataFrame | None = None) -> DataFrame:
+    """Measures of all specs per (day, profile); NULL where a spec has no event that day.
+
+    ``distinct`` is one spec with ``distinct_on``. ``enrich`` adds the columns its
+    late measures need, among them ``copies``, to rows per day, profile and
+    ``by`` columns; how often a distinct event counts is up to ``copies``.
+    Events of no spec go before the first aggregation, profiles that are not in ``profiles``
+    (numbers, in a column of the profile's name) as soon as logged-out events have theirs.
+    """
+    specs = list(specs)
+    return merged_days(daily_partials(events, specs, distinct), specs, user_map, distinct, enrich, profiles)
+
+
 # --- trip type -------------------------------------------------------------
 
 
@@ -211,6 +244,7 @@ def search_spec() -> FunnelSpec:
             Measure("search_avg_los", los, "avg"),
             Measure("search_avg_pax", F.col(f"{SEARCH}.number_guests"), "avg"),
         ),
+        texts=("Search Submitted",),
         distinct_on=SEARCH_COLUMNS,
         by=("destination_country",),
         late=(
@@ -239,7 +273,7 @@ def count_specs() -> dict[str, FunnelSpec]:
                 Measure("destn_selected_step_count", flag((action == "Destination Selected") & (step == "destination"))),
                 Measure("started_dates_step_count", flag((action == "Search Step") & (step == "dates"))),
                 Measure("started_guests_step_count", flag((action == "Search Step") & (step == "guests"))),
-            )),
+            ), texts=SEARCH_STEP_ACTIONS),
         FunnelSpec(
             "destination_pages",
             (name == "Destination_Search_Page_Viewed") & (page == "Destination Search") & has_country,
@@ -290,7 +324,7 @@ def count_specs() -> dict[str, FunnelSpec]:
                 Measure("checkout_non_hostels_selected_count", flag(in_checkout & ~category.ilike("%hostel%"))),
                 *[Measure(out, flag(step == value)) for out, value in CHECKOUT_STEPS.items()],
                 Measure("checkout_confirm_clicked_count", flag(name == "Checkout_Confirm_Clicked")),
-            )),
+            ), events=("begin_checkout", "Checkout_Confirm_Clicked"), texts=("Checkout Step Viewed",)),
     ]
     return {s.name: s for s in specs}
 

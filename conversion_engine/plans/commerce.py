@@ -63,6 +63,17 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
 
 
+def files(spark: SparkSession, root: str) -> list[tuple]:
+    """Paths, sizes and times of the source tables' files."""
+    folder, found = spark._jvm.org.apache.hadoop.fs.Path, []
+    for name in SOURCE_SCHEMAS:
+        path = folder(f"{root}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if fs.exists(path):
+            found += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)]
+    return found
+
+
 def base_events(spark: SparkSession, root: str) -> DataFrame:
     """Events with ``u`` (user), ``k`` (property) and ``day``."""
     return read(spark, root, "events").select(

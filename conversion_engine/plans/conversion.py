@@ -30,7 +30,7 @@ from conversion_engine.operators.milestones import (
     milestone_days,
     milestone_summary,
 )
-from conversion_engine.session import materialize
+from conversion_engine.session import materialize, store_bucketed
 from conversion_engine.sources.logs import normalize_events, read_event_log, read_table
 from conversion_engine.sources.schemas import DEVICE_ID_COLUMNS, SCHEMAS
 
@@ -116,14 +116,31 @@ class ConversionJob:
         """Bookings that can belong to an install, written once."""
         return materialize(bookings_after_first_install(installs, self.star()), "bookings")
 
+    @cached_property
     def devices(self) -> DataFrame:
         installs = materialize(self.installs(), "installs")
         return booking_summary(installs, self.bookings(installs))
 
     def install_cohort(self) -> DataFrame:
-        return install_cohort(self.devices(), self.t.calendar, self.t.push_status,
+        return install_cohort(self.devices, self.t.calendar, self.t.push_status,
                               self.p.install_start, self.p.install_end, self.parity)
 
+    @cached_property
+    def stored_installs(self) -> DataFrame:
+        """The install cohort, written once for all that read it."""
+        return materialize(self.install_cohort(), "install_cohort")
+
+    @cached_property
+    def stored_cohort(self) -> DataFrame:
+        """Eligible devices that opened the app, with activity and milestones; written once."""
+        opened = self.analysis_cohort(self.stored_installs).where(F.col("first_app_open_date").isNotNull())
+        return materialize(opened, "analysis_cohort")
+
+    @cached_property
+    def windows(self) -> DataFrame:
+        """The profiles and install dates whose windows are reported."""
+        return self.stored_cohort.select("profile_id", "install_date").distinct()
+
     # activity and milestones
 
     def activity(self, cohort: DataFrame, names: tuple[str, ...] = ("OPEN", "LOGIN")) -> DataFrame:
@@ -202,9 +219,13 @@ class ConversionJob:
         search = funnel.search_spec() if "search" in names else None
         enrich = self.add_trip(self.homes(installs), "inner" if only_cohort else "left") if search else None
         profiles = installs.select("profile_id").distinct() if only_cohort else None
+        return funnel.merged_days(self.funnel_partials(chosen, search), chosen, self.user_map, search, enrich, profiles)
+
+    def funnel_partials(self, chosen: list[funnel.FunnelSpec], search: funnel.FunnelSpec | None) -> DataFrame:
+        """Partial counts per day, profile and user key, from the events of the funnels alone."""
         named = funnel.event_filter([*chosen, *([search] if search else [])])
         events = normalize_events(self.t.event_log, self.p.install_start, self.p.data_end, only=named)
-        return funnel.daily_rollup(events, chosen, self.user_map, search, enrich, profiles)
+        return funnel.daily_partials(events, chosen, search)
 
     # the wide table
 
@@ -228,12 +249,37 @@ def _wide(job: ConversionJob) -> DataFrame:
     cohort. The two cohort relations are read by several branches and are
     therefore written once.
     """
-    installs = materialize(job.install_cohort(), "install_cohort")
-    opened = job.analysis_cohort(installs).where(F.col("first_app_open_date").isNotNull())
-    cohort = materialize(opened, "analysis_cohort")
-    keys = cohort.select("profile_id", "install_date").distinct()
-    candidates = installs.join(keys, "profile_id", "left_semi")
+    candidates = job.stored_installs.join(job.windows, "profile_id", "left_semi")
     daily = numeric_profiles(job.funnel_days(["search", *funnel.COUNT_FUNNELS], candidates, only_cohort=True))
+    return assembled(job, job.stored_cohort, daily)
+
+
+class ProfileBuckets:
+    """The cohort and its funnel days, stored in buckets by profile.
+
+    Reports over any windows of the cohort (``windows``, ``wide``) then join and group what lies together, without an exchange
+    by profile. A profile without a number has no bucket of its own; its rows match nothing.
+    """
+
+    def __init__(self, job: ConversionJob, buckets: int | None = None):
+        self.job = job
+        candidates = job.stored_installs.join(job.windows, "profile_id", "left_semi")
+        daily = numeric_profiles(job.funnel_days(["search", *funnel.COUNT_FUNNELS], candidates, only_cohort=True))
+        self.cohort = store_bucketed(job.stored_cohort, "cohort", "profile_id", buckets)
+        self.daily = store_bucketed(daily.where("profile_id IS NOT NULL"), "funnel_days", "profile_id", buckets)
+
+    def windows(self, names: list[str], lo: int = 0, hi: int = WINDOW_DAYS) -> DataFrame:
+        """The named funnels from ``lo`` to ``hi`` days after each install."""
+        keys = self.cohort.select("profile_id", "install_date").distinct()
+        return funnel.window_rollup(keys, self.daily, [funnel.WINDOW_SPECS[n] for n in names], lo=lo, hi=hi)
+
+    def wide(self) -> DataFrame:
+        return assembled(self.job, self.cohort, self.daily)
+
+
+def assembled(job: ConversionJob, cohort: DataFrame, daily: DataFrame) -> DataFrame:
+    """The cohort's rows with every funnel of their windows, from its daily rows."""
+    keys = cohort.select("profile_id", "install_date").distinct()
     block = funnel.window_rollup(keys, daily, funnel.WINDOW_SPECS.values(), actions=True, hi=job.p.window_days)
     return assemble_features(_named(cohort), [block], ["profile_id", "install_date"]).select(*WIDE_COLUMNS)
 
@@ -251,7 +297,7 @@ def _parity_wide(job: ConversionJob) -> DataFrame:
     blocks. Sums are scaled by the number of devices instead of repeating rows;
     only the last joins, whose rows are the result, multiply.
     """
-    installs = materialize(job.install_cohort(), "install_cohort")
+    installs = job.stored_installs
     cohort = materialize(job.analysis_cohort(installs), "analysis_cohort")
     keys = cohort.groupBy("profile_id", "install_date").agg(F.count("*").alias("devices"))
     profiles = keys.select("profile_id").distinct()

@@ -6,6 +6,7 @@ the names to SQL for DuckDB. Numbers with a fraction are rounded on both sides.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +19,8 @@ from conversion_engine.ml import evaluate, explain, training
 from conversion_engine.operators import attribution, bookings, cohort, features, funnel, identity, joins
 from conversion_engine.plans import commerce
 from conversion_engine.plans import oracle_relations as rel
-from conversion_engine.plans.conversion import ConversionJob, ConversionTables, numeric_profiles
+from conversion_engine.plans.conversion import ConversionJob, ConversionTables, ProfileBuckets, numeric_profiles
+from conversion_engine.plans.day_state import DayState, IncrementalJob, write_report
 from conversion_engine.session import materialize, run_folder
 from conversion_engine.sources import logs
 from conversion_engine.sources.schemas import DEVICE_ID_COLUMNS, SCHEMAS
@@ -50,12 +52,15 @@ def r(expr: str, name: str) -> str:
     return f"round({expr}, {DIGITS}) AS {name}"
 
 
-def job(spark: SparkSession, root: str, parity: bool = False) -> ConversionJob:
-    return ConversionJob(commerce.tables(spark, root), commerce.PERIOD, parity)
+_jobs: dict[tuple, ConversionJob] = {}
 
 
-def stored_installs(j: ConversionJob) -> DataFrame:
-    return materialize(j.installs(), "installs")
+def job(spark: SparkSession, root: str, parity: bool = False) -> ConversionJob:
+    """The analysis of a folder. Queries of a session share it, and with it the cohorts it has stored, while the folder's files are the same."""
+    key = (spark.sparkContext.applicationId, parity, *commerce.files(spark, root))
+    if key not in _jobs:
+        _jobs[key] = ConversionJob(commerce.tables(spark, root), commerce.PERIOD, parity)
+    return _jobs[key]
 
 
 def star_of(columns: list[str], round_columns: set[str] = frozenset()) -> str:
@@ -208,7 +213,7 @@ def profile_stitching(spark: SparkSession, root: str) -> DataFrame:
 
 @query("SELECT device_id, owners FROM o_owners")
 def single_owner_devices(spark: SparkSession, root: str) -> DataFrame:
-    owned = job(spark, root).devices().where(F.col("owners") <= 1)
+    owned = job(spark, root).devices.where(F.col("owners") <= 1)
     return owned.select("device_id", F.col("owners").cast("bigint").alias("owners"))
 
 
@@ -257,7 +262,7 @@ def booking_star_filtered(spark: SparkSession, root: str) -> DataFrame:
 
 def booking_level(spark: SparkSession, root: str) -> DataFrame:
     j = job(spark, root)
-    installs = stored_installs(j)
+    installs = materialize(j.installs(), "installs")
     return bookings.attach_bookings(installs, j.bookings(installs))
 
 
@@ -286,7 +291,7 @@ SELECT device_id, min(profile_id) AS profile_id, min(install_date) AS install_da
   min(first_booked) AS first_booked, min(first_booked_date) AS first_booked_date
 FROM o_level GROUP BY device_id HAVING count(DISTINCT id_customer) <= 1""")
 def booking_summary(spark: SparkSession, root: str) -> DataFrame:
-    return job(spark, root).devices().where(F.col("owners") <= 1).select(
+    return job(spark, root).devices.where(F.col("owners") <= 1).select(
         "device_id", "profile_id", "install_date", "owners", "customer_status", "days0to28_app_bookings",
         "first_booked", "first_booked_date")
 
@@ -344,7 +349,7 @@ WHERE (earliest_app_usage IS NULL OR earliest_app_usage - c.install_date BETWEEN
 def eligibility_filter(spark: SparkSession, root: str) -> DataFrame:
     j = job(spark, root)
     used = numeric_profiles(j.earliest_usage())
-    joined = joins.left_join_sparse(j.install_cohort(), used.withColumnRenamed("profile_id", "__used"),
+    joined = joins.left_join_sparse(j.stored_installs, used.withColumnRenamed("profile_id", "__used"),
                                     "profile_id", "__used", ["device_id"])
     return joined.where(cohort.eligible()).select("device_id", "profile_id", "install_date", "customer_status")
 
@@ -359,7 +364,7 @@ _ACTIVITY_SQL = star_of(_ACTIVITY, {"actions_per_active_day"})
 def _activity(name: str) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
         j = job(spark, root)
-        found = j.activity(j.install_cohort(), (name,)).where(F.col(name).isNotNull())
+        found = j.activity(j.stored_installs, (name,)).where(F.col(name).isNotNull())
         return found.select("device_id", "install_date", f"{name}.*")
     return run
 
@@ -391,7 +396,7 @@ _COHORT = [c if c != "idprofile" else "profile_id" for c in features.COHORT_COLU
 @query(f"SELECT {star_of(_COHORT, {'avg_app_opens_per_day'})} FROM o_cohort")
 def cohort_with_milestones(spark: SparkSession, root: str) -> DataFrame:
     j = job(spark, root)
-    return j.analysis_cohort(materialize(j.install_cohort(), "install_cohort")).select(*_COHORT)
+    return j.analysis_cohort(j.stored_installs).select(*_COHORT)
 
 
 # --- funnels ---------------------------------------------------------------
@@ -402,7 +407,7 @@ _TRIPS = ["search_domestic_trip", "search_short_haul_trip", "search_long_haul_tr
 
 def search_days(spark: SparkSession, root: str) -> DataFrame:
     j = job(spark, root)
-    return j.funnel_days(["search"], materialize(j.install_cohort(), "install_cohort"))
+    return j.funnel_days(["search"], j.stored_installs)
 
 
 @query(f"SELECT {star_of(_SEARCH_DAY, set(_SEARCH_DAY[3:]))} FROM o_daily_search")
@@ -436,19 +441,11 @@ for _name, (_funnel, _counts, _means) in _DAILY_NAMES.items():
     query(f"SELECT {star_of(['event_date', 'profile_id', *_counts, *_means], set(_means))} FROM o_daily_{_funnel}")(_fn)
 
 
-def opened_keys(j: ConversionJob) -> tuple[DataFrame, DataFrame]:
-    """The install cohort and the windows of the devices that opened the app."""
-    installs = materialize(j.install_cohort(), "install_cohort")
-    opened = j.analysis_cohort(installs).where(F.col("first_app_open_date").isNotNull())
-    return installs, materialize(opened.select("profile_id", "install_date").distinct(), "keys")
-
-
 def _window(names: list[str]) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
         j = job(spark, root)
-        installs, keys = opened_keys(j)
-        daily = numeric_profiles(j.funnel_days(names, installs if "search" in names else None))
-        return funnel.window_rollup(keys, daily, [funnel.WINDOW_SPECS[n] for n in names])
+        daily = numeric_profiles(j.funnel_days(names, j.stored_installs if "search" in names else None))
+        return funnel.window_rollup(j.windows, daily, [funnel.WINDOW_SPECS[n] for n in names])
     return run
 
 
@@ -472,8 +469,7 @@ for _name, _funnel in {"window_rollup_search": "search", "window_rollup_pages":
 def _steps(name: str) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
         j = job(spark, root)
-        _, keys = opened_keys(j)
-        return funnel.funnel_steps(keys, numeric_profiles(j.funnel_days([name])), funnel.WINDOW_SPECS[name])
+        return funnel.funnel_steps(j.windows, numeric_profiles(j.funnel_days([name])), funnel.WINDOW_SPECS[name])
     return run
 
 
@@ -488,8 +484,7 @@ for _name, _funnel in {"funnel_steps_search": "search_steps", "funnel_steps_chec
   {', '.join(f"{c}_date AS {c.replace('_clicks', '_date')}" for c in rel.ACTIONS)} FROM o_action_flags""")
 def action_flags(spark: SparkSession, root: str) -> DataFrame:
     j = job(spark, root)
-    _, keys = opened_keys(j)
-    return funnel.action_flags(keys, numeric_profiles(j.funnel_days(["property_actions"])))
+    return funnel.action_flags(j.windows, numeric_profiles(j.funnel_days(["property_actions"])))
 
 
 _ACTION_COLUMNS = [c for n, (first, days) in rel.FIRST_ACTION.items() for c in (first, days, n)]
@@ -498,8 +493,7 @@ _ACTION_COLUMNS = [c for n, (first, days) in rel.FIRST_ACTION.items() for c in (
 @query(f"SELECT profile_id, install_date, {', '.join(_ACTION_COLUMNS)} FROM o_window_actions")
 def action_summary(spark: SparkSession, root: str) -> DataFrame:
     j = job(spark, root)
-    _, keys = opened_keys(j)
-    return funnel.window_rollup(keys, numeric_profiles(j.funnel_days(["property_actions"])), actions=True)
+    return funnel.window_rollup(j.windows, numeric_profiles(j.funnel_days(["property_actions"])), actions=True)
 
 
 # --- the wide table --------------------------------------------------------
@@ -568,6 +562,40 @@ def wide_feature_table_stored(spark: SparkSession, root: str) -> DataFrame:
     return ConversionJob(ConversionTables.read(spark, folder), commerce.PERIOD).wide_features()
 
 
+def _added(spark: SparkSession, source: commerce.CommerceTables) -> DayState:
+    """The event log as day state, added in four runs, one of them twice."""
+    state = DayState(spark, f"{run_folder(spark)}/days-{uuid.uuid4().hex}")
+    for start, end in ((3, 10), (11, 20), (21, 24), (25, 27), (21, 24)):
+        state.add(source.event_log, dt.date(2024, 1, start), dt.date(2024, 1, end))
+    state.add(source.event_log, dt.date(2024, 1, 1), dt.date(2024, 1, 2))
+    return state
+
+
+@query(rel.wide_sql(_wide_columns()))
+def wide_feature_table_incremental(spark: SparkSession, root: str) -> DataFrame:
+    """The wide table from day state, written by install day in two runs, and read back."""
+    source = commerce.tables(spark, root)
+    wide = IncrementalJob(source, commerce.PERIOD, _added(spark, source)).wide_features()
+    path = f"{run_folder(spark)}/report-{uuid.uuid4().hex}"
+    days = [commerce.PERIOD.install_start + dt.timedelta(days=i)
+            for i in range((commerce.PERIOD.install_end - commerce.PERIOD.install_start).days + 1)]
+    write_report(wide, path, days)
+    write_report(wide, path, days[-3:])
+    return logs.read_days(spark, path, wide.schema, by="install_date")
+
+
+@query(rel.wide_sql(_wide_columns()))
+def wide_feature_table_bucketed(spark: SparkSession, root: str) -> DataFrame:
+    """The wide table from the cohort and its funnel days, both stored in buckets by profile."""
+    return ProfileBuckets(job(spark, root)).wide()
+
+
+@query("SELECT user_key, profile_id, sessions FROM o_user_map")
+def user_map_incremental(spark: SparkSession, root: str) -> DataFrame:
+    source = commerce.tables(spark, root)
+    return IncrementalJob(source, commerce.PERIOD, _added(spark, source)).user_map
+
+
 # --- category rates --------------------------------------------------------
 
 # Priorities as categories: some unknown, one kind seen in a single fold, one not seen before.
@@ -774,10 +802,8 @@ _models: dict[tuple, tuple[training.ConversionModel, DataFrame]] = {}
 
 
 def trained(spark: SparkSession, root: str) -> tuple[training.ConversionModel, DataFrame]:
-    """The model and its prepared rows, trained once per session for the same source rows."""
-    marks = [commerce.read(spark, root, name).agg(F.count("*"), F.bit_xor(F.xxhash64("*"))).first()
-             for name in ("events", "orders", "customer")]
-    key = (spark.sparkContext.applicationId, *map(tuple, marks))
+    """The model and its prepared rows, trained once per session for the same source files."""
+    key = (spark.sparkContext.applicationId, *commerce.files(spark, root))
     if key not in _models:
         wide = job(spark, root).wide_features()
         prepared = features.prepare_features(wide, features.new_customer_label(), keep=["device_id", "idprofile"])

@@ -14,6 +14,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Tables stored by profile are joined by profile and date as they lie (``store_bucketed``).
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -66,3 +68,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def store_bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` once in buckets by ``key`` and read it back, so that later joins and groups by the key move no rows.
+
+    Tables meant for each other need keys of one type and the same number of ``buckets`` (by default the session's
+    shuffle partitions). The table's files lie in the application's folder; its name is in the session's catalog.
+    """
+    spark = df.sparkSession
+    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(count, key).write.option("path", f"{run_folder(spark)}/{table}")
+    writer.bucketBy(count, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)

@@ -7,6 +7,7 @@ that they reach the Parquet scan; JSON is parsed once per row, after them.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,35 @@ def write_table(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> N
     (writer.partitionBy(*columns) if columns else writer).parquet(path)
 
 
+def replace_days(df: DataFrame, path: str, days: Iterable[str | dt.date], by: str = "event_date") -> None:
+    """Put the rows of ``days`` into a table kept in one folder per day of ``by``, in place of what those days had.
+
+    The rows are written beside the table first; then each day's folder is put in the old one's place, or the old one
+    goes if the day has no rows now. Other days' files are not touched, and a run that is repeated, whole or after it broke off, gives
+    the same table. Rows of other days are left out.
+    """
+    spark, days = df.sparkSession, sorted({as_date(d) for d in days})
+    stage = f"{path}/_stage-{uuid.uuid4().hex}"
+    df.where(F.col(by).isin(days)).write.partitionBy(by).parquet(stage)
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    fs = folder(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for day in days:  # as many as this run has
+        made, place = folder(f"{stage}/{by}={day.isoformat()}"), folder(f"{path}/{by}={day.isoformat()}")
+        fs.delete(place, True)
+        if fs.exists(made) and not fs.rename(made, place):
+            raise OSError(f"could not put {place.toString()} in place")
+    fs.delete(folder(stage), True)
+
+
+def read_days(spark: SparkSession, path: str, schema: T.StructType, by: str = "event_date") -> DataFrame:
+    """A table written by ``replace_days``; without rows if no day has any. Its days are folders, so filters on them skip files."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    fs = folder(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(folder(path)) or not any(s.getPath().getName().startswith(f"{by}=") for s in fs.listStatus(folder(path))):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(schema.names)
+
+
 def read_event_log(log: DataFrame, names: Iterable[str] | None, start: str | dt.date, end: str | dt.date,
                    ts_col: str = "timestamp_iso", name_col: str = "name") -> DataFrame:
     """Rows of the named events between two days, with ``event_ts`` and ``event_date``.
