@@ -12,7 +12,11 @@ start behind the half that is alike, where few words share a node.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,33 +25,57 @@ from pyspark.sql import functions as F
 
 from conversion_engine.llm import common
 
-#: Letters of a word: A-Z, a-z and U+00C0 to U+00FF.
-LETTERS = "A-Za-z\\u00C0-\\u00FF"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SIDES = np.array([0x51ED270B, 0x7FB5D329], np.uint64)
 _DEPTH = np.uint64(0xD6E8FEB86659FD93)
 
 
-def runs(docs: DataFrame, least: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Every maximal run of letters with at least ``least`` of them: its document's id and ``run``, A-Z in lower case."""
-    found = F.regexp_extract_all(F.col(f"`{text_column}`"), F.lit(f"[{LETTERS}]{{{max(1, least)},}}"), F.lit(0))
-    rows = docs.select(F.col(f"`{id_column}`").alias("_id"), F.explode(found).alias("_raw"))
-    return rows.select("_id", F.translate("_raw", _UPPER, _LOWER).alias("run"))
-
-
-def misspelt(words: DataFrame, every: int = 31) -> DataFrame:
-    """``word``: the run, without one code point where ``every`` divides the CRC-32 of "id:run" (that number's place, modulo the length)."""
-    mark = F.crc32(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")).cast("binary"))
-    rows = words.select("run", mark.alias("_h"))
-    at = (F.col("_h") % F.length("run")).cast("int")
-    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
-    return rows.select(F.when(F.col("_h") % every == 0, cut).otherwise(F.col("run")).alias("word"))
+def _counter(least: int, every: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of words, as each task finds them."""
+    letters = re.compile("[a-z\u00C0-\u00FF]{%d,}" % max(1, least))
+
+    def flushed(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in common.slices(batches):
+            for key, text in zip(batch.column("_id").to_pylist(), batch.column("_text").cast(pa.binary()).to_pylist()):
+                if text is None:
+                    continue
+                found = letters.findall(text.lower().decode())  # bytes.lower() changes A-Z alone
+                counts.update(found)
+                start = crc32(f"{'' if key is None else key}:".encode())
+                marks = np.fromiter(map(crc32, map(str.encode, found), repeat(start)), np.uint32, len(found))
+                for i in np.flatnonzero(marks % every == 0):
+                    word = found[i]
+                    counts[word] -= 1
+                    at = int(marks[i]) % len(word)
+                    if len(word) > least:
+                        counts[word[:at] + word[at + 1:]] += 1
+            if len(counts) > 1 << 18:
+                yield flushed(counts)
+                counts = Counter()
+        if counts:
+            yield flushed(counts)
+    return run
+
+
+def word_counts(docs: DataFrame, least: int = 7, every: int = 31, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``word``, ``n``: the corpus's words and how often they occur.
+
+    Words are maximal runs of letters (A-Z, a-z, U+00C0 to U+00FF), A-Z in lower case; a run whose CRC-32 of "id:run" ``every``
+    divides loses one code point, that number's modulo its length. Words of less than ``least`` code points are left out.
+    """
+    rows = docs.select(F.col(f"`{id_column}`").cast("string").alias("_id"), F.col(f"`{text_column}`").alias("_text"))
+    parts = rows.mapInArrow(_counter(least, every), "word string, n long")
+    return parts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0 AND word <> ''")
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, side, depth, node, next): the second half of each word's prefixes, read from either side.
+    """(word, side, depth, node, next, after, left): the second half of each word's prefixes, read from either side.
 
-    ``next`` is the code point that follows, 0 at the end. All words of a batch are worked on together, in time linear in letters.
+    ``next`` and ``after`` are the code points that follow, 0 beyond the end; ``left`` letters do. All words of a batch are worked
+    on together, in time linear in letters.
     """
     for batch in common.slices(batches, 1 << 20, 4096):
         ids = batch.column("_w").to_numpy()
@@ -66,28 +94,49 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({
                 "_w": pa.array(np.repeat(ids, size)[half]), "_side": pa.array(np.full(int(half.sum()), side, np.int32)),
                 "_d": pa.array(depth[half].astype(np.int32)), "_node": pa.array(node[half].view(np.int64)),
-                "_next": pa.array(letters[half].astype(np.int32))})
+                "_next": pa.array(letters[half].astype(np.int32)),
+                "_after": pa.array(np.where(letters == 0, 0, np.append(letters[1:], 0))[half].astype(np.int32)),
+                "_left": pa.array((np.repeat(size - 1, size) - depth)[half].astype(np.int32))})
 
 
 def _letters(word: str, side: str) -> Column:
     return F.when(F.col(side) == 0, F.col(word)).otherwise(F.reverse(F.col(word)))
 
 
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n)
+
+
+def _letter_bit(code: Column) -> Column:
+    """One of 64 bits for a code point; letters may share one."""
+    return _bit(code.bitwiseAND(63))
+
+
+def _length_bit(letters: Column) -> Column:
+    """One of 64 bits for a number of letters; 63 and more share the last."""
+    return _bit(F.least(letters, F.lit(63)))
+
+
 def trie(words: DataFrame, shelf: common.Shelf) -> tuple[DataFrame, DataFrame]:
-    """The branching nodes on each word's way (_w, _side, _d, _node, _next), and the edges (_node, _letter, _label, _to, _end).
+    """The branching nodes on each word's way (_w, _side, _d, _node, _next, _after), and the edges (_node, _letter, _label, _to, _end,
+    _goes, _ends).
 
-    ``_end`` is the word that ends where the edge leads, if one does; ``_letter`` is the label's first code point.
+    ``_end`` is the word that ends where the edge leads, if one does; ``_letter`` is the label's first code point. The bits of
+    ``_goes`` are the letters that go on from there, those of ``_ends`` the numbers of letters after which words end.
     """
-    schema = "_w long, _side int, _d int, _node long, _next int"
+    schema = "_w long, _side int, _d int, _node long, _next int, _after int, _left int"
     prefixes = shelf.put(words.select("_w", "word").mapInArrow(_prefixes, schema), "prefixes")
     # Stored before it is joined, so that a node with very many words can be split.
-    forks = shelf.put(prefixes.groupBy("_node").agg(F.min("_next").alias("_a"), F.max("_next").alias("_b")).where("_a < _b")
-                      .select("_node"), "forks")
-    stops = shelf.put(prefixes.join(forks.withColumn("_fork", F.lit(True)), "_node", "left").where("_fork OR _next = 0")
-                      .select("_w", "_side", "_d", "_node", "_next", F.coalesce("_fork", F.lit(False)).alias("_fork")), "stops")
+    next_, left = F.col("_next"), F.col("_left")
+    forks = shelf.put(prefixes.groupBy("_node").agg(
+        F.min("_next").alias("_a"), F.max("_next").alias("_b"), F.bit_or(F.when(next_ > 0, _letter_bit(next_)).otherwise(0)).alias("_goes"),
+        F.bit_or(_length_bit(left)).alias("_ends")).where("_a < _b").select("_node", "_goes", "_ends"), "forks")
+    stops = shelf.put(prefixes.join(forks, "_node", "left").where("_goes IS NOT NULL OR _next = 0")
+                      .select("_w", "_side", "_d", "_node", "_next", "_after", "_goes", "_ends"), "stops")
     shelf.drop("prefixes")
     shelf.drop("forks")
-    ways = stops.groupBy("_w", "_side").agg(F.array_sort(F.collect_list(F.struct("_d", "_node", "_next"))).alias("_stops"))
+    ways = stops.groupBy("_w", "_side").agg(
+        F.array_sort(F.collect_list(F.struct("_d", "_node", "_next", "_goes", "_ends"))).alias("_stops"))
     steps = ways.join(words.select("_w", "word"), "_w").select(
         "_w", _letters("word", "_side").alias("_s"),
         F.explode(F.zip_with(F.slice("_stops", F.lit(1), F.size("_stops") - 1), F.slice("_stops", F.lit(2), F.size("_stops")),
@@ -95,9 +144,21 @@ def trie(words: DataFrame, shelf: common.Shelf) -> tuple[DataFrame, DataFrame]:
     size = F.col("_e.b._d") - F.col("_e.a._d")
     edges = steps.select(F.col("_e.a._node").alias("_node"), F.col("_e.a._next").alias("_letter"),
                          F.substring("_s", F.col("_e.a._d") + 1, size).alias("_label"), F.col("_e.b._node").alias("_to"),
-                         F.when(F.col("_e.b._next") == 0, F.col("_w")).alias("_end"))
-    edges = shelf.put(edges.groupBy("_node", "_letter", "_label", "_to").agg(F.max("_end").alias("_end")), "edges")
-    return stops.where("_fork").drop("_fork"), edges
+                         F.when(F.col("_e.b._next") == 0, F.col("_w")).alias("_end"),
+                         F.coalesce("_e.b._goes", F.lit(0).cast("long")).alias("_goes"),
+                         F.coalesce("_e.b._ends", F.lit(1).cast("long")).alias("_ends"))
+    edges = shelf.put(edges.groupBy("_node", "_letter", "_label", "_to").agg(
+        F.max("_end").alias("_end"), F.max("_goes").alias("_goes"), F.max("_ends").alias("_ends")), "edges")
+    return stops.where("_goes IS NOT NULL").select("_w", "_side", "_d", "_node", "_next", "_after"), edges
+
+
+def _alive(position: Column, code: Column | None = None) -> Column:
+    """May a state at the end of an edge still end in a word? By the next letter (``code``) and the number of letters left."""
+    left = F.col("_n") - position
+    code = F.ascii(F.substring("_s", position + 1, F.lit(1))) if code is None else code
+    goes = F.col("_goes").bitwiseAND(_letter_bit(code)) != 0
+    ends = F.col("_ends").bitwiseAND(_length_bit(F.greatest(left, F.lit(0)))) != 0
+    return ((left == 0) & F.col("_end").isNotNull()) | ((left > 0) & ends & goes)
 
 
 def one_edit_pairs(words: DataFrame, shelf: common.Shelf) -> DataFrame:
@@ -110,26 +171,35 @@ def one_edit_pairs(words: DataFrame, shelf: common.Shelf) -> DataFrame:
     texts = words.select("_w", "word", F.length("word").alias("_n"))
     half = F.floor(F.col("_n") / 2)
     begin = stops.join(texts, "_w").where(F.col("_d") >= F.when(F.col("_side") == 0, half).otherwise(F.col("_n") - half)).select(
-        "_w", "_side", "_n", "_d", "_node", "_next", _letters("word", "_side").alias("_s"))
+        "_w", "_side", "_n", "_d", "_node", "_next", "_after", _letters("word", "_side").alias("_s"))
     met = begin.join(edges, "_node").where("_letter != _next")
-    rest = F.substring("_label", F.lit(2), F.length("_label"))
-    size = F.length("_label")
-    replaced = (F.col("_next") != 0) & (F.col("_letter") > F.col("_next")) & (F.substring("_s", F.col("_d") + 2, size - 1) == rest)
-    inserted = F.substring("_s", F.col("_d") + 1, size - 1) == rest
+    size, d = F.length("_label"), F.col("_d")
+    short = size == 1  # most labels; their states need no look at the text
+    rest = F.substring("_label", F.lit(2), size)
+
+    def fits(start: Column, code: str) -> Column:
+        """Does the label agree with the word from ``start`` on, but for the label's first letter? And may the word end below?"""
+        text = short | (F.substring("_s", start + 1, size - 1) == rest)
+        end = start + size - 1
+        return _alive(end, F.when(short, F.col(code)).otherwise(F.ascii(F.substring("_s", end + 1, F.lit(1))))) & text
+    replaced = (F.col("_next") != 0) & (F.col("_letter") > F.col("_next")) & fits(d + 1, "_after")
+    inserted = fits(d, "_next")
+    met = met.withColumns({"_replaced": replaced, "_inserted": inserted}).where("_replaced OR _inserted")
     edit = F.explode(F.array_compact(F.array(
-        F.when(replaced, F.struct(F.lit(1).alias("skip"), (F.col("_d") + size).alias("i"))),
-        F.when(inserted, F.struct(F.lit(0).alias("skip"), (F.col("_d") + size - 1).alias("i"))))))
+        F.when(F.col("_replaced"), F.struct(F.lit(1).alias("skip"), (d + size).alias("i"))),
+        F.when(F.col("_inserted"), F.struct(F.lit(0).alias("skip"), (d + size - 1).alias("i"))))))
     head = ["_w", "_side", "_n", "_s", "_d", "_c"]
     state = met.withColumn("_edit", edit).select(
         "_w", "_side", "_n", "_s", "_d", F.substring("_label", F.lit(1), F.lit(1)).alias("_c"), F.col("_edit.skip").alias("_skip"),
         F.col("_edit.i").alias("_i"), F.col("_to").alias("_node"), "_end")
-    state = shelf.put(state.where("_i <= _n"), "states-0")
+    state = shelf.put(state, "states-0")
     found, turn = [], 0
     while True:
         at_end = state.where("_i = _n AND _end IS NOT NULL").select(*head, "_skip", "_end")
         found.append(shelf.put(at_end, f"found-{turn}"))
         walked = state.where("_i < _n").select(*head, "_skip", "_i", "_node").join(
-            edges.select("_node", "_label", "_to", "_end"), "_node").where(F.substring("_s", F.col("_i") + 1, F.length("_label")) == F.col("_label"))
+            edges.drop("_letter"), "_node").where(F.substring("_s", F.col("_i") + 1, F.length("_label")) == F.col("_label")) \
+            .where(_alive(F.col("_i") + F.length("_label")))
         turn += 1
         state = shelf.put(walked.select(*head, "_skip", (F.col("_i") + F.length("_label")).alias("_i"), F.col("_to").alias("_node"),
                                         "_end"), f"states-{turn}")
@@ -203,5 +273,4 @@ def spelling_variants(docs: DataFrame, least: int = 7, times: int = 2, ratio: in
     NULL and empty texts have no words; a NULL id counts as an empty one in the CRC-32; repeated rows count as often as they stand there.
     Only the id and the text are read, whatever other columns are called.
     """
-    words = misspelt(runs(docs, least, id_column, text_column), every).where(F.length("word") >= least)
-    return group_variants(words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= times), ratio)
+    return group_variants(word_counts(docs, least, every, id_column, text_column).where(F.col("n") >= times), ratio)

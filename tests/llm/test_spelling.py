@@ -92,15 +92,13 @@ def test_ties_ratio_and_empty(spark):
         spelling.group_variants(df([]), ratio=1)
 
 
-def test_runs_and_misspellings(spark):
-    rows = [(i, f"Straße ÉCOLE naïve-looking don't x×y÷z {'Wörterbuch' * 3} 𝄞music{i}") for i in range(200)] + [(None, "None here"), (7, None)]
-    words = spelling.misspelt(spelling.runs(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert Counter(r.word for r in words.collect()) == Counter(
-        {w: n for w, n in _all_words(rows).items()})
-
-
-def _all_words(rows):
-    return counted(rows, least=0, times=1)
+def test_words_and_misspellings(spark):
+    rows = [(i, f"Straße ÉCOLE naïve-looking don't x×y÷z {'Wörterbuch' * 3} 𝄞music{i} Ā ā") for i in range(200)] + [(None, "None here"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (1, 5):
+        got = {r.word: r.n for r in spelling.word_counts(df, least).collect()}
+        want = {w: n for w, n in counted(rows, least, 1).items() if w}
+        assert got == want
 
 
 def test_documents_against_all_pairs(spark):
