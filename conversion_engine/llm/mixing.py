@@ -103,6 +103,16 @@ def ranked(docs: DataFrame, source: Column, bits: int = 12) -> DataFrame:
         .withColumn("_rank", F.col("_start") + F.col("_within")).drop("_start", "_within", "_range", "_o1", "_o2")
 
 
+def temperature_weights(docs: DataFrame, exponent: float = 0.5, source_column: str = "source",
+                        max_sources: int = 4096) -> dict[str | None, float]:
+    """Target weights by source: its number of rows to the power ``exponent`` (1: as they are, 0: all alike).
+
+    One number per source reaches the driver, as for ``mix``, which refuses more than ``max_sources``.
+    """
+    found = docs.groupBy(F.col(f"`{source_column}`").cast("string").alias("s")).agg(F.count("*").alias("n")).limit(max_sources + 1).collect()
+    return {r["s"]: float(r["n"]) ** exponent for r in found}
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, source_column: str = "source",
         block: int = 8, slots_per_period: int = 1024, max_sources: int = 4096) -> DataFrame:
     """``docs`` with rank (in its source), slot and phase, the last three columns: the order of the mixture.

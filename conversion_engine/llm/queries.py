@@ -7,6 +7,7 @@ where SQL can express the operator.
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,7 +137,10 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 
 @query
 def op9_mix_sources(spark: SparkSession, root: str) -> DataFrame:
-    return mixing.mix(common.documents(spark, root)).select("doc_id", "source", "rank", "slot", "phase")
+    docs = common.documents(spark, root)
+    # Unequal targets: the square root of a source's rows, times one to four by its name.
+    weights = {s: w * (1 + crc32((s or "").encode()) % 4) for s, w in mixing.temperature_weights(docs).items()}
+    return mixing.mix(docs, weights).select("doc_id", "source", "rank", "slot", "phase")
 
 
 @query

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from helpers_llm import clashing, documents, table
 
@@ -70,3 +71,30 @@ def test_order_and_edges(spark):
     seen = [r[slot] for r in ordered.collect()]
     assert seen == sorted(seen) and len(seen) == len(documents())
     assert mixing.mix(table(spark, [])).count() == 0
+
+
+def test_unequal_weights_hold_on_a_whole_table(spark):
+    import pathlib
+
+    import pytest
+
+    from conversion_engine.llm.queries import op9_mix_sources
+
+    root = "/root/testdata/sf0.01"
+    if not pathlib.Path(root).exists():
+        pytest.skip("test data is not here")
+    counts = mixing.temperature_weights(spark.read.parquet(f"{root}/documents.parquet"))
+    weights = {s: w * (1 + zlib.crc32((s or "").encode()) % 4) for s, w in counts.items()}
+    assert max(weights.values()) > 1.5 * min(weights.values())
+    rows = op9_mix_sources(spark, root).collect()
+    blocks = {(r.phase, r.slot): r.source for r in rows}
+    assert len({r.doc_id for r in rows}) == len(rows)
+    for phase in {p for p, _ in blocks}:
+        order = [s for (p, _), s in sorted(blocks.items()) if p == phase]
+        key = lambda s: "" if s is None else f"={s}"
+        active = sorted({s for (p, _), s in blocks.items() if p >= phase}, key=key)  # those that have blocks left
+        parts = mixing.shares([weights[s] for s in active], max(1024, 4 * len(active)))
+        done = dict.fromkeys(active, 0)
+        for t, s in enumerate(order):
+            done[s] += 1
+            assert all(abs(done[a] - (t + 1) * q / sum(parts)) < 1 for a, q in zip(active, parts))
