@@ -305,11 +305,43 @@ def prediction_change(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     return pairs.groupBy("feature").agg(F.sum(F.when(both > 0, F.col("w0") * F.col("w1") / both * gap * gap).otherwise(0.0)).alias("change"))
 
 
-def importance(trees: oblivious.Trees, names: list[str] | None = None) -> DataFrame:
-    """Importance per feature: the change of predictions, scaled to a sum of 100 (0 where no tree splits); most important first."""
+def _leaf_parts(trees: oblivious.Trees):
+    def run(batches):
+        sums: list[np.ndarray] = []
+        for batch in batches:
+            weight = oblivious.fixed(batch.column("weight").to_numpy(zero_copy_only=False).astype(float))
+            found = [np.bincount(leaf, weight, len(tree.values)).astype(np.int64) for tree, leaf in zip(
+                trees.trees, trees.leaf_numbers([batch.column(c) for c in trees.features]))]
+            sums = [a + b for a, b in zip(sums, found)] if sums else found
+        if sums:
+            yield pa.RecordBatch.from_pydict({
+                "tree": pa.array(np.repeat(np.arange(len(sums), dtype=np.int32), [len(s) for s in sums])),
+                "leaf": pa.array(np.concatenate([np.arange(len(s), dtype=np.int32) for s in sums])),
+                "weight": pa.array(np.concatenate(sums))})
+    return run
+
+
+def leaf_weights(trees: oblivious.Trees, encoded: DataFrame) -> DataFrame:
+    """(tree, leaf, value, weight): the weight of the rows of ``encoded`` (weight, the trees' features) in every leaf.
+
+    A task sends one number per leaf.
+    """
+    columns = encoded.select("weight", *[F.col(f"`{c}`").cast("double").alias(c) for c in trees.features])
+    sums = columns.mapInArrow(_leaf_parts(trees), "tree int, leaf int, weight bigint").groupBy("tree", "leaf").agg(
+        (F.sum("weight") / oblivious.UNIT).alias("weight"))
+    values = trees.leaves(SparkSession.active()).select("tree", "leaf", "value")
+    return values.join(sums, ["tree", "leaf"], "left").select("tree", "leaf", "value", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
+def importance(trees: oblivious.Trees, names: list[str] | None = None, encoded: DataFrame | None = None) -> DataFrame:
+    """Importance per feature: the change of predictions, scaled to a sum of 100 (0 where no tree splits); most important first.
+
+    Leaves weigh as the rows of ``encoded`` that reach them, or, without it, as in training.
+    """
     spark = SparkSession.active()
     features = spark.createDataFrame(list(zip(trees.features, names or trees.features)), "feature string, name string")
-    changes = prediction_change(trees.nodes(spark), trees.leaves(spark)).join(features, "feature", "right").select(
+    leaves = trees.leaves(spark) if encoded is None else leaf_weights(trees, encoded)
+    changes = prediction_change(trees.nodes(spark), leaves).join(features, "feature", "right").select(
         F.col("name").alias("feature"), F.coalesce("change", F.lit(0.0)).alias("change"))
     total = F.sum("change").over(Window.partitionBy())  # a row per feature
     share = F.when(total > 0, F.col("change") * 100.0 / total).otherwise(0.0)
@@ -317,4 +349,6 @@ def importance(trees: oblivious.Trees, names: list[str] | None = None) -> DataFr
 
 
 def feature_importance(model: ConversionModel) -> DataFrame:
-    return importance(model.trees, model.feature_names)
+    """Importance of the model's columns over its training rows (a loaded model: by the weights it was stored with)."""
+    rows = None if model.encoded is None else model.encoded.where("split = 'train'")
+    return importance(model.trees, model.feature_names, rows)

@@ -164,7 +164,8 @@ SELECT feature, {r('100 * change / sum(change) OVER ()', 'importance')}, CAST(ro
 def boosted_importance(spark: SparkSession, root: str) -> DataFrame:
     from pyspark.sql import Window
 
-    found = training.importance(planted_model(spark, root)[0])
+    trees, rows = planted_model(spark, root)
+    found = training.importance(trees, encoded=rows.where("split = 'train'"))
     return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))  # a row per feature
 
 

@@ -162,7 +162,7 @@ def test_attributions_are_those_of_all_subsets(model):
 
 
 def test_importance_is_the_change_of_sibling_leaves(model):
-    _, _, trees, _ = model
+    _, df, trees, _ = model
     want = dict.fromkeys(FEATURES, 0.0)
     for t in trees.trees:
         for level, split in enumerate(t.splits):
@@ -172,6 +172,8 @@ def test_importance_is_the_change_of_sibling_leaves(model):
                     both = t.weights[leaf] + t.weights[other]
                     mean = (t.values[leaf] * t.weights[leaf] + t.values[other] * t.weights[other]) / both
                     want[FEATURES[split[0]]] += t.weights[leaf] * (t.values[leaf] - mean) ** 2 + t.weights[other] * (t.values[other] - mean) ** 2
+    again = {(r.tree, r.leaf): (r.value, r.weight) for r in training.leaf_weights(trees, df.where("split = 'train'")).collect()}
+    assert again == {(i, leaf): pytest.approx((t.values[leaf], t.weights[leaf])) for i, t in enumerate(trees.trees) for leaf in range(len(t.values))}
     got = training.importance(trees, ["x", "y", "z"]).collect()
     assert {r.feature: r.importance for r in got} == {n: pytest.approx(100 * want[f] / sum(want.values())) for n, f in zip("xyz", FEATURES)}
     assert [r.importance for r in got] == sorted((r.importance for r in got), reverse=True)
