@@ -12,8 +12,9 @@ _ORDER = ["_id", *_REF]
 
 
 def words(line: Column) -> Column:
-    """The words of a line in lower case; lines with equal words are equal lines."""
-    return F.filter(F.split(F.lower(line), common.SPACES), lambda w: w != "")
+    """The words of a line, which is in lower case already; lines with equal words are equal lines."""
+    inner = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, common.SPACES))
 
 
 def _half_keys(w: Column, n: Column, min_words: int) -> Column:
@@ -31,8 +32,14 @@ def _half_keys(w: Column, n: Column, min_words: int) -> Column:
     return F.when(n >= min_words, F.array_compact(keys))
 
 
+def _split_once(df: DataFrame, text: Column, where: Column) -> DataFrame:
+    """``df`` with the lines of ``text`` as ``_parts``, where asked for. A generator, since a plain column would be moved into
+    the functions that pick single lines, and split again for each."""
+    return df.select("*", F.inline(F.array(F.struct(F.when(where, F.split(text, "\n")).alias("_parts")))))
+
+
 def _lines(source: DataFrame) -> DataFrame:
-    return source.select("_id", "_k1", "_k2", F.posexplode(F.split("_text", "\n")).alias("_line", "_value"))
+    return source.select("_id", "_k1", "_k2", F.posexplode(F.split(F.lower("_text"), "\n")).alias("_line", "_value"))
 
 
 def first_lines(source: DataFrame, min_words: int) -> DataFrame:
@@ -85,11 +92,11 @@ def near_duplicates(firsts: DataFrame, source: DataFrame, shelf: common.Shelf) -
     shared = halves.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1").select("_key")
     wanted = halves.join(shared, "_key", "left_semi").groupBy("_k1", "_k2").agg(
         F.collect_set("_line").alias("_wanted"))
-    once = source.dropDuplicates(["_k1", "_k2"])
-    texts = once.join(wanted, ["_k1", "_k2"]).select(
-        "_id", "_k1", "_k2", F.split("_text", "\n").alias("_all"), F.explode("_wanted").alias("_line"))
-    lines = shelf.put(texts.select(*_ORDER, words(F.get("_all", F.col("_line"))).alias("_words"))
-                      .withColumn("_n", F.size("_words")), "lines")
+    # A hash of the keys and places of a partition's documents; their texts need no sorting.
+    texts = _split_once(source.join(wanted.hint("shuffle_hash"), ["_k1", "_k2"]), F.lower("_text"), F.lit(True))
+    picked = F.transform("_wanted", lambda i: F.struct(i.alias("_line"), F.get("_parts", i).alias("_value")))
+    each = texts.select("_id", "_k1", "_k2", F.inline(picked)).dropDuplicates(_REF)  # equal rows
+    lines = shelf.put(each.select(*_ORDER, words(F.col("_value")).alias("_words")).withColumn("_n", F.size("_words")), "lines")
 
     variants = _variants(lines)
     entries = shelf.put(variants.select(
@@ -144,13 +151,14 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rows, columns = common.numbered(docs)
     k1, k2 = common.row_key(columns[id_column], columns[text_column])
     text = F.col(columns[text_column])
-    joined = rows.withColumns({"_k1": k1, "_k2": k2}).join(kept, ["_k1", "_k2"], "left")
-    parts = F.split(text, "\n")
-    size = F.coalesce(F.size(parts), F.lit(0)).cast("long")
+    joined = rows.withColumns({"_k1": k1, "_k2": k2}).join(kept.hint("shuffle_hash"), ["_k1", "_k2"], "left")
+    size = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     close = F.coalesce("_close", F.lit(0)).cast("long")
-    # Indexes of the kept lines instead of a search for each line: linear in the text.
-    new = F.array_join(F.transform(F.coalesce("_kept", F.array().cast("array<int>")), lambda i: F.get(parts, i)), "\n")
-    return joined.select(
+    # Indexes of the kept lines instead of a search for each line: linear in the text. Only texts that lose a line are rebuilt.
+    left = F.coalesce("_kept", F.array().cast("array<int>"))
+    same = F.size(left) == size
+    new = F.when(same, text).otherwise(F.array_join(F.transform(left, lambda i: F.get("_parts", i)), "\n"))
+    return _split_once(joined, text, ~same).select(
         *[(F.when(text.isNotNull(), new) if old == text_column else F.col(c)).alias(old) for old, c in columns.items()],
         F.when(text.isNull(), F.lit(0)).otherwise(size).cast("long").alias(names[0]),
         F.when(text.isNull(), F.lit(0)).otherwise(size - F.coalesce("_first", F.lit(0))).cast("long").alias(names[1]),
