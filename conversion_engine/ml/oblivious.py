@@ -17,12 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conversion_engine.session import discard, run_folder
 
 #: Gradients, weights and losses are rounded to this part of one before they are summed.
 UNIT = float(1 << 24)
-_HISTOGRAM, _LOSS, _LEAVES = 0, 1, 2
+_HISTOGRAM, _LOSS, _LEAVES, _CUT = 0, 1, 2, 3
 #: Cells (rows times features) that a partition of blocks should hold at least.
 PARTITION_CELLS = 4 << 20
 _BLOCK = "_split int, _n int, _bins binary, _y binary, _w binary, _m binary"
@@ -192,48 +193,100 @@ def _advancer(pending: list[Tree]) -> Callable[[Batches], Batches]:
     return run
 
 
+class _Facts:
+    """Losses per split, and the weight in each leaf of the last tree, summed over blocks."""
+
+    def __init__(self, pending: list[Tree]):
+        self.losses, self.weights, self.leaves = defaultdict(lambda: np.zeros(2)), None, len(pending[-1].values) if pending else 0
+
+    def add(self, block: _Block, margin: np.ndarray, last: np.ndarray | None) -> None:
+        self.losses[block.split] += [fixed(block.w * row_losses(margin, block.y)).sum(), fixed(block.w).sum()]
+        if last is not None and block.split == TRAIN:
+            found = np.bincount(last, fixed(block.w), self.leaves)
+            self.weights = found if self.weights is None else self.weights + found
+
+    def rows(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        for split, values in self.losses.items():
+            yield _LOSS, split, values.astype(np.int64)
+        if self.weights is not None:
+            yield _LEAVES, 0, self.weights.astype(np.int64)
+
+
+def _gradients(block: _Block, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = sigmoid(margin)
+    return fixed(block.w * (block.y - p)), fixed(block.w * p * (1 - p))
+
+
+def _histogram(bins: np.ndarray, count: int, leaf: np.ndarray, leaves: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Gradient and hessian sums [2, leaves * bins] of one feature."""
+    at = leaf * count + bins
+    return np.stack([np.bincount(at, g, count * leaves), np.bincount(at, h, count * leaves)])
+
+
 def _collector(bins: list[int], pending: list[Tree], partial: Tree | None, facts: bool) -> Callable[[Batches], Batches]:
     """Per task: histograms of the level below ``partial``; with ``facts``, losses and the leaf weights of the last tree."""
     def run(batches: Batches) -> Batches:
-        leaves = 1 << len(partial.splits) if partial else 0
-        offsets = np.concatenate([[0], np.cumsum(bins)]).astype(np.int64)
-        sums = np.zeros((2, int(offsets[-1]) * leaves))
-        losses, weights = defaultdict(lambda: np.zeros(2)), None
+        leaves, met = 1 << len(partial.splits) if partial else 0, _Facts(pending)
+        offsets = np.concatenate([[0], np.cumsum(bins)]).astype(np.int64) * leaves
+        sums = np.zeros((2, int(offsets[-1])))
         for block in _unpacked(batches):
             margin, last = _advanced(block, pending)
             if facts:
-                losses[block.split] += [fixed(block.w * row_losses(margin, block.y)).sum(), fixed(block.w).sum()]
-                if last is not None and block.split == TRAIN:
-                    found = np.bincount(last, fixed(block.w), len(pending[-1].values))
-                    weights = found if weights is None else weights + found
-            if not partial or block.split != TRAIN:
-                continue
-            p = sigmoid(margin)
-            g, h = fixed(block.w * (block.y - p)), fixed(block.w * p * (1 - p))
-            leaf = partial.leaves(lambda f: block.bins[f], len(block.y), True)
-            for feature, count in enumerate(bins):
-                if count > 1:
-                    at = leaf * count + block.bins[feature]
-                    cells = slice(offsets[feature] * leaves, offsets[feature + 1] * leaves)
-                    sums[0, cells] += np.bincount(at, g, count * leaves)
-                    sums[1, cells] += np.bincount(at, h, count * leaves)
-        kinds, keys, data = [], [], []
-
-        def out(kind: int, key: int, values: bytes) -> None:
-            kinds.append(kind)
-            keys.append(key)
-            data.append(values)
-        for split, values in losses.items():
-            out(_LOSS, split, values.astype(np.int64).tobytes())
-        if weights is not None:
-            out(_LEAVES, 0, weights.astype(np.int64).tobytes())
+                met.add(block, margin, last)
+            if partial and block.split == TRAIN:
+                g, h = _gradients(block, margin)
+                leaf = partial.leaves(lambda f: block.bins[f], len(block.y), True)
+                for feature, count in enumerate(bins):
+                    if count > 1:
+                        sums[:, offsets[feature]:offsets[feature + 1]] += _histogram(block.bins[feature], count, leaf, leaves, g, h)
+        rows = list(met.rows())
         for feature, count in enumerate(bins if partial else []):
-            mine = sums[:, offsets[feature] * leaves:offsets[feature + 1] * leaves]
+            mine = sums[:, offsets[feature]:offsets[feature + 1]]
             cells = np.flatnonzero(mine.any(0))
             if count > 1:
-                out(_HISTOGRAM, feature, np.concatenate([cells, *mine[:, cells].astype(np.int64)]).astype(np.int64).tobytes())
-        yield pa.RecordBatch.from_pydict({"_kind": pa.array(kinds, pa.int32()), "_key": pa.array(keys, pa.int32()),
-                                          "_data": pa.array(data, pa.binary())})
+                rows.append((_HISTOGRAM, feature, np.concatenate([cells, *mine[:, cells].astype(np.int64)]).astype(np.int64)))
+        yield pa.RecordBatch.from_pydict({
+            "_kind": pa.array([r[0] for r in rows], pa.int32()), "_key": pa.array([r[1] for r in rows], pa.int32()),
+            "_data": pa.array([r[2].tobytes() for r in rows], pa.binary())})
+    return run
+
+
+def _best_rows(rows: list[tuple[int, int, int, float, np.ndarray]]) -> pa.RecordBatch:
+    kinds, keys, cuts, gains, data = zip(*rows)
+    return pa.RecordBatch.from_pydict({
+        "_kind": pa.array(kinds, pa.int32()), "_key": pa.array(keys, pa.int32()), "_bin": pa.array(cuts, pa.int32()),
+        "_gain": pa.array(gains, pa.float64()), "_data": pa.array([d.tobytes() for d in data], pa.binary())})
+
+
+def _grower(bins: list[int], pending: list[Tree], depth: int, l2: float) -> Callable[[Batches], Batches]:
+    """All levels of a tree, where one task has all blocks: its sums are whole, so that the cuts can be chosen there.
+
+    Losses and leaf weights of the last tree, and for each level its cut: bin, gain, and [feature, sums below and above].
+    """
+    def run(batches: Batches) -> Batches:
+        met, training = _Facts(pending), []
+        for block in _unpacked(batches):
+            margin, last = _advanced(block, pending)
+            met.add(block, margin, last)
+            if block.split == TRAIN:
+                training.append((block, *_gradients(block, margin), np.zeros(len(block.y), np.int64)))
+        rows = [(kind, key, -1, 0.0, values) for kind, key, values in met.rows()]
+        for level in range(depth if training else 0):
+            best = None
+            for feature, count in enumerate(bins):
+                if count > 1:
+                    sums = sum(_histogram(block.bins[feature], count, leaf, 1 << level, g, h) for block, g, h, leaf in training)
+                    cut, gain, values = best_cut(sums.astype(np.int64).reshape(2, 1 << level, count), l2)
+                    if best is None or gain > best[2]:
+                        best = feature, cut, gain, values
+            if best is None or best[2] <= 0:
+                break
+            feature, cut, gain, values = best
+            rows.append((_CUT, level, cut, gain, np.concatenate([[feature], values.ravel()]).astype(np.int64)))
+            for block, _, _, leaf in training:
+                leaf |= (block.bins[feature] > cut).astype(np.int64) << level
+        if rows:
+            yield _best_rows(rows)
     return run
 
 
@@ -269,12 +322,9 @@ def _merger(bins: list[int], leaves: int, l2: float) -> Callable[[Batches], Batc
             cut, gain = -1, 0.0
             if kind == _HISTOGRAM:
                 cut, gain, values = best_cut(values.reshape(2, leaves, bins[key]), l2)
-            rows.append((kind, key, cut, gain, values.tobytes()))
+            rows.append((kind, key, cut, gain, values))
         if rows:
-            kinds, keys, cuts, gains, data = zip(*rows)
-            yield pa.RecordBatch.from_pydict({
-                "_kind": pa.array(kinds, pa.int32()), "_key": pa.array(keys, pa.int32()), "_bin": pa.array(cuts, pa.int32()),
-                "_gain": pa.array(gains, pa.float64()), "_data": pa.array(data, pa.binary())})
+            yield _best_rows(rows)
     return run
 
 
@@ -302,6 +352,7 @@ class Booster:
         plain = rows.select(number.cast("int").alias("_split"), F.col(label).cast("double").alias("_y"),
                             F.col(weight).cast("double").alias("_w"), *numeric).where("_split IS NOT NULL")
         self.blocks, self._path = None, None
+        self._part, self._best = T.StructType.fromDDL(_PART), T.StructType.fromDDL(_BEST)
         cells = plain.count() * max(1, len(features))
         made = plain.mapInArrow(_blocks(self.borders), _BLOCK)
         self._store(made.repartition(max(1, min(cells // PARTITION_CELLS, made.rdd.getNumPartitions()))))
@@ -312,6 +363,7 @@ class Booster:
         blocks.write.parquet(path)
         old, old_path = self.blocks, self._path
         self.blocks, self._path = self.spark.read.schema(_BLOCK).parquet(path).persist(), path
+        self._training = self.blocks.where(F.col("_split") == TRAIN)
         self._alone = self.blocks.rdd.getNumPartitions() == 1
         if old is not None:
             old.unpersist()
@@ -326,11 +378,10 @@ class Booster:
 
     def _aggregate(self, partial: Tree | None, facts: bool) -> list:
         """One row per feature: its best cut of the next level. With ``facts``, losses and leaf weights after the last tree."""
-        blocks = self.blocks if facts else self.blocks.where(F.col("_split") == TRAIN)
-        parts = blocks.mapInArrow(_collector(self.bins, self.trees.trees[self.stored:], partial, facts), _PART)
-        leaves = 1 << len(partial.splits) if partial else 0
-        met = parts if self._alone else parts.repartition("_kind", "_key")  # one task's sums are whole already
-        return met.mapInArrow(_merger(self.bins, leaves, self.l2), _BEST).collect()
+        blocks = self.blocks if facts else self._training
+        collect = _collector(self.bins, self.trees.trees[self.stored:], partial, facts)
+        merge = _merger(self.bins, 1 << len(partial.splits) if partial else 0, self.l2)
+        return blocks.mapInArrow(collect, self._part).repartition("_kind", "_key").mapInArrow(merge, self._best).collect()
 
     def _note(self, rows: list) -> None:
         """Losses after the last tree, and whether patience has run out."""
@@ -347,6 +398,29 @@ class Booster:
         if checked and len(checked) - 1 - int(np.argmin(checked)) >= self.patience:
             self.stopped = True
 
+    def _cuts(self, tree: Tree) -> Iterator[tuple[int, int, float, np.ndarray]]:
+        """The best cut of each level, as ``tree`` grows by them: feature, bin, gain, sums. Ends where none gains.
+
+        The first level comes with the losses after the last tree, which may say that there is none to come. One task that
+        has all blocks grows the whole tree; otherwise a level is an aggregate.
+        """
+        if self._alone:
+            found = self.blocks.mapInArrow(_grower(self.bins, self.trees.trees[self.stored:], self.depth, self.l2), self._best).collect()
+            self._note(found)
+            for r in sorted((r for r in found if r["_kind"] == _CUT and not self.stopped), key=lambda r: r["_key"]):
+                values = np.frombuffer(r["_data"], np.int64)
+                yield int(values[0]), r["_bin"], r["_gain"], values[1:]
+            return
+        for level in range(self.depth):
+            found = self._aggregate(tree, level == 0)
+            if level == 0:
+                self._note(found)
+            cuts = [r for r in found if r["_kind"] == _HISTOGRAM]
+            best = max(cuts, key=lambda r: (r["_gain"], -r["_key"]), default=None)
+            if self.stopped or best is None or best["_gain"] <= 0:
+                return
+            yield best["_key"], best["_bin"], best["_gain"], np.frombuffer(best["_data"], np.int64)
+
     def grow(self, trees: int) -> int:
         """Grow up to ``trees`` more trees; fewer if patience runs out or no split is left. The number grown."""
         grown = 0
@@ -356,20 +430,15 @@ class Booster:
             if len(pending) >= self.store_every:
                 self._store(self.blocks.mapInArrow(_advancer(pending), _BLOCK))
                 self.stored += len(pending)
-            tree, found = Tree([], np.zeros(1)), self._aggregate(Tree([], np.zeros(1)), True)
-            self._note(found)
-            if self.stopped:
-                break
-            for level in range(self.depth):
-                cuts = [r for r in (found if level == 0 else self._aggregate(tree, False)) if r["_kind"] == _HISTOGRAM]
-                best = max(cuts, key=lambda r: (r["_gain"], -r["_key"]), default=None)
-                if best is None or best["_gain"] <= 0:
-                    break
-                feature, cut = best["_key"], best["_bin"]
-                tree.splits.append((feature, cut, float(self.borders[feature][cut]), best["_gain"]))
+            tree = Tree([], np.zeros(1))
+            for cut in self._cuts(tree):
+                feature, bin_, gain, sums = cut
+                tree.splits.append((feature, bin_, float(self.borders[feature][bin_]), gain))
                 # Gradient and hessian sums of the leaves: those below the new border first.
-                g, h = np.frombuffer(best["_data"], np.int64).reshape(2, -1) / UNIT
+                g, h = sums.reshape(2, -1) / UNIT
                 tree.values = self.learning_rate * g / (h + self.l2)
+            if self.stopped:
+                break
             if not tree.splits:
                 self.stopped = True
                 break
