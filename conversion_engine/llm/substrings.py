@@ -85,7 +85,8 @@ def repeated(source: DataFrame, window: int, shelf: common.Shelf) -> DataFrame:
     Level by level, runs are counted across the corpus and those found once drop out;
     only windows around the rest are looked at with runs of twice the length, and with
     whole windows at last. Counts are partial aggregates; a run in very many documents is
-    one row of the counts, and the join back to its places is plain.
+    one row of the counts. These are stored before the join back to the places, so that a partition that one
+    run fills is split there: adaptive execution splits no side that an aggregate has yet to make.
     """
     found, lengths = None, []
     for length in levels(window):
@@ -93,10 +94,11 @@ def repeated(source: DataFrame, window: int, shelf: common.Shelf) -> DataFrame:
         rows = source if found is None else source.join(found, "_k")
         name = f"runs{length}"
         runs = shelf.put(rows.mapInArrow(_emit(window, list(lengths)), "_h long, _h2 int, _k long, _at int"), name)
-        shared = runs.groupBy("_h", "_h2").agg(F.count("*").alias("_c")).where("_c > 1").select("_h", "_h2")
+        shared = shelf.put(runs.groupBy("_h", "_h2").agg(F.count("*").alias("_c")).where("_c > 1").select("_h", "_h2"), f"shared{length}")
         places = runs.join(shared, ["_h", "_h2"], "left_semi")
         found = shelf.put(places.groupBy("_k").agg(F.array_sort(F.collect_list("_at")).alias("_starts")), f"found{length}")
         shelf.drop(name)
+        shelf.drop(f"shared{length}")
         if len(lengths) > 1:
             shelf.drop(f"found{lengths[-2]}")
     return found
