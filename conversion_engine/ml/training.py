@@ -184,20 +184,33 @@ def ordered_rates(df: DataFrame, columns: list[str], label: str, row: str, prior
     inside = values.select("__row", *cell, (F.sum("__y").over(upto.rangeBetween(Window.unboundedPreceding, 0)) - F.sum("__y").over(peers)).alias("__q"),
                            (F.count("*").over(upto.rangeBetween(Window.unboundedPreceding, 0)) - F.count("*").over(peers)).alias("__m"))
     rate = (F.col("__p") + F.col("__q") + prior * prior_weight) / (F.col("__n") + F.col("__m") + prior_weight)
-    known = inside.join(base, cell).select("__row", "__c", rate.alias("__rate"))
-    wide = known.groupBy("__row").agg(F.lit(0).alias("__any"), *[
+    return _side_by_side(df, columns, inside.join(base, cell).select("__row", "__c", rate.alias("__rate")), row, prior)
+
+
+def _side_by_side(df: DataFrame, columns: list[str], rates: DataFrame, row: str, prior: float) -> DataFrame:
+    """``row`` and a column of rates for each of ``columns``, from rows (__row, __c, __rate); the prior where there is none."""
+    wide = rates.groupBy("__row").agg(F.lit(0).alias("__any"), *[
         F.max(F.when(F.col("__c") == i, F.col("__rate"))).alias(f"{c}__rate") for i, c in enumerate(columns)])
     out = df.select(F.col(f"`{row}`").alias("__row")).join(wide, "__row", "left")
     return out.select(F.col("__row").alias(row), *[F.coalesce(F.col(f"`{c}__rate`"), F.lit(prior)).alias(f"{c}__rate") for c in columns])
 
 
-def all_statistics(df: DataFrame, columns: list[str], label: str, params: TrainingParams, prior: float) -> list[CategoryStatistics]:
-    """Positives and rows per value of every column, counted in one pass into one table."""
+def known_rates(df: DataFrame, columns: list[str], counts: DataFrame, row: str, prior: float, prior_weight: float = 1.0) -> DataFrame:
+    """As ``ordered_rates``, but by all rows counted in ``counts`` (__c, __v, positives, rows): what ``CategoryStatistics.encode`` gives,
+    for all columns in one join. ``row`` must be unique and stored with the rows."""
+    rate = (F.col("positives") + prior * prior_weight) / (F.col("rows") + prior_weight)
+    rates = _values(df, columns, F.col(f"`{row}`").alias("__row")).join(counts, ["__c", "__v"]).select("__row", "__c", rate.alias("__rate"))
+    return _side_by_side(df, columns, rates, row, prior)
+
+
+def all_statistics(df: DataFrame, columns: list[str], label: str, params: TrainingParams,
+                   prior: float) -> tuple[DataFrame | None, list[CategoryStatistics]]:
+    """Positives and rows per value of every column, counted in one pass into one table; and its part for each column."""
     if not columns:
-        return []
+        return None, []
     values = _values(df, columns, F.col(f"`{label}`").cast("bigint").alias("__y"))
     table = materialize(values.groupBy("__c", "__v").agg(F.sum("__y").alias("positives"), F.count("*").alias("rows")), "statistics")
-    return [CategoryStatistics(c, table.where(F.col("__c") == i).select(
+    return table, [CategoryStatistics(c, table.where(F.col("__c") == i).select(
         F.col("__v").alias(c), F.lit(0).alias("fold"), "positives", "rows"), prior, params.prior_weight) for i, c in enumerate(columns)]
 
 
@@ -234,11 +247,9 @@ def train(df: DataFrame, label: str = "label", key: str | None = None, split: st
     if not positives or not negatives:
         raise ValueError("training needs rows of both classes")
     prior = positives / facts["n"]
-    statistics = all_statistics(training, text, label, params, prior)
-    spread = [key] if key else numbers
-    for s in statistics:
-        validation = s.encode(validation, spread)
+    counts, statistics = all_statistics(training, text, label, params, prior)
     if text:
+        validation = validation.join(known_rates(validation, text, counts, "__id", prior, params.prior_weight), "__id")
         training = training.join(ordered_rates(training, text, label, "__id", prior, params.prior_weight, params.seed,
                                                group or key), "__id")
     names = [*[s.output for s in statistics], *numbers]

@@ -174,6 +174,19 @@ def test_out_of_fold_rates_leave_the_own_fold_out(spark):
     assert [round(r["c__rate"], 6) for r in stats.encode(unseen).orderBy(F.col("c").asc_nulls_last()).collect()] == [0.625, 0.5, 0.5]
 
 
+def test_validation_rows_are_encoded_as_scored_rows(spark, rows):
+    train, other = rows.where("split = 'train'"), rows.where("split = 'validation'").union(
+        spark.createDataFrame([("new", 1, None, "nowhere", 0.5, "validation")], rows.schema))
+    counts, statistics = training.all_statistics(train, ["kind", "city"], "label", PARAMS, 0.4)
+    got = {tuple(r) for r in training.known_rates(other, ["kind", "city"], counts, "key", 0.4).collect()}
+    plain = other
+    for s in statistics:
+        plain = s.encode(plain, ["key"])
+    assert {(k, round(a, 12), round(b, 12)) for k, a, b in got} == {
+        (r["key"], round(r["kind__rate"], 12), round(r["city__rate"], 12)) for r in plain.collect()}
+    assert ("new", 0.4, 0.4) in got
+
+
 def test_save_and_load_score_the_same(model, rows, tmp_path):
     model.save(str(tmp_path / "m"))
     loaded = training.ConversionModel.load(str(tmp_path / "m"))
