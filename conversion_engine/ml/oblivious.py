@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections import defaultdict
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +25,9 @@ from conversion_engine.session import discard, run_folder
 UNIT = float(1 << 24)
 _HISTOGRAM, _LOSS, _LEAVES, _CUT = 0, 1, 2, 3
 #: Cells (rows times features) that a partition of blocks should hold at least.
-PARTITION_CELLS = 4 << 20
+PARTITION_CELLS = 32 << 20
+#: Features of few bins are counted together, up to so many cells; rows in pieces whose sums stay in a core's cache.
+JOINT_CELLS, PIECE_ROWS = 1 << 10, 1 << 16
 _BLOCK = "_split int, _n int, _bins binary, _y binary, _w binary, _m binary"
 _PART = "_kind int, _key int, _data binary"
 _BEST = "_kind int, _key int, _bin int, _gain double, _data binary"
@@ -258,33 +260,127 @@ def _best_rows(rows: list[tuple[int, int, int, float, np.ndarray]]) -> pa.Record
         "_gain": pa.array(gains, pa.float64()), "_data": pa.array([d.tobytes() for d in data], pa.binary())})
 
 
-def _grower(bins: list[int], pending: list[Tree], depth: int, l2: float) -> Callable[[Batches], Batches]:
-    """All levels of a tree, where one task has all blocks: its sums are whole, so that the cuts can be chosen there.
+def leaf_values(sums: np.ndarray, learning_rate: float, l2: float) -> np.ndarray:
+    """Values of the leaves, for gradient and hessian sums [2, leaves]."""
+    g, h = sums.reshape(2, -1) / UNIT
+    return learning_rate * g / (h + l2)
 
-    Losses and leaf weights of the last tree, and for each level its cut: bin, gain, and [feature, sums below and above].
+
+def joint_groups(bins: list[int]) -> list[list[int]]:
+    """The features that can be split, those of few bins in groups: one histogram of a group holds those of its features."""
+    groups, cells = [], 0
+    for feature in sorted((f for f, count in enumerate(bins) if count > 1), key=lambda f: bins[f]):
+        if groups and cells * bins[feature] <= JOINT_CELLS:
+            groups[-1].append(feature)
+            cells *= bins[feature]
+        else:
+            groups.append([feature])
+            cells = bins[feature]
+    return groups
+
+
+class _Counter:
+    """Gradient and hessian sums per feature, bin and leaf of a growing tree, over the rows of one task.
+
+    From the second level on only the lighter side of each split is counted; the other side is the rest of its leaf.
     """
-    def run(batches: Batches) -> Batches:
-        met, training = _Facts(pending), []
-        for block in _unpacked(batches):
-            margin, last = _advanced(block, pending)
-            met.add(block, margin, last)
-            if block.split == TRAIN:
-                training.append((block, *_gradients(block, margin), np.zeros(len(block.y), np.int64)))
-        rows = [(kind, key, -1, 0.0, values) for kind, key, values in met.rows()]
-        for level in range(depth if training else 0):
+
+    def __init__(self, bins: np.ndarray, counts: list[int]):
+        self.bins, self.counts, self.groups = bins, counts, joint_groups(counts)
+        self.joint = []
+        for features in self.groups:
+            column = bins[features[0]].astype(np.uint16)
+            for f in features[1:]:
+                column = column * np.uint16(counts[f]) + bins[f]
+            self.joint.append(column)
+
+    def start(self, g: np.ndarray, h: np.ndarray) -> None:
+        self.g, self.h, self.leaf, self.known, self.leaves = g, h, np.zeros(len(g), np.int64), {}, 1
+
+    def _counted(self, chosen: np.ndarray | None) -> dict[int, np.ndarray]:
+        cells = [int(np.prod([self.counts[f] for f in features])) for features in self.groups]
+        sums = [np.zeros((2, self.leaves * c)) for c in cells]
+        for start in range(0, len(self.g), PIECE_ROWS):
+            piece = slice(start, start + PIECE_ROWS)
+            g, h, leaf = self.g[piece], self.h[piece], self.leaf[piece]
+            rows = None if chosen is None else np.flatnonzero(chosen[piece])
+            if rows is not None:
+                g, h, leaf = g[rows], h[rows], leaf[rows]
+            for column, count, total in zip(self.joint, cells, sums):
+                total += _histogram(column[piece] if rows is None else column[piece][rows], count, leaf, self.leaves, g, h)
+        out = {}
+        for features, total in zip(self.groups, sums):
+            shaped = total.astype(np.int64).reshape(2, self.leaves, *[self.counts[f] for f in features])
+            for i, f in enumerate(features):
+                out[f] = shaped.sum(tuple(a for a in range(2, shaped.ndim) if a != i + 2))
+        return out
+
+    def first(self) -> dict[int, np.ndarray]:
+        """Sums [2, leaves, bins] of each feature, before any split."""
+        self.known = self._counted(None)
+        return self.known
+
+    def split(self, feature: int, cut: int, sums: np.ndarray) -> dict[int, np.ndarray]:
+        """The sums after all leaves are split by ``feature`` at ``cut``; ``sums`` [2, 2, leaves] are those below and above."""
+        above, lighter = self.bins[feature] > cut, sums[1, 1] <= sums[1, 0]
+        counted, side = self._counted(above == lighter[self.leaf]), lighter[None, :, None]
+        for f, part in counted.items():
+            rest = self.known[f] - part
+            self.known[f] = np.concatenate([np.where(side, rest, part), np.where(side, part, rest)], 1)
+        self.leaf += above * self.leaves
+        self.leaves *= 2
+        return self.known
+
+
+def _whole(blocks: list[_Block], split: int) -> _Block | None:
+    mine = [b for b in blocks if b.split == split]
+    return _Block(split, *[np.concatenate([getattr(b, c) for b in mine], -1) for c in ("bins", "y", "w", "m")]) if mine else None
+
+
+def _grower(bins: list[int], pending: list[Tree], trees: int, depth: int, learning_rate: float, l2: float) -> Callable[[Batches], Batches]:
+    """Up to ``trees`` trees, where one task has all blocks: its sums are whole, so that the cuts can be chosen there.
+
+    Keys are 2^8 times the tree's number plus the level or split: for each level its cut (bin, gain, and [feature, sums below
+    and above]), then losses and leaf weights after the tree.
+    """
+    def cuts(counter: _Counter) -> Iterator[tuple[int, int, float, np.ndarray]]:
+        known = counter.first()
+        for level in range(depth):
             best = None
-            for feature, count in enumerate(bins):
-                if count > 1:
-                    sums = sum(_histogram(block.bins[feature], count, leaf, 1 << level, g, h) for block, g, h, leaf in training)
-                    cut, gain, values = best_cut(sums.astype(np.int64).reshape(2, 1 << level, count), l2)
-                    if best is None or gain > best[2]:
-                        best = feature, cut, gain, values
+            for feature in sorted(known):
+                cut, gain, values = best_cut(known[feature], l2)
+                if best is None or gain > best[2]:
+                    best = feature, cut, gain, values
             if best is None or best[2] <= 0:
+                return
+            yield best
+            if level < depth - 1:
+                known = counter.split(best[0], best[1], best[3])
+
+    def run(batches: Batches) -> Batches:
+        found = list(_unpacked(batches))
+        blocks = [b for b in (_whole(found, TRAIN), _whole(found, VALIDATION)) if b]
+        found.clear()
+        if not blocks or blocks[0].split != TRAIN:
+            return
+        for block in blocks:
+            block.m = _advanced(block, pending)[0]
+        counter, rows = _Counter(blocks[0].bins, bins), []
+        for number in range(trees):
+            tree = Tree([], np.zeros(1))
+            counter.start(*_gradients(blocks[0], blocks[0].m))
+            for feature, cut, gain, values in cuts(counter):
+                rows.append((_CUT, (number << 8) + len(tree.splits), cut, gain, np.concatenate([[feature], values.ravel()]).astype(np.int64)))
+                tree.splits.append((feature, cut, 0.0, gain))
+                tree.values = leaf_values(values, learning_rate, l2)
+            if not tree.splits:
                 break
-            feature, cut, gain, values = best
-            rows.append((_CUT, level, cut, gain, np.concatenate([[feature], values.ravel()]).astype(np.int64)))
-            for block, _, _, leaf in training:
-                leaf |= (block.bins[feature] > cut).astype(np.int64) << level
+            met = _Facts([tree])
+            for block in blocks:
+                leaf = tree.leaves(lambda f: block.bins[f], len(block.y), True)
+                block.m = block.m + tree.values[leaf]
+                met.add(block, block.m, leaf)
+            rows += [(kind, (number << 8) + key, -1, 0.0, values) for kind, key, values in met.rows()]
         if rows:
             yield _best_rows(rows)
     return run
@@ -346,7 +442,7 @@ class Booster:
         self.losses: dict[int, list[float]] = {TRAIN: [], VALIDATION: []}
         self.borders = feature_borders(rows.where(F.col(split) == "train"), features, max_bins) if borders is None else borders
         self.bins = [len(c) + 1 for c in self.borders]
-        self.store_every, self.stored, self.stopped = store_every, 0, False
+        self.store_every, self.stored, self.stopped = max(1, store_every), 0, False
         number = F.when(F.col(split) == "train", TRAIN).when(F.col(split) == "validation", VALIDATION)
         numeric = [F.col(quoted(c)).cast("double").alias(f"_{i}") for i, c in enumerate(features)]
         plain = rows.select(number.cast("int").alias("_split"), F.col(label).cast("double").alias("_y"),
@@ -355,16 +451,19 @@ class Booster:
         self._part, self._best = T.StructType.fromDDL(_PART), T.StructType.fromDDL(_BEST)
         cells = plain.count() * max(1, len(features))
         made = plain.mapInArrow(_blocks(self.borders), _BLOCK)
-        self._store(made.repartition(max(1, min(cells // PARTITION_CELLS, made.rdd.getNumPartitions()))))
+        parts = max(1, min(cells // PARTITION_CELLS, made.rdd.getNumPartitions()))
+        self._alone = parts == 1
+        self._store(made.repartition(parts))
 
     def _store(self, blocks: DataFrame) -> None:
         """The blocks as a table, which cuts the lineage, kept in memory where it fits."""
         path = f"{run_folder(self.spark)}/boosting-{uuid.uuid4().hex}"
         blocks.write.parquet(path)
         old, old_path = self.blocks, self._path
-        self.blocks, self._path = self.spark.read.schema(_BLOCK).parquet(path).persist(), path
+        read = self.spark.read.schema(_BLOCK).parquet(path)
+        # A reader may cut one file in pieces.
+        self.blocks, self._path = (read.coalesce(1) if self._alone else read).persist(), path
         self._training = self.blocks.where(F.col("_split") == TRAIN)
-        self._alone = self.blocks.rdd.getNumPartitions() == 1
         if old is not None:
             old.unpersist()
             discard(self.spark, old_path)
@@ -391,59 +490,84 @@ class Booster:
         for r in rows:
             if r["_kind"] == _LOSS:
                 loss, weight = np.frombuffer(r["_data"], np.int64)
-                self.losses[r["_key"]].append(float(loss) / float(weight) if weight else float("nan"))
+                self.losses[r["_key"] & 255].append(float(loss) / float(weight) if weight else float("nan"))
             elif r["_kind"] == _LEAVES:
                 self.trees.trees[-1].weights = np.frombuffer(r["_data"], np.int64) / UNIT
         checked = self.losses[VALIDATION]
         if checked and len(checked) - 1 - int(np.argmin(checked)) >= self.patience:
             self.stopped = True
 
-    def _cuts(self, tree: Tree) -> Iterator[tuple[int, int, float, np.ndarray]]:
-        """The best cut of each level, as ``tree`` grows by them: feature, bin, gain, sums. Ends where none gains.
+    def _tree(self, cuts: Iterable[tuple[int, int, float, np.ndarray]]) -> Iterator[Tree]:
+        """The tree as it grows by ``cuts``: feature, bin, gain, gradient and hessian sums below and above the new border."""
+        tree = Tree([], np.zeros(1))
+        yield tree
+        for feature, bin_, gain, sums in cuts:
+            tree.splits.append((feature, bin_, float(self.borders[feature][bin_]), gain))
+            # Leaves below the new border come first.
+            tree.values = leaf_values(sums, self.learning_rate, self.l2)
+            yield tree
+
+    def _cut(self, tree: Tree) -> tuple[int, int, float, np.ndarray] | None:
+        """The best cut of the next level: feature, bin, gain, sums; None where none gains.
 
-        The first level comes with the losses after the last tree, which may say that there is none to come. One task that
-        has all blocks grows the whole tree; otherwise a level is an aggregate.
+        The first level comes with the losses after the last tree, which may say that there is none to come.
         """
-        if self._alone:
-            found = self.blocks.mapInArrow(_grower(self.bins, self.trees.trees[self.stored:], self.depth, self.l2), self._best).collect()
+        found = self._aggregate(tree, not tree.splits)
+        if not tree.splits:
             self._note(found)
-            for r in sorted((r for r in found if r["_kind"] == _CUT and not self.stopped), key=lambda r: r["_key"]):
-                values = np.frombuffer(r["_data"], np.int64)
-                yield int(values[0]), r["_bin"], r["_gain"], values[1:]
-            return
-        for level in range(self.depth):
-            found = self._aggregate(tree, level == 0)
-            if level == 0:
-                self._note(found)
-            cuts = [r for r in found if r["_kind"] == _HISTOGRAM]
-            best = max(cuts, key=lambda r: (r["_gain"], -r["_key"]), default=None)
-            if self.stopped or best is None or best["_gain"] <= 0:
-                return
-            yield best["_key"], best["_bin"], best["_gain"], np.frombuffer(best["_data"], np.int64)
+        cuts = [r for r in found if r["_kind"] == _HISTOGRAM]
+        best = max(cuts, key=lambda r: (r["_gain"], -r["_key"]), default=None)
+        if self.stopped or best is None or best["_gain"] <= 0:
+            return None
+        return best["_key"], best["_bin"], best["_gain"], np.frombuffer(best["_data"], np.int64)
+
+    def _add(self, cuts: list[tuple[int, int, float, np.ndarray]]) -> bool:
+        """Add the tree of ``cuts``; without any, training is over."""
+        if not cuts:
+            self.stopped = True
+        if not self.stopped:
+            *_, tree = self._tree(cuts)
+            self.trees.trees.append(tree)
+        return not self.stopped
+
+    def _grow_whole(self, trees: int) -> int:
+        """Up to ``trees`` trees of one job; those after patience has run out are dropped."""
+        pending = self.trees.trees[self.stored:]
+        grow = _grower(self.bins, pending, trees, self.depth, self.learning_rate, self.l2)
+        found, grown = defaultdict(list), 0
+        for r in self.blocks.mapInArrow(grow, self._best).collect():
+            found[r["_key"] >> 8].append(r)
+        for number in range(trees):
+            cuts = sorted((r for r in found[number] if r["_kind"] == _CUT), key=lambda r: r["_key"])
+            sums = [np.frombuffer(r["_data"], np.int64) for r in cuts]
+            if not self._add([(int(v[0]), r["_bin"], r["_gain"], v[1:]) for r, v in zip(cuts, sums)]):
+                break
+            grown += 1
+            self._note(found[number])
+            if self.stopped:
+                break
+        return grown
 
     def grow(self, trees: int) -> int:
-        """Grow up to ``trees`` more trees; fewer if patience runs out or no split is left. The number grown."""
+        """Grow up to ``trees`` more trees; fewer if patience runs out or no split is left. The number grown.
+
+        Where one task has all blocks, it grows several trees in one job; otherwise a level is an aggregate.
+        """
         grown = 0
         while grown < trees and not self.stopped:
-            # The last tree stays pending: its losses and leaf weights are found with the next one's first level.
-            pending = self.trees.trees[self.stored:-1]
+            # Otherwise the last tree stays pending: its losses and leaf weights are found with the next one's first level.
+            pending = self.trees.trees[self.stored:None if self._alone else -1]
             if len(pending) >= self.store_every:
                 self._store(self.blocks.mapInArrow(_advancer(pending), _BLOCK))
                 self.stored += len(pending)
-            tree = Tree([], np.zeros(1))
-            for cut in self._cuts(tree):
-                feature, bin_, gain, sums = cut
-                tree.splits.append((feature, bin_, float(self.borders[feature][bin_]), gain))
-                # Gradient and hessian sums of the leaves: those below the new border first.
-                g, h = sums.reshape(2, -1) / UNIT
-                tree.values = self.learning_rate * g / (h + self.l2)
-            if self.stopped:
-                break
-            if not tree.splits:
-                self.stopped = True
-                break
-            self.trees.trees.append(tree)
-            grown += 1
+            if self._alone:
+                grown += self._grow_whole(min(trees - grown, self.store_every))
+                continue
+            cuts, growing = [], Tree([], np.zeros(1))
+            while len(cuts) < self.depth and (cut := self._cut(growing)):
+                cuts.append(cut)
+                *_, growing = self._tree(cuts)
+            grown += self._add(cuts)
         return grown
 
     def measure(self) -> None:

@@ -94,6 +94,44 @@ def test_rounds_partitions_and_order_do_not_matter(spark, monkeypatch):
     assert booster.losses[oblivious.VALIDATION] == losses["validation"] and booster.losses[oblivious.TRAIN] == losses["train"]
 
 
+@pytest.mark.parametrize("cells, most", [(1 << 24, 3), (400, None)])
+def test_one_job_grows_many_trees(spark, monkeypatch, cells, most):
+    """One task that has all rows grows all trees of a call in few jobs; the same trees as with a job a level, features counted jointly or not."""
+    df = spark.createDataFrame(table(500, 6), SCHEMA)
+    monkeypatch.setattr(oblivious, "PARTITION_CELLS", cells)
+    booster = oblivious.Booster(df.repartition(3), FEATURES, depth=3, store_every=20)
+    group = f"grow-{cells}"
+    spark.sparkContext.setJobGroup(group, group)
+    assert booster.grow(10) == 10
+    spark.sparkContext.setJobGroup("", "")
+    ran = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    assert ran <= most if most else ran >= 30
+    booster.measure()
+    monkeypatch.setattr(oblivious, "PARTITION_CELLS", 1 << 24)
+    want, best, losses = oblivious.fit(df.coalesce(1), FEATURES, 10, depth=3, store_every=1)
+    assert same(booster.trees, want) and booster.best() == best
+    assert booster.losses[oblivious.TRAIN] == losses["train"] and booster.losses[oblivious.VALIDATION] == losses["validation"]
+    booster.close()
+
+
+def test_joint_counts_are_those_of_each_feature():
+    rng, counts = np.random.default_rng(1), [2, 255, 1, 3, 7, 40, 20, 2]
+    bins = np.stack([rng.integers(0, c, 900) for c in counts]).astype(np.uint8)
+    assert sorted(f for g in oblivious.joint_groups(counts) for f in g) == [0, 1, 3, 4, 5, 6, 7]
+    assert len(oblivious.joint_groups(counts)) < 6
+    g, h = oblivious.fixed(rng.normal(size=900)), oblivious.fixed(rng.random(900))
+    counter, leaf = oblivious._Counter(bins, counts), np.zeros(900, np.int64)
+    counter.start(g, h)
+    known = counter.first()
+    for level, (feature, cut) in enumerate([(1, 100), (0, 0), (5, 11), (1, 3)]):
+        for f, sums in known.items():
+            want = oblivious._histogram(bins[f], counts[f], leaf, 1 << level, g, h).reshape(2, 1 << level, -1)
+            assert (sums == want).all() and sums.dtype == np.int64
+        below = known[feature][:, :, :cut + 1].sum(2)
+        known = dict(counter.split(feature, cut, np.stack([below, known[feature].sum(2) - below], 1)))
+        leaf |= (bins[feature] > cut).astype(np.int64) << level
+
+
 def test_twenty_trees_are_kept_where_there_is_a_signal(spark):
     rows = table(3000, 4)
     trees, best, losses = oblivious.fit(spark.createDataFrame(rows, SCHEMA), FEATURES, 200, depth=3, learning_rate=0.1, patience=10)
