@@ -561,7 +561,7 @@ class Booster:
                 self._store(self.blocks.mapInArrow(_advancer(pending), _BLOCK))
                 self.stored += len(pending)
             if self._alone:
-                grown += self._grow_whole(min(trees - grown, self.store_every))
+                grown += self._grow_whole(min(trees - grown, 4 * self.store_every))
                 continue
             cuts, growing = [], Tree([], np.zeros(1))
             while len(cuts) < self.depth and (cut := self._cut(growing)):
