@@ -130,7 +130,9 @@ def earliest_usage(events: DataFrame, start: str | dt.date, end: str | dt.date,
     rows = events.where(
         F.col("event_date").between(F.lit(as_date(start)), F.lit(as_date(end)))
         & like_any("platform", list(rules), ignore_case=True)
-    ).select("event_date", "platform", "profile_id", json_fields("app_info", ["version"]).getField("version").alias("version"))
+    ).select("event_date", "platform", "profile_id",
+             # Conditions on the version are not pushed below a generator, so that each row is parsed once.
+             F.explode(F.array(json_fields("app_info", ["version"]).getField("version"))).alias("version"))
     used = rows.where(version_rule(rules) & release_version(F.col("version")))
     return used.groupBy("profile_id").agg(F.min("event_date").alias("earliest_app_usage"))
 

@@ -223,8 +223,12 @@ class ConversionJob:
 
     def funnel_partials(self, chosen: list[funnel.FunnelSpec], search: funnel.FunnelSpec | None) -> DataFrame:
         """Partial counts per day, profile and user key, from the events of the funnels alone."""
-        named = funnel.event_filter([*chosen, *([search] if search else [])])
-        events = normalize_events(self.t.event_log, self.p.install_start, self.p.data_end, only=named)
+        specs = [*chosen, *([search] if search else [])]
+        named, log = funnel.event_filter(specs), self.t.event_log
+        if named is not None and any(s.texts for s in specs):
+            # The filter tests the parameters many times. It is not pushed below a generator, so that a log that builds them builds them once.
+            log = log.withColumn("event_parameters", F.explode(F.array("event_parameters")))
+        events = normalize_events(log, self.p.install_start, self.p.data_end, only=named)
         return funnel.daily_partials(events, chosen, search)
 
     # the wide table

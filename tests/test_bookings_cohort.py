@@ -164,3 +164,12 @@ def test_month_bounds(spark):
     calendar = spark.createDataFrame([(d, d.year, d.month) for d in (day(3), day(20), day(40))], "iddate date, idyear int, idmonth int")
     got = {r.iddate: (r.month_start_date, r.month_end_date) for r in joins.month_bounds(calendar).collect()}
     assert got == {day(3): (day(3), day(20)), day(20): (day(3), day(20)), day(40): (day(40), day(40))}
+
+
+def test_earlier_use_parses_each_row_once(spark, tmp_path):
+    rows = [(day(1), "iOS", "1", '{"version": "12.4"}'), (day(1), "Android", "2", '{"version": "15.2"}'), (day(2), "iOS", "1", None)]
+    spark.createDataFrame(rows, "event_date date, platform string, profile_id string, app_info string").write.parquet(f"{tmp_path}/log")
+    used = co.earliest_usage(spark.read.parquet(f"{tmp_path}/log"), day(1), day(9))
+    assert [tuple(r) for r in used.collect()] == [("1", day(1))]
+    plan = used._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1

@@ -129,3 +129,27 @@ def test_raw_filter_keeps_escaped_letters(spark):
                                 ("x", None), ("BEGIN_CHECKOUT", "{}"), ("begin_checkout", None)], "event_name string, event_parameters string")
     assert [r.event_name for r in df.where(keep).collect()] == ["x", "x", "BEGIN_CHECKOUT", "begin_checkout"]
     assert funnel.event_filter([specs["linkups"]]) is not None
+
+
+def test_files_of_a_day_do_not_grow_with_tasks(spark, tmp_path):
+    days = [dt.date(2024, 1, 1 + i) for i in range(3)]
+    rows = spark.createDataFrame([(days[i % 3], i) for i in range(300)], "event_date date, n int").repartition(7)
+    logs.replace_days(rows, f"{tmp_path}/t", days)
+    for d in days:
+        assert len(list((tmp_path / "t" / f"event_date={d}").glob("*.parquet"))) == 1
+    assert logs.read_days(spark, f"{tmp_path}/t", rows.schema).agg({"n": "sum"}).first()[0] == 300 * 299 // 2
+
+
+def test_parameters_that_a_log_builds_are_built_once(spark, tmp_path):
+    """The raw test of the funnels looks at the parameters once per text; a log that derives them must not derive them as often."""
+    schema = "event_date date, event_name string, platform string, profile_id string, user_pseudo_id string, a string, u string, v string"
+    row = (dt.date(2024, 1, 3), "Search_Event", "iOS", "1", "p", "Search Submitted", "x", "15.2")
+    spark.createDataFrame([row, (*row[:5], "Other", "x", "15.2")], schema).write.parquet(f"{tmp_path}/raw")
+    made = [F.to_json(F.struct(F.col("a").alias("action"), F.lit("Spain").alias("destination_country"))).alias("event_parameters"),
+            F.format_string('{"userId": "%s"}', "u").alias("user_properties"), F.format_string('{"version": "%s"}', "v").alias("app_info")]
+    log = spark.read.parquet(f"{tmp_path}/raw").select("event_date", "event_name", "platform", "profile_id", "user_pseudo_id", *made)
+    job = ConversionJob(ConversionTables(event_log=log, **{n: None for n in SCHEMAS if n != "event_log"}), commerce.PERIOD)
+    counted = job.funnel_partials([funnel.count_specs()["search_steps"]], funnel.search_spec())
+    assert [r["searches_submitted"] for r in funnel.merged_days(counted, [], None, funnel.search_spec(), lambda d: d.withColumn(
+        "copies", F.lit(1).cast("bigint")).withColumn("trip", F.lit("domestic"))).collect()] == [1]
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("Spain") == 1  # the text of the derived parameters
