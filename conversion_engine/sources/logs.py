@@ -74,7 +74,8 @@ def replace_days(df: DataFrame, path: str, days: Iterable[str | dt.date], by: st
     """
     spark, days = df.sparkSession, sorted({as_date(d) for d in days})
     stage = f"{path}/_stage-{uuid.uuid4().hex}"
-    df.where(F.col(by).isin(days)).write.partitionBy(by).parquet(stage)
+    # A day's rows come together first (a large day in several parts): files don't grow with tasks times days.
+    df.where(F.col(by).isin(days)).hint("rebalance", by).write.partitionBy(by).parquet(stage)
     folder = spark._jvm.org.apache.hadoop.fs.Path
     fs = folder(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     for day in days:  # as many as this run has
