@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -95,9 +96,8 @@ class ConversionModel:
         return [*[s.column for s in self.statistics], *self.numbers]
 
     def encode(self, df: DataFrame) -> DataFrame:
-        for s in self.statistics:
-            df = s.encode(df, self.numbers)
-        return df
+        """``df`` and a rate for each text column."""
+        return with_rates(df, self.statistics)
 
     def score(self, df: DataFrame, threshold: float = 0.5) -> DataFrame:
         """Add ``score``, the probability of the positive class, and ``prediction``."""
@@ -203,6 +203,28 @@ def known_rates(df: DataFrame, columns: list[str], counts: DataFrame, row: str,
     return _side_by_side(df, columns, rates, row, prior)
 
 
+def with_rates(df: DataFrame, statistics: list[CategoryStatistics]) -> DataFrame:
+    """As ``CategoryStatistics.encode`` for one column after the other, for all columns in one join.
+
+    Only values are joined, not the rows with all their columns. Rows are written once, with a number each, and may repeat.
+    """
+    if not statistics:
+        return df
+    rows = materialize(df.withColumn("__id", F.monotonically_increasing_id()), "rows_to_encode")
+    counted = reduce(DataFrame.unionByName, [s.table.select(
+        F.lit(i).alias("__c"), F.col(f"`{s.column}`").cast("string").alias("__v"), "positives", "rows") for i, s in enumerate(statistics)])
+    sums = counted.groupBy("__c", "__v").agg(F.sum("positives").alias("p"), F.sum("rows").alias("n"))
+    by_column = [F.when(F.col("__c") == i, s._smoothed(F.col("p"), F.col("n"))) for i, s in enumerate(statistics)]
+    known = sums.select("__c", "__v", F.coalesce(*by_column).alias("__rate"))
+    texts = rows.select("__id", *[F.col(f"`{s.column}`").cast("string").alias(s.column) for s in statistics])
+    values = _values(texts, [s.column for s in statistics], F.col("__id").alias("__row"))
+    found = values.join(known, ["__c", "__v"]).groupBy("__row").agg(
+        *[F.max(F.when(F.col("__c") == i, F.col("__rate"))).alias(f"__r{i}") for i in range(len(statistics))])
+    joined = rows.join(found.withColumnRenamed("__row", "__id"), "__id", "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns],
+                         *[F.coalesce(f"__r{i}", F.lit(s.prior)).alias(s.output) for i, s in enumerate(statistics)])
+
+
 def all_statistics(df: DataFrame, columns: list[str], label: str, params: TrainingParams,
                    prior: float) -> tuple[DataFrame | None, list[CategoryStatistics]]:
     """Positives and rows per value of every column, counted in one pass into one table; and its part for each column."""

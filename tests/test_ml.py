@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conversion_engine.ml import evaluate, explain, training
+from conversion_engine.ml import evaluate, explain, oblivious, training
 from conversion_engine.operators import features
 
 
@@ -187,6 +187,25 @@ def test_validation_rows_are_encoded_as_scored_rows(spark, rows):
     assert ("new", 0.4, 0.4) in got
 
 
+def test_scored_rows_are_joined_with_all_rates_at_once(spark, rows):
+    """Whatever the number of text columns; rows may repeat, values be missing or new, and counts lie in several folds."""
+    counted = rows.where("split = 'train'").withColumn("fold", F.length("key") % 2)
+    statistics = [training.category_statistics(counted, c, "label", PARAMS, prior) for c, prior in [("kind", 0.3), ("city", 0.6)]]
+    other = spark.createDataFrame([("new", 1, None, "nowhere", 0.5, "validation"), ("new", 1, None, None, 0.5, "validation")], rows.schema)
+    df = rows.union(rows.where("split = 'validation'")).union(other)
+    got, plain = training.with_rates(df, statistics), df
+    for s in statistics:
+        plain = s.encode(plain, ["key"])
+    assert got.columns == plain.columns and got.count() == df.count()
+    assert got.exceptAll(plain).count() == 0 == plain.exceptAll(got).count()
+    more = [training.CategoryStatistics(f"c{i}", s.table.withColumnRenamed(s.column, f"c{i}"), s.prior, 1.0)
+            for i, s in enumerate(statistics * 4)]
+    wide = df.select("*", *[F.col(s.column).alias(f"c{i}") for i, s in enumerate(statistics * 4)])
+    model = training.ConversionModel(oblivious.Trees([], []), [], more)
+    assert model.encode(wide)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert training.with_rates(df, []) is df
+
+
 def test_save_and_load_score_the_same(model, rows, tmp_path):
     model.save(str(tmp_path / "m"))
     loaded = training.ConversionModel.load(str(tmp_path / "m"))
