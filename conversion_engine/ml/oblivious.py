@@ -136,7 +136,8 @@ def row_losses(margin: np.ndarray, label: np.ndarray) -> np.ndarray:
 def feature_borders(rows: DataFrame, features: list[str], max_bins: int) -> list[np.ndarray]:
     """Cuts of each feature at even shares of its rows, ``max_bins`` - 1 at most; none of a constant."""
     known = [F.when(~F.isnan(c), F.col(c).cast("double")) for c in map(quoted, features)]
-    shares = [i / max_bins for i in range(1, max_bins)]
+    # One column for all features: a list would be sent to the JVM number by number, for each of them.
+    shares = F.array(*[F.lit(i / max_bins) for i in range(1, max_bins)])
     facts = rows.agg(*[F.percentile_approx(c, shares, 10_000).alias(f"p{i}") for i, c in enumerate(known)],
                      *[F.max(c).alias(f"m{i}") for i, c in enumerate(known)]).first()
     return [np.array([c for c in sorted(set(facts[f"p{i}"] or [])) if c < facts[f"m{i}"]]) for i in range(len(features))]
@@ -283,6 +284,7 @@ class _Counter:
     """Gradient and hessian sums per feature, bin and leaf of a growing tree, over the rows of one task.
 
     From the second level on only the lighter side of each split is counted; the other side is the rest of its leaf.
+    A row's gradient and hessian are one complex number, so that both are added at once; its parts are integers, exact up to 2^53.
     """
 
     def __init__(self, bins: np.ndarray, counts: list[int]):
@@ -295,22 +297,25 @@ class _Counter:
             self.joint.append(column)
 
     def start(self, g: np.ndarray, h: np.ndarray) -> None:
-        self.g, self.h, self.leaf, self.known, self.leaves = g, h, np.zeros(len(g), np.int64), {}, 1
+        self.both = np.empty(len(g), complex)
+        self.both.real, self.both.imag = g, h
+        self.leaf, self.known, self.leaves = np.zeros(len(g), np.int64), {}, 1
 
     def _counted(self, chosen: np.ndarray | None) -> dict[int, np.ndarray]:
         cells = [int(np.prod([self.counts[f] for f in features])) for features in self.groups]
-        sums = [np.zeros((2, self.leaves * c)) for c in cells]
-        for start in range(0, len(self.g), PIECE_ROWS):
+        sums = [np.zeros(self.leaves * c, complex) for c in cells]
+        for start in range(0, len(self.both), PIECE_ROWS):
             piece = slice(start, start + PIECE_ROWS)
-            g, h, leaf = self.g[piece], self.h[piece], self.leaf[piece]
+            both, leaf = self.both[piece], self.leaf[piece]
             rows = None if chosen is None else np.flatnonzero(chosen[piece])
             if rows is not None:
-                g, h, leaf = g[rows], h[rows], leaf[rows]
+                both, leaf = both[rows], leaf[rows]
+            first = {count: leaf * count for count in set(cells)}  # the first cell of each row's leaf
             for column, count, total in zip(self.joint, cells, sums):
-                total += _histogram(column[piece] if rows is None else column[piece][rows], count, leaf, self.leaves, g, h)
+                np.add.at(total, first[count] + (column[piece] if rows is None else column[piece].take(rows)), both)
         out = {}
         for features, total in zip(self.groups, sums):
-            shaped = total.astype(np.int64).reshape(2, self.leaves, *[self.counts[f] for f in features])
+            shaped = np.stack([total.real, total.imag]).astype(np.int64).reshape(2, self.leaves, *[self.counts[f] for f in features])
             for i, f in enumerate(features):
                 out[f] = shaped.sum(tuple(a for a in range(2, shaped.ndim) if a != i + 2))
         return out

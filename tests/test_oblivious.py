@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from conversion_engine.ml import explain, oblivious, training
@@ -132,6 +133,30 @@ def test_joint_counts_are_those_of_each_feature():
         leaf |= (bins[feature] > cut).astype(np.int64) << level
 
 
+def test_gradient_and_hessian_are_counted_at_once(monkeypatch):
+    """One pass over the rows for both sums, exact for integers far above a float's 24 bits, over several pieces."""
+    rng, passes = np.random.default_rng(2), []
+    monkeypatch.setattr(oblivious, "PIECE_ROWS", 100)
+    monkeypatch.setattr(oblivious, "_histogram", lambda *a: passes.append(a))
+    bins = rng.integers(0, 200, (2, 950)).astype(np.uint8)
+    g, h = rng.integers(-(1 << 40), 1 << 40, 950), rng.integers(0, 1 << 40, 950)
+    counter = oblivious._Counter(bins, [200, 200])
+    counter.start(g.astype(float), h.astype(float))
+    for f, sums in counter.first().items():
+        for cell in range(200):
+            assert list(sums[:, 0, cell]) == [int(g[bins[f] == cell].sum()), int(h[bins[f] == cell].sum())]
+    assert not passes
+
+
+def test_shares_of_all_borders_are_one_column(spark, monkeypatch):
+    given, real = [], F.percentile_approx
+    monkeypatch.setattr(oblivious.F, "percentile_approx", lambda c, shares, accuracy: given.append(shares) or real(c, shares, accuracy))
+    df = spark.createDataFrame([(float(i), float(i % 5)) for i in range(100)], "a double, b double")
+    borders = oblivious.feature_borders(df, ["a", "b"], 4)
+    assert [list(b) for b in borders] == [[24.0, 49.0, 74.0], [1.0, 2.0, 3.0]]
+    assert len(given) == 2 and given[0] is given[1] and isinstance(given[0], Column)
+
+
 def test_twenty_trees_are_kept_where_there_is_a_signal(spark):
     rows = table(3000, 4)
     trees, best, losses = oblivious.fit(spark.createDataFrame(rows, SCHEMA), FEATURES, 200, depth=3, learning_rate=0.1, patience=10)
